@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat_format, embedding_dedup, mixing, simhash_dedup, url_filter
+from recollect.llm import chat_format, decontaminate, embedding_dedup, license_scan, mixing, quality, simhash_dedup, url_filter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,19 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_t(spark, sf_dir, "documents"), radius=4, shingle=4)
 
 
-QUERIES = [op1_embedding_near_dedup, op3_url_filters, op4_chat_formatting, op8_source_mixing, op9_simhash_near_dedup]
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_t(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
+QUERIES = [op6_license_scans, op7_quality_classifier, op10_benchmark_decontamination, op1_embedding_near_dedup, op3_url_filters, op4_chat_formatting, op8_source_mixing, op9_simhash_near_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
