@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat_format, decontaminate, embedding_dedup, license_scan, mixing, quality, simhash_dedup, url_filter
+from recollect.llm import chat_format, decontaminate, embedding_dedup, license_scan, mixing, quality, simhash_dedup, suffix_dedup, url_filter
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_t(spark, sf_dir, "documents"), length=50)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("blocked"))
     return url_filter.judge(_t(spark, sf_dir, "pages").select("page_id", "url"), labels, URL_RULES)
@@ -54,7 +58,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.matches(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
-QUERIES = [op6_license_scans, op7_quality_classifier, op10_benchmark_decontamination, op1_embedding_near_dedup, op3_url_filters, op4_chat_formatting, op8_source_mixing, op9_simhash_near_dedup]
+QUERIES = [op2_suffix_array_dedup, op6_license_scans, op7_quality_classifier, op10_benchmark_decontamination, op1_embedding_near_dedup, op3_url_filters, op4_chat_formatting, op8_source_mixing, op9_simhash_near_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
