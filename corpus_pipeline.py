@@ -3,24 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recollect.llm import simhash_dedup
-from recollect.llm._runtime import materialize
+from recollect.llm import decontaminate, mixing, quality, simhash_dedup, suffix_dedup
+from recollect.llm._runtime import materialize, release
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that score below 0.3; learnt from the labels of the stage's own documents."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).where("_score >= 0.3").drop("_score")
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group, the one with the smallest doc_id."""
     return simhash_dedup.drop_near_duplicates(docs)
 
 
-STAGES = [("simhash_near_dedup", near_duplicates)]
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeats of 50 bytes and more out of the texts; documents of which no word is left go."""
+    kept = suffix_dedup.dedup(docs, 50, texts=True).where("n_removed > 0").select(F.col("doc_id").alias("_doc"), "kept_text")
+    cut = docs.join(kept, F.col("doc_id") == F.col("_doc"), "left").withColumn("text", F.when(F.col("_doc").isNotNull(), F.col("kept_text")).otherwise(F.col("text")))
+    cut = cut.where(F.col("_doc").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents into which a benchmark item leaks."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row per repetition taken, numbered by `repetition`; the one at a source's cut has its first words."""
+    return mixing.repetitions(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+]
 
+# SQL cannot train the classifier or tile passages; tests/llm hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again, so a lost executor costs one stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            release(spark, before)
+        before = path
     return docs

@@ -44,8 +44,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
         .withColumn("capped_before", F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("weight_left", F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("share", (F.col("total") - F.col("capped_before")) / F.col("weight_left"))
-        # The first source in this order whose cap holds its share sets the level for all after it.
-        .withColumn("fill", F.min(F.when(F.col("share") <= F.col("level"), F.col("share"))).over(Window.partitionBy()))
+        # The first source in this order whose cap holds its share sets the level; from there on the shares only fall.
+        .withColumn("fill", F.max(F.when(F.col("share") <= F.col("level"), F.col("share"))).over(Window.partitionBy()))
     )
     return ranked.select("source", "source_size", F.least("cap", F.coalesce(F.col("fill") * F.col("weight"), F.col("cap"))).alias("target"))
 

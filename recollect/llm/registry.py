@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import chat_format, decontaminate, embedding_dedup, license_scan, mixing, quality, simhash_dedup, suffix_dedup, url_filter
+from recollect.llm import chat_format, decontaminate, embedding_dedup, license_scan, mixing, quality, simhash_dedup, suffix_dedup, url_filter, warc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_t(spark, sf_dir, "documents"), radius=4, shingle=4)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_t(spark, sf_dir, "pages"), least=1000)
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_t(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.matches(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
-QUERIES = [op2_suffix_array_dedup, op6_license_scans, op7_quality_classifier, op10_benchmark_decontamination, op1_embedding_near_dedup, op3_url_filters, op4_chat_formatting, op8_source_mixing, op9_simhash_near_dedup]
+QUERIES = [op5_warc, op2_suffix_array_dedup, op6_license_scans, op7_quality_classifier, op10_benchmark_decontamination, op1_embedding_near_dedup, op3_url_filters, op4_chat_formatting, op8_source_mixing, op9_simhash_near_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -99,6 +103,25 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP3_SQL = """
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(rule, verdict, h, p) AS (VALUES ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
+  ('www.example.com/en/', 'allow', 'www.example.com', '/en/'), ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/'))
+SELECT page_id, host, path, r.rule, coalesce(r.verdict, 'allow') AS verdict, NULL::VARCHAR AS mined_items, NULL::DOUBLE AS mined_confidence
+FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC NULLS LAST) = 1
+"""
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM m
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -109,7 +132,7 @@ w AS (SELECT *, (((rank - 1) % 3) + 1)::DOUBLE AS weight, 3.0::DOUBLE * source_s
 l AS (SELECT *, cap / weight AS level, sum(source_size) OVER () AS total FROM w),
 f AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY level, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY level, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM l),
-g AS (SELECT *, min(CASE WHEN share <= level THEN share END) OVER () AS fill FROM f),
+g AS (SELECT *, max(CASE WHEN share <= level THEN share END) OVER () AS fill FROM f),
 p AS (SELECT source, source_size, least(cap, coalesce(fill * weight, cap)) AS target FROM g),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM p),
 x AS (SELECT *, round(target - whole * source_size)::BIGINT AS extra FROM q),
@@ -121,4 +144,4 @@ SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op8_source_mixing": OP8_SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op5_warc": OP5_SQL, "op8_source_mixing": OP8_SQL}
