@@ -216,10 +216,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
         .join(roots, F.col("rep") == F.col("node"), "left")
         .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     )
+    has_id = F.col("vec_id").isNotNull()
     return rows.join(per_class, ["label", "embedding"], "left").select(
         "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"),
+        F.when(has_id, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(has_id, F.coalesce("component_id", "vec_id")).alias("component_id"),
+        F.when(has_id, F.col("vec_id") == F.coalesce("component_id", "vec_id")).otherwise(False).alias("kept"),
         F.col("label").cast("int").alias("label"),
     )
