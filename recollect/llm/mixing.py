@@ -72,22 +72,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     cuts = (
         bins.withColumn("before", F.coalesce(F.sum("bin_size").over(up_to), F.lit(0)))
         .join(plan, F.col("source").eqNullSafe(F.col("of")))
-        .select("of", F.col("_bin").alias("at"), "source_size", "target", "whole", (F.col("extra") - F.col("before")).alias("left"), "bin_size")
+        .select(
+            F.col("of").alias("_of"),
+            F.col("_bin").alias("_at"),
+            F.col("source_size").alias("_source_size"),
+            F.col("target").alias("_target"),
+            F.col("whole").cast("int").alias("_whole"),
+            (F.col("extra") - F.col("before")).alias("_left"),
+            F.col("bin_size").alias("_bin_size"),
+        )
     )
-    dealt = rows.join(cuts, F.col("source").eqNullSafe(F.col("of")) & (F.col("_bin") == F.col("at")))
-    inside = (F.col("left") > 0) & (F.col("left") < F.col("bin_size"))
+    dealt = rows.join(cuts, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_bin") == F.col("_at")))
+    inside = (F.col("_left") > 0) & (F.col("_left") < F.col("_bin_size"))
     # Only rows of the cut's range are ordered; the others get a key of their own, so no window is large.
     part = F.when(inside, F.lit("cut")).otherwise(F.col("_order"))
     before = F.coalesce(
         F.sum("_size").over(Window.partitionBy("source", "_bin", part).orderBy("_order", "_size", F.md5(F.col("text")), F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0),
     )
-    extra = F.when(~inside, F.when(F.col("left") > 0, F.col("_size")).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("_size"), F.col("left") - F.col("_before"))))
+    extra = F.when(~inside, F.when(F.col("_left") > 0, F.col("_size")).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_left") - F.col("_before"))))
     return (
         dealt.withColumn("_before", before)
         .withColumn("_extra", extra.cast("long"))
-        .withColumn("_taken", (F.col("whole") * F.col("_size") + F.col("_extra")).cast("long"))
-        .select(*docs.columns, "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").cast("int").alias("_whole"), "_extra", "_taken")
+        .withColumn("_taken", (F.col("_whole") * F.col("_size") + F.col("_extra")).cast("long"))
+        .select(*docs.columns, "_size", "_source_size", "_target", "_whole", "_extra", "_taken")
     )
 
 
