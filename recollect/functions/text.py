@@ -120,3 +120,40 @@ def matryoshka(vector: Column, dim: int) -> Column:
 
 def backoff_seconds(attempts: Column, most: int = 60) -> Column:
     return F.least(F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0))), F.lit(float(most))).cast("long")
+
+
+# Names and endings of files that may hold secrets.
+SENSITIVE_NAMES = (".env", ".netrc", ".npmrc", ".pypirc", "id_rsa", "id_ed25519", "credentials", "secrets.yaml", "secrets.yml")
+SENSITIVE_ENDINGS = (".pem", ".key", ".p12", ".pfx", ".keystore")
+SENSITIVE_FOLDERS = (".ssh", ".aws", ".gnupg", ".kube")
+
+
+def sensitive_path(path: Column) -> Column:
+    """True for paths of files that may hold secrets."""
+    low = F.lower(F.regexp_replace(path, r"\\", "/"))
+    name = F.element_at(F.split(low, "/"), -1)
+    out = name.isin(*SENSITIVE_NAMES) | name.startswith(".env.")
+    for e in SENSITIVE_ENDINGS:
+        out = out | name.endswith(e)
+    for d in SENSITIVE_FOLDERS:
+        out = out | F.concat(F.lit("/"), low).contains(f"/{d}/")
+    return out
+
+
+def redact_json(value: object, under: str = "") -> object:
+    """Redacts every text of a JSON value; a hex value under a key word goes as a whole."""
+    if isinstance(value, dict):
+        return {k: redact_json(v, k.lower()) for k, v in value.items()}
+    if isinstance(value, list):
+        return [redact_json(v, under) for v in value]
+    if isinstance(value, str):
+        if any(w in under for w in KEY_WORDS) and re.fullmatch(r"[0-9a-fA-F]{32,}", value):
+            return "[REDACTED:hex_in_context]"
+        return redact(value)
+    return value
+
+
+def fact_class(category: Column, outcome_: Column) -> Column:
+    """(fact_type, importance) of an extracted episode."""
+    kind = F.when(category.isin("decision", "convention"), "Semantic").when(category == "learning", "Procedural").otherwise("Episodic")
+    return F.struct(kind.alias("fact_type"), F.when(outcome_ == "success", 0.7).when(outcome_ == "failure", 0.6).otherwise(0.5).alias("importance"))

@@ -11,6 +11,7 @@ from recollect.functions import text as tx
 from recollect.operators import consolidate as co
 from recollect.operators import facts as fa
 from recollect.operators import graph as gr
+from recollect.operators import ingest as ig
 from recollect.operators import retrieval as rt
 from recollect.plans.tables import Frames, duck, now
 from recollect.sources import sessions as ss
@@ -180,3 +181,19 @@ _state = lambda t: t.facts.join(t.tombstones.select(c("fact_id").alias("id"), F.
 query("fact_state", f"SELECT id, {_STATE} FROM facts", lambda t: _state(t).select("id", "state"))
 query("fact_timeline", "SELECT id, moment, what FROM (" + " UNION ALL ".join(f"SELECT id, {n} AS moment, '{n}' AS what FROM facts" for n in ("t_created", "t_valid", "t_invalid", "t_expired", "surfaced_at")) + ") WHERE moment IS NOT NULL", lambda t: fa.timeline(t.facts))
 query("explain_fact", f"WITH {_DEG} SELECT f.id, {_STATE.replace('id IN', 'f.id IN')}, e.session_id, coalesce(d.degree, 0) AS degree FROM facts f LEFT JOIN event_log e ON e.id = f.source_event_id LEFT JOIN deg d ON d.id = f.id WHERE f.id BETWEEN 10 AND 40", lambda t: _state(t).where("id between 10 and 40").join(t.event_log.select(c("id").alias("source_event_id"), "session_id"), "source_event_id", "left").join(gr.degree(t.edges), "id", "left").select("id", "state", "session_id", F.coalesce("degree", F.lit(0)).alias("degree")))
+# Ingest and cycle
+_BATCH = "SELECT doc_id AS idx, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE text END AS content, CASE WHEN doc_id % 14 = 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS importance, CAST(NULL AS @ts) AS t_valid, CAST(NULL AS @ts) AS t_invalid FROM "
+_batch = lambda t: t.spark.sql(_BATCH.replace("@ts", "TIMESTAMP_NTZ") + "{d}", d=t.source("documents"))
+query("batch_insert_results", "WITH b AS (" + _BATCH.replace("@ts", "TIMESTAMP") + "documents) SELECT idx, CASE WHEN content IS NULL OR octet_length(encode(content)) > 1048576 OR importance NOT BETWEEN 0 AND 1 THEN 'invalid' WHEN md5(content) IN (SELECT content_hash FROM tombstones) THEN 'blocked' ELSE 'created' END AS status FROM b", lambda t: ig.insert_results(_batch(t), t.tombstones))
+query("batch_insert_atomic", "SELECT doc_id AS idx FROM documents WHERE FALSE", lambda t: ig.all_or_nothing(_batch(t), ig.insert_results(_batch(t), t.tombstones)).select("idx"))
+query("content_hashes", "SELECT doc_id, substr(sha256(text), 1, 32) AS h FROM documents", lambda t: t.source("documents").select("doc_id", ig.content_hash(c("text")).alias("h")))
+query("metadata_patch", """SELECT id, CASE WHEN id % 5 = 0 THEN 'true' END AS dream_cycle, '9' AS k FROM facts""", lambda t: t.facts.select("id", ig.merge_metadata(c("metadata"), F.lit('{"k":9}')).alias("m")).select("id", F.get_json_object("m", "$.dream_cycle").alias("dream_cycle"), F.get_json_object("m", "$.k").alias("k")))
+query("space_status", "SELECT 'new' AS space_id, (SELECT count(*) FROM fact_vectors WHERE space_id = 'new') AS vectors, (SELECT count(*) FROM facts WHERE id NOT IN (SELECT fact_id FROM fact_vectors WHERE space_id = 'new')) AS pending", lambda t: ig.space_status(t.fact_vectors, t.facts, "new"))
+query("erase_edges", "SELECT id FROM edges WHERE source_fact_id NOT IN (7, 11) AND target_fact_id NOT IN (7, 11)", lambda t: ig.erase({"edges": t.edges}, _ids(t, 7, 11))["edges"].select("id"))
+query("promotion_candidates", f"WITH RECURSIVE {_SIM}, {_CC}, md AS (SELECT cluster, first(id ORDER BY importance_score DESC, id) AS medoid, max(importance_score) AS score FROM cc JOIN facts USING (id) GROUP BY cluster HAVING count(*) >= 2) SELECT medoid, count(*) AS source_count, min(t_created) AS first_at, max(t_created) AS last_at, round(1 - 1.0::DOUBLE / count(*), 6) AS confidence FROM cc JOIN facts USING (id) JOIN md USING (cluster) WHERE score >= 0.75 GROUP BY medoid", lambda t: (lambda m: ig.promote(t.facts, m, co.medoid(m, t.facts).where("score >= 0.75")))(co.clusters(_sim(t))))
+query("adjusted_scores", "WITH o AS (SELECT fact_id, count(*) FILTER (outcome = 'Positive') AS p, count(*) FILTER (outcome = 'Negative') AS n FROM outcomes WHERE outcome <> 'Other' GROUP BY fact_id) SELECT id, round(least(1, greatest(0, importance_score + CASE WHEN p IS NULL OR (p = 0 AND n >= 3) THEN 0 ELSE greatest(-2, least(2, p - n)) END * 0.05)), 6) AS importance_score FROM facts LEFT JOIN o ON fact_id = id", lambda t: ig.adjust_scores(t.facts, co.adjustments(co.outcome_counts(t.outcomes))))
+query("bootstrap_sessions", "SELECT DISTINCT session_id FROM event_log WHERE session_id NOT IN (SELECT session_id FROM checkpoints WHERE last_activity_id % 2 = 0)", lambda t: ig.new_sessions(t.event_log.select("session_id"), t.checkpoints.where("last_activity_id % 2 = 0").select("session_id")))
+query("project_facts", f"{_CL} SELECT f.id, f.t_created FROM facts f WHERE t_expired IS NULL AND scope_id IN (SELECT id FROM cl WHERE ancestor = 3) ORDER BY t_created DESC, f.id LIMIT 10", lambda t: ig.project_context(t.facts, ac.fold(t.activity_events), t.checkpoints, gr.scope_ids(t.scopes, 3, "subtree"))["facts"].select("id", "t_created"))
+query("sensitive_paths", "SELECT event_id, event_id % 3 = 0 AS hit FROM events", lambda t: t.source("events").select("event_id", tx.sensitive_path(F.concat(F.lit("/home/x/"), F.when(c("event_id") % 3 == 0, ".ssh/config").otherwise("notes.md"))).alias("hit")))
+query("lineage_of", "SELECT lineage_id, source_fact_id FROM lineage WHERE wisdom_fact_id = 45", lambda t: t.lineage.where("wisdom_fact_id = 45").select("lineage_id", "source_fact_id"))
+query("archived_union", f"SELECT id, importance_score, 'live' AS origin FROM facts WHERE {ACTIVE} AND importance_score > 0.9 UNION ALL SELECT id, importance_score, 'archive' FROM facts WHERE t_expired IS NOT NULL AND importance_score > 0.9 ORDER BY importance_score DESC, id LIMIT 25", lambda t: fa.top(t.facts.where(fa.active()).select("id", "importance_score", F.lit("live").alias("origin")).unionByName(t.facts.where(~fa.active()).select("id", "importance_score", F.lit("archive").alias("origin"))).where("importance_score > 0.9"), 25, c("importance_score").desc()))
