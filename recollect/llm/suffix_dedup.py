@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ class RunIndex:
             key = key * 257 + padded[j : j + n]
         h = 7
         while True:
-            sa = np.argsort(key, kind="stable")
+            sa = np.argsort(key)
             new = np.concatenate([[False], key[sa][1:] != key[sa][:-1]])
             rank = np.empty(n, np.int64)
             rank[sa] = np.cumsum(new)
@@ -210,17 +211,38 @@ def _texts(group: pa.Table) -> tuple[dict[bytes, int], list]:
     return low, rows
 
 
-def _distinct_segments(low: dict[bytes, int], shared: np.ndarray, length: int) -> dict[tuple[int, bytes], int]:
-    """(minimizer, segment) -> smallest doc_id in the group, of segments with a shared minimizer."""
-    out: dict[tuple[int, bytes], int] = {}
+def _distinct_segments(low: dict[bytes, int], shared: np.ndarray, length: int, shards: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segments, shard, minimizer, content hash, smallest doc_id in the group) of segments with a shared minimizer, in a
+    fixed order. A segment's text fixes its minimizer."""
+    doc_of: dict[bytes, int] = {}
+    value_of: dict[bytes, int] = {}
     for t, doc in low.items():
         start, size, value = segments(np.frombuffer(t, np.uint8), length)
-        for i in np.flatnonzero(np.isin(value, shared)).tolist():
-            s = int(start[i])
-            key = (int(value[i]), t[s : s + int(size[i]) + length - 1])
-            if doc < out.get(key, NONE):
-                out[key] = doc
-    return out
+        hit = _among(value, shared)
+        for s, e, v in zip(start[hit].tolist(), (start[hit] + size[hit] + length - 1).tolist(), value[hit].tolist()):
+            part = t[s:e]
+            if doc < doc_of.get(part, NONE):
+                doc_of[part] = doc
+                value_of[part] = v
+    texts = list(doc_of)
+    value = np.array([value_of[t] for t in texts], np.uint64)
+    content = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
+    shard = _shard(value, shards)
+    order = np.lexsort((content, value, shard))
+    return [texts[i] for i in order.tolist()], shard[order], value[order], content[order], np.array(list(doc_of.values()), np.int64)[order]
+
+
+def _shard(value: np.ndarray, shards: int) -> np.ndarray:
+    return (value >> np.uint64(33)).astype(np.int64) % shards
+
+
+def _among(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Positions in x of values that the sorted array has."""
+    if not len(sorted_):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(sorted_, x)
+    at[at == len(sorted_)] = 0
+    return np.flatnonzero(sorted_[at] == x)
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -247,7 +269,7 @@ def dedup(docs: DataFrame, length: int = 50, texts: bool = False) -> DataFrame:
         low, _ = _texts(g)
         each = [np.unique(segments(np.frombuffer(t, np.uint8), length)[2]) for t in low] or [np.zeros(0, np.uint64)]
         h, count = np.unique(np.concatenate(each), return_counts=True)
-        shard = (h >> np.uint64(33)).astype(np.int64) % n
+        shard = _shard(h, n)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(n + 1))
         where = [s for s in range(n) if cuts[s] < cuts[s + 1]]
@@ -271,85 +293,71 @@ def dedup(docs: DataFrame, length: int = 50, texts: bool = False) -> DataFrame:
     )
 
     def known(rows: pa.Table) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("h").to_pylist()] or [np.zeros(0, np.uint64)])
-
-    def in_order(low: dict[bytes, int], shared_h: np.ndarray) -> list:
-        return sorted(_distinct_segments(low, shared_h, length).items(), key=lambda x: ((x[0][0] >> 33) % n, x[0][0]))
+        return np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("h").to_pylist()] or [np.zeros(0, np.uint64)]))
 
     def send_segments(g: pa.Table, rows: pa.Table) -> pa.Table:
-        made = in_order(_texts(g)[0], known(rows)) if g.num_rows and rows.num_rows else []
-        cols: dict[str, list] = {"shard": [], "g": [], "h": [], "doc": [], "size": [], "text": []}
-        at = 0
-        while at < len(made):
-            shard, end = (made[at][0][0] >> 33) % n, at
-            while end < len(made) and (made[end][0][0] >> 33) % n == shard:
-                end += 1
-            part = made[at:end]
-            cols["shard"].append(shard)
-            cols["g"].append(int(g.column("g")[0].as_py()))
-            cols["h"].append(_blob(np.array([k[0] for k, _ in part], np.uint64)))
-            cols["doc"].append(_blob(np.array([d for _, d in part], np.int64)))
-            cols["size"].append(_blob(np.array([len(k[1]) for k, _ in part], np.int64)))
-            cols["text"].append(b"".join(k[1] for k, _ in part))
-            at = end
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        some = g.num_rows and rows.num_rows
+        parts, shard, value, content, doc = _distinct_segments(_texts(g)[0] if some else {}, known(rows), length, n)
+        where = np.unique(shard)
+        cuts = np.searchsorted(shard, np.append(where, n))
+        cols: dict[str, list] = {"shard": where.tolist(), "g": [int(g.column("g")[0].as_py())] * len(where) if some else [], "h": [], "c": [], "doc": [], "size": [], "text": []}
+        for s, e in zip(cuts, cuts[1:]):
+            cols["h"].append(_blob(value[s:e]))
+            cols["c"].append(_blob(content[s:e]))
+            cols["doc"].append(_blob(doc[s:e]))
+            cols["size"].append(_blob(np.array([len(t) for t in parts[s:e]], np.int64)))
+            cols["text"].append(b"".join(parts[s:e]))
+        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(cols.items(), kinds)})
 
     def answer_docs(rows: pa.Table) -> pa.Table:
-        parts: dict[int, dict[bytes, int]] = {}
-        wanted: list[list[tuple[int, bytes]]] = []
-        for h, doc, size, text in zip(*(rows.column(c).to_pylist() for c in ("h", "doc", "size", "text"))):
-            hs, ds, ends = np.frombuffer(h, np.uint64).tolist(), np.frombuffer(doc, np.int64).tolist(), np.cumsum(np.frombuffer(size, np.int64)).tolist()
-            keys, at = [], 0
-            for m, d, e in zip(hs, ds, ends):
-                t = text[at:e]
-                at = e
-                own = parts.setdefault(m, {})
-                if d < own.get(t, NONE):
-                    own[t] = d
-                keys.append((m, t))
-            wanted.append(keys)
-        answers: dict[tuple[int, bytes], np.ndarray] = {}
-        batch: list[tuple[int, bytes]] = []
-        docs_: list[int] = []
-        held = 0
-
-        def flush() -> None:
-            nonlocal batch, docs_, held
-            if batch:
-                for key, low in zip(batch, smallest_docs([t for _, t in batch], np.array(docs_, np.int64), length)):
-                    answers[key] = low
-            batch, docs_, held = [], [], 0
-
-        for m, own in parts.items():
-            if len(own) > 1:  # a minimizer is never cut between two batches
-                size = sum(map(len, own))
-                if held and held + size > INDEX_BYTES:
-                    flush()
-                batch += [(m, t) for t in own]
-                docs_ += own.values()
-                held += size
-        flush()
-        low_out, runs_out = [], []
-        for keys in wanted:
-            low = np.empty(len(keys), np.int64)
-            runs: list[np.ndarray] = []
-            for i, (m, t) in enumerate(keys):
-                each = answers.get((m, t))
-                if each is None or (each == each[0]).all():
-                    low[i] = parts[m][t] if each is None else each[0]
+        got = {k: [np.frombuffer(x, t) for x in rows.column(k).to_pylist()] for k, t in (("h", np.uint64), ("c", np.uint64), ("doc", np.int64), ("size", np.int64))}
+        text = rows.column("text").combine_chunks()
+        counts = [len(x) for x in got["h"]]
+        first = np.cumsum([0, *counts])
+        h, content, doc = (np.concatenate(got[k]) for k in ("h", "c", "doc"))
+        ends = np.concatenate([np.cumsum(x) for x in got["size"]])
+        sizes = np.concatenate(got["size"])
+        order = np.lexsort((content, h))
+        sh, sc = h[order], content[order]
+        head = np.concatenate([[True], (sh[1:] != sh[:-1]) | (sc[1:] != sc[:-1])])
+        heads = np.flatnonzero(head)
+        low = np.minimum.reduceat(doc[order], heads)  # equal segments are one run
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(head) - 1
+        of = sh[heads]
+        group = np.cumsum(np.concatenate([[True], of[1:] != of[:-1]])) - 1
+        mixed = np.flatnonzero(np.bincount(group)[group] > 1)
+        runs: dict[int, np.ndarray] = {}
+        low_out = low.copy()
+        at = 0
+        while at < len(mixed):
+            batch, held = [], 0
+            while at < len(mixed) and (not batch or held < INDEX_BYTES or group[mixed[at]] == group[mixed[at - 1]]):
+                k = int(mixed[at])
+                i = int(order[heads[k]])
+                r = int(np.searchsorted(first, i, side="right")) - 1
+                batch.append((k, text[r].as_buffer()[int(ends[i] - sizes[i]) : int(ends[i])].to_pybytes()))
+                held += int(sizes[i])
+                at += 1
+            for (k, _), each in zip(batch, smallest_docs([t for _, t in batch], low[[k for k, _ in batch]], length)):
+                if (each == each[0]).all():
+                    low_out[k] = each[0]
                 else:
-                    low[i] = NONE
-                    head = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
-                    runs.append(np.column_stack([np.full(len(head), i), head, each[head]]).astype(np.int64).ravel())
-            low_out.append(_blob(low))
-            runs_out.append(_blob(np.concatenate(runs) if runs else np.zeros(0, np.int64)))
-        return pa.table({"g": rows.column("g").cast(pa.int32()), "shard": rows.column("shard").cast(pa.int32()), "low": pa.array(low_out, pa.binary()), "runs": pa.array(runs_out, pa.binary())})
+                    low_out[k] = NONE
+                    cut = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]]))
+                    runs[k] = np.column_stack([cut, each[cut]])
+        lows, found = [], []
+        for s, e in zip(first, first[1:]):
+            lows.append(_blob(low_out[which[s:e]]))
+            own = [np.column_stack([np.full(len(runs[k]), i), runs[k]]).ravel() for i, k in enumerate(which[s:e].tolist()) if k in runs]
+            found.append(_blob(np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)))
+        return pa.table({"g": rows.column("g").cast(pa.int32()), "shard": rows.column("shard").cast(pa.int32()), "low": pa.array(lows, pa.binary()), "runs": pa.array(found, pa.binary())})
 
     answers, _ = materialize(
         dealt.groupBy("g")
         .cogroup(shared.groupBy("g"))
-        .applyInArrow(send_segments, "shard int, g int, h binary, doc binary, size binary, text binary")
+        .applyInArrow(send_segments, "shard int, g int, h binary, c binary, doc binary, size binary, text binary")
         .groupBy("shard")
         .applyInArrow(answer_docs, "g int, shard int, low binary, runs binary"),
         "segments",
@@ -360,20 +368,21 @@ def dedup(docs: DataFrame, length: int = 50, texts: bool = False) -> DataFrame:
 
     def mark(g: pa.Table, rows: pa.Table) -> pa.Table:
         low, all_rows = _texts(g)
-        table: dict[tuple[int, bytes], object] = {}
+        table: dict[bytes, object] = {}
+        values = np.zeros(0, np.uint64)
         if rows.num_rows:
             got = sorted(zip(*(rows.column(c).to_pylist() for c in ("shard", "low", "runs", "h"))), key=lambda r: r[0])
-            made = in_order(low, np.concatenate([np.frombuffer(r[3], np.uint64) for r in got if r[0] < 0] or [np.zeros(0, np.uint64)]))
+            values = np.sort(np.concatenate([np.frombuffer(r[3], np.uint64) for r in got if r[0] < 0] or [values]))
+            parts = _distinct_segments(low, values, length, n)[0]
             at = 0
             for _, lows, runs, _ in (r for r in got if r[0] >= 0):
-                docs_ = np.frombuffer(lows, np.int64)
+                docs_ = np.frombuffer(lows, np.int64).tolist()
                 mixed: dict[int, list] = {}
                 for i, s, d in np.frombuffer(runs, np.int64).reshape(-1, 3).tolist():
                     mixed.setdefault(i, []).append((s, d))
-                for i, d in enumerate(docs_.tolist()):
-                    table[made[at + i][0]] = mixed[i] if d == NONE else d
+                for i, d in enumerate(docs_):
+                    table[parts[at + i]] = mixed[i] if d == NONE else d
                 at += len(docs_)
-        values = np.array(sorted({k[0] for k in table}), np.uint64)
         done: dict[bytes, tuple] = {}
         cols: list[list] = [[] for _ in range(6)]
         for doc_id, t in all_rows:
@@ -385,9 +394,9 @@ def dedup(docs: DataFrame, length: int = 50, texts: bool = False) -> DataFrame:
                     cover = np.zeros(size + 1, np.int32)
                     if doc_id is not None:
                         start, count, value = segments(np.frombuffer(t, np.uint8), length)
-                        for i in np.flatnonzero(np.isin(value, values)).tolist():
+                        for i in _among(value, values).tolist():
                             s, c = int(start[i]), int(count[i])
-                            hit = table[(int(value[i]), t[s : s + c + length - 1])]
+                            hit = table[t[s : s + c + length - 1]]
                             if isinstance(hit, int):
                                 hit = [(0, hit)]
                             for (a, d), (b, _) in zip(hit, [*hit[1:], (c, 0)]):
