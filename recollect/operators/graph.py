@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.operators.shared import materialize
+from recollect.operators.shared import materialize, release
 
 c = F.col
 
@@ -58,15 +58,17 @@ def neighbours(edges: DataFrame, node: int, undirected: bool = False) -> DataFra
 def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
     """(id, root) of undirected pairs (a, b): smallest-label rounds with pointer jumping."""
     both, _ = materialize(pairs.select("a", "b").union(pairs.select(c("b").alias("a"), c("a").alias("b"))).distinct(), "edges")
-    labels, _ = materialize(both.groupBy(c("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "labels")
+    labels, path = materialize(both.groupBy(c("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "labels")
     for _ in range(rounds):
         near = both.join(labels.select(c("id").alias("b"), "root"), "b").groupBy(c("a").alias("id")).agg(F.min("root").alias("m"))
         step = labels.join(near, "id").select("id", F.least("root", "m").alias("root"))
         jump = step.join(labels.select(c("id").alias("root"), c("root").alias("up")), "root", "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root"))
-        after, _ = materialize(jump, "labels")
-        if after.join(labels, ["id", "root"], "left_anti").isEmpty():
-            return after
-        labels = after
+        after, after_path = materialize(jump, "labels")
+        settled = after.join(labels, ["id", "root"], "left_anti").isEmpty()
+        release(labels, path)
+        labels, path = after, after_path
+        if settled:
+            return labels
     raise RuntimeError("components did not settle")
 
 

@@ -23,3 +23,10 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{root.rstrip('/')}/recollect/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def release(df: DataFrame, path: str) -> None:
+    """Deletes a table of materialize that nothing reads any more."""
+    spark = df.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
