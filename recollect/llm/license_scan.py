@@ -83,6 +83,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
         for p in winnow(h).tolist():
             index[int(h[p])].append((n, p))
     marks = np.array(sorted(index), np.uint64)
+    # A template shorter than K + WINDOW - 1 words fills no window, so its one shingle counts wherever it is.
+    short = np.array([int(_tokens.rolling(w, K)[0]) for _, w in items if K <= len(w) < K + WINDOW - 1], np.uint64)
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
     def found(text: str) -> list[tuple]:
@@ -92,6 +94,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
             return []
         # Words in no template never match, so winnowing runs over the whole document with them as gaps of hash 0.
         places = winnow(np.where(h == 0, np.uint64(2**64 - 1), h))
+        places = np.union1d(places, np.flatnonzero(np.isin(h, short)))
         diagonals: dict[int, set[int]] = defaultdict(set)
         for p in places[np.isin(h[places], marks)].tolist():
             for n, q in index[int(h[p])]:
