@@ -34,7 +34,7 @@ from recollect.llm._runtime import materialize, partitions
 K = 20
 CHUNK = 1 << 18  # bytes of text hashed at a time
 LONGEST = 2048  # strings in a segment
-INDEX_BYTES = 1 << 20  # text of one run index
+INDEX_BYTES = 1 << 17  # text of one run index; its arrays stay in a core's cache
 _RNG = np.random.default_rng(20)
 _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -134,6 +134,9 @@ class RunIndex:
         ordered = run_size[by_char]
         self.lf[by_char] = np.cumsum(ordered) - ordered
         self.ends, self.n = ends, n
+        # Directories from a row to its run and its class, so that a step needs no search.
+        self.run_of = np.repeat(np.arange(len(run_size), dtype=np.int32), run_size)
+        self.back = self.lf - self.run_start
         # Classes of equal `length`-byte prefixes, with the smallest document of each.
         windows = _window_hash(joined, length) if n >= length else np.zeros(0, np.uint64)
         whole = np.zeros(n, bool)
@@ -144,6 +147,7 @@ class RunIndex:
         hash_, ok = hash_[sa], whole[sa]
         head = np.concatenate([[True], (hash_[1:] != hash_[:-1]) | ~ok[1:] | ~ok[:-1]])
         self.class_start = np.flatnonzero(head)
+        self.class_of = np.cumsum(head, dtype=np.int32) - 1
         self.class_hash = hash_[self.class_start]
         of = np.repeat(docs, sizes + 1)[sa]
         self.class_doc = np.minimum.reduceat(np.where(ok, of, NONE), self.class_start)
@@ -156,14 +160,15 @@ class RunIndex:
         row, left, place = self.end_row.copy(), self.sizes.copy(), self.ends.copy()
         places, classes = [], []
         while True:
-            live = np.flatnonzero(left > 0)
-            if not len(live):
+            live = left > 0
+            if not live.all():
+                row, left, place = row[live], left[live], place[live]
+            if not len(row):
                 return np.concatenate(places), np.concatenate(classes)
-            row, left, place = row[live], left[live] - 1, place[live] - 1
-            run = np.searchsorted(self.run_start, row, side="right") - 1
-            row = self.lf[run] + row - self.run_start[run]
+            left, place = left - 1, place - 1
+            row = row + self.back[self.run_of[row]]
             places.append(place)
-            classes.append(np.searchsorted(self.class_start, row, side="right") - 1)
+            classes.append(self.class_of[row])
 
 
 def smallest_docs(parts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
@@ -312,7 +317,7 @@ def dedup(docs: DataFrame, length: int = 50, texts: bool = False) -> DataFrame:
 
     def answer_docs(rows: pa.Table) -> pa.Table:
         got = {k: [np.frombuffer(x, t) for x in rows.column(k).to_pylist()] for k, t in (("h", np.uint64), ("c", np.uint64), ("doc", np.int64), ("size", np.int64))}
-        text = rows.column("text").combine_chunks()
+        text = [memoryview(x.as_buffer()) for x in rows.column("text")]
         counts = [len(x) for x in got["h"]]
         first = np.cumsum([0, *counts])
         h, content, doc = (np.concatenate(got[k]) for k in ("h", "c", "doc"))
@@ -337,7 +342,7 @@ def dedup(docs: DataFrame, length: int = 50, texts: bool = False) -> DataFrame:
                 k = int(mixed[at])
                 i = int(order[heads[k]])
                 r = int(np.searchsorted(first, i, side="right")) - 1
-                batch.append((k, text[r].as_buffer()[int(ends[i] - sizes[i]) : int(ends[i])].to_pybytes()))
+                batch.append((k, bytes(text[r][int(ends[i] - sizes[i]) : int(ends[i])])))
                 held += int(sizes[i])
                 at += 1
             for (k, _), each in zip(batch, smallest_docs([t for _, t in batch], low[[k for k, _ in batch]], length)):
@@ -394,15 +399,21 @@ def dedup(docs: DataFrame, length: int = 50, texts: bool = False) -> DataFrame:
                     cover = np.zeros(size + 1, np.int32)
                     if doc_id is not None:
                         start, count, value = segments(np.frombuffer(t, np.uint8), length)
-                        for i in _among(value, values).tolist():
-                            s, c = int(start[i]), int(count[i])
+                        hits = _among(value, values)
+                        first, last = [], []
+                        for s, c in zip(start[hits].tolist(), count[hits].tolist()):
                             hit = table[t[s : s + c + length - 1]]
                             if isinstance(hit, int):
-                                hit = [(0, hit)]
+                                if hit < doc_id:
+                                    first.append(s)
+                                    last.append(s + c + length - 1)
+                                continue
                             for (a, d), (b, _) in zip(hit, [*hit[1:], (c, 0)]):
                                 if d < doc_id:
-                                    cover[s + a] += 1
-                                    cover[s + b + length - 1] -= 1
+                                    first.append(s + a)
+                                    last.append(s + b + length - 1)
+                        np.add.at(cover, np.array(first, np.int64), 1)
+                        np.add.at(cover, np.array(last, np.int64), -1)
                     gone = np.cumsum(cover[:-1]) > 0
                     kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
                     result = (size, int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()), kept)
