@@ -49,12 +49,13 @@ def release(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def pair_blocks(df: DataFrame, key: list[str], spread: Column, block: int) -> DataFrame:
+def pair_blocks(df: DataFrame, key: list[str], spread: Column, block: int, carried: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
     """Deal rows so that any two rows of a key meet in exactly one block, in blocks of about 2 x block rows at most.
 
     Keys with one row are dropped, as they have no pairs. A key with more than `block` rows is cut into chunks by the
     hash of `spread`, and each pair of chunks becomes a block of its own, so no key is gathered into one task. Adds
-    `blk_a` <= `blk_b` (the block's chunks) and `blk_own` (the row's chunk); rows come sorted by key and block.
+    `blk_a` <= `blk_b` (the block's chunks) and `blk_own` (the row's chunk); rows come sorted by key and block. Wide
+    columns can stay in `carried`, joined by `on` to the rows that are left.
     """
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     dealt = (
@@ -66,6 +67,8 @@ def pair_blocks(df: DataFrame, key: list[str], spread: Column, block: int) -> Da
         .withColumn("blk_b", F.greatest("blk_own", "_other"))
         .drop("_n", "_chunks", "_other")
     )
+    if carried is not None:
+        dealt = dealt.join(carried, on)
     cols = [*key, "blk_a", "blk_b"]
     return dealt.repartition(partitions(df.sparkSession), *cols).sortWithinPartitions(*cols)
 

@@ -38,7 +38,7 @@ def calibrate(n: int, threshold: float, miss: float) -> tuple[int, int, int]:
     near = 1 - math.sqrt(2 / math.pi) / CELL
     x = np.linspace(0, CELL * r, 2001)
     far = float(np.mean(np.exp(-((x / math.sqrt(2)) ** 2) / 2) * (1 - x / (CELL * r))) * 2 * CELL * r / math.sqrt(4 * math.pi))
-    lines = max(4, math.ceil(math.log(max(n, 2)) / -math.log(min(far, 0.9))))
+    lines = max(4, math.ceil(math.log(8 * max(n, 2)) / -math.log(min(far, 0.9))))  # about an eighth of the rows share a cell by chance
     tables = math.ceil(math.log(miss / 2) / math.log1p(-(near**lines)))
     p = math.erf(WINDOW / math.sqrt(2))
     lost, count = 0.0, 0
@@ -80,8 +80,8 @@ def _cells(dim: int, lines: int, tables: int, width: float, seed: int) -> tuple[
     return rng.standard_normal((dim, tables * lines)), rng.uniform(0, width, tables * lines), mix
 
 
-def deals(found: DataFrame, threshold: float, lines: int, tables: int, seed: int = 11) -> DataFrame:
-    """A row per class and table: (deal, cell) is the cell, `cells` has the cells of all tables for de-duplication."""
+def cells(found: DataFrame, threshold: float, lines: int, tables: int, seed: int = 11) -> DataFrame:
+    """The classes with `cells`: the cell of each table, a hash of the cells of its lines."""
     width = CELL * math.sqrt(2 - 2 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,20 +93,19 @@ def deals(found: DataFrame, threshold: float, lines: int, tables: int, seed: int
                 for at in range(0, len(rows), 1000):
                     batch = whole.take(pa.array(rows[at : at + 1000]))
                     n = batch.num_rows
-                    a, shift, mix = known.setdefault(dim, _cells(dim, lines, tables, width, seed))
+                    if dim not in known:
+                        known[dim] = _cells(dim, lines, tables, width, seed)
+                    a, shift, mix = known[dim]
                     grid = np.floor((_unit(_matrix(batch.column(1), dim)) @ a + shift) / width).astype(np.int64)
                     h = (grid.reshape(n, tables, lines) * mix).sum(axis=2) + dim
                     h ^= h >> 29
-                    cells = ((h * 0x5851F42D4C957F2D) >> 32).astype(np.int32)
-                    for t in range(tables):
-                        yield pa.record_batch(
-                            [pa.array(np.full(n, t, np.int32)), pa.array(cells[:, t]), batch.column(0), batch.column(2), batch.column(3), pa.array([r.tobytes() for r in cells]), batch.column(1)],
-                            ["deal", "cell", "label", "rep", "copies", "cells", "embedding"],
-                        )
+                    cell = ((h * 0x5851F42D4C957F2D) >> 32).astype(np.int32)
+                    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * tables)
+                    yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(cell.ravel()))], [*batch.schema.names, "cells"])
 
     kinds = dict(found.dtypes)
-    schema = f"deal int, cell int, label long, rep long, copies long, cells binary, embedding {kinds['embedding']}"
-    return map_arrow(found.select(F.col("label").cast("long").alias("label"), "embedding", F.col("rep").cast("long").alias("rep"), "copies"), run, schema)
+    rows = found.select(F.col("label").cast("long").alias("label"), "embedding", F.col("rep").cast("long").alias("rep"), "copies")
+    return map_arrow(rows, run, f"label long, embedding {kinds['embedding']}, rep long, copies long, cells array<int>")
 
 
 def _passing(p: np.ndarray, q: np.ndarray, same: bool, w: float, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +134,7 @@ def _passing(p: np.ndarray, q: np.ndarray, same: bool, w: float, count: int) ->
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def block_links(dealt: DataFrame, threshold: float, count: int, block: int, seed: int = 12) -> DataFrame:
+def block_links(found: DataFrame, threshold: float, count: int, block: int, seed: int = 12) -> DataFrame:
     """Per class and block: (rep, label, links long, root): vectors linked there and the smallest row of its group."""
     w = WINDOW * math.sqrt(2 - 2 * threshold)
 
@@ -167,7 +166,7 @@ def block_links(dealt: DataFrame, threshold: float, count: int, block: int, seed
                     continue
                 i, j = _passing(p[left], p[right], same, w, count)
                 i, j = left[i], right[j]
-                cells = np.frombuffer(b"".join(part.column("cells").to_pylist()), np.int32).reshape(n, -1)
+                cell = _matrix(part.column("cells"), len(part.column("cells")[0]))
                 links = np.zeros(n, np.int64)
                 found = []
                 copies = part.column("copies").to_numpy()
@@ -176,7 +175,7 @@ def block_links(dealt: DataFrame, threshold: float, count: int, block: int, seed
                     keep = np.einsum("ij,ij->i", unit[s], unit[t]) >= threshold
                     s, t = s[keep], t[keep]
                     if deal:  # counted in the first deal that brings the two together
-                        keep = ~(cells[s, :deal] == cells[t, :deal]).any(axis=1)
+                        keep = ~(cell[s, :deal] == cell[t, :deal]).any(axis=1)
                         s, t = s[keep], t[keep]
                     np.add.at(links, s, copies[t])
                     np.add.at(links, t, copies[s])
@@ -192,7 +191,9 @@ def block_links(dealt: DataFrame, threshold: float, count: int, block: int, seed
                     ["rep", "label", "links", "root"],
                 )
 
-    rows = pair_blocks(dealt, ["deal", "cell", "label"], F.col("rep"), block)
+    # Only narrow rows are dealt; vectors join the rows that share a cell with another.
+    dealt = found.select("label", "rep", F.posexplode("cells").alias("deal", "cell"))
+    rows = pair_blocks(dealt, ["deal", "cell", "label"], F.col("rep"), block, found, ["label", "rep"])
     return map_arrow(rows, run, "rep long, label long, links long, root long")
 
 
@@ -208,7 +209,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
     found, _ = materialize(classes(rows), "vector-classes")
     most = found.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     lines, tables, count = calibrate(int(most), threshold, miss)
-    seen, _ = materialize(block_links(deals(found, threshold, lines, tables), threshold, count, block), "vector-links")
+    dealt, _ = materialize(cells(found, threshold, lines, tables), "vector-cells")
+    seen, _ = materialize(block_links(dealt, threshold, count, block), "vector-links")
     roots = components(seen.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector-components")
     sums = seen.groupBy("rep", "label").agg(F.sum("links").alias("links"))
     per_class = (
