@@ -57,7 +57,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     itself, in an order fixed by doc_id, size and text. A source without words yields nothing. An empty table gives an
     empty result. The columns of docs stay as they are; names starting with an underscore are the operator's own.
     """
-    rows = docs.withColumns({"_size": words(F.col("text")), "_order": _order(seed)}).withColumn(
+    rows = docs.withColumns({"_size": words(F.col("text")), "_order": _order(seed), "_tie": F.xxhash64("text")}).withColumn(
         "_bin", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * BINS / 2**32).cast("int")
     )
     bins = rows.groupBy(F.col("source"), "_bin").agg(F.sum("_size").alias("bin_size"))
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     # Only rows of the cut's range are ordered; the others get a key of their own, so no window is large.
     part = F.when(inside, F.lit("cut")).otherwise(F.col("_order"))
     before = F.coalesce(
-        F.sum("_size").over(Window.partitionBy("source", "_bin", part).orderBy("_order", "_size", F.md5(F.col("text")), F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, -1)),
+        F.sum("_size").over(Window.partitionBy("source", "_bin", part).orderBy("_order", "_size", "_tie", F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0),
     )
     extra = F.when(~inside, F.when(F.col("_left") > 0, F.col("_size")).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_left") - F.col("_before"))))
