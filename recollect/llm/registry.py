@@ -39,7 +39,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_t(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.round("_target", 6).alias("target"), F.col("_taken").alias("taken"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,7 @@ x AS (SELECT *, round(target - whole * source_size)::BIGINT AS extra FROM q),
 o AS (SELECT d.*, x.source_size, x.target, x.whole, x.extra,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.size, d.h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
-SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, extra - before)))::BIGINT AS taken FROM o
+SELECT doc_id, size, source_size, round(target, 6) AS target, (whole * size + greatest(0, least(size, extra - before)))::BIGINT AS taken FROM o
 """
 
 
