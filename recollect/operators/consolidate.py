@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.operators.graph import components, degree
-from recollect.operators.retrieval import cosine
 
 c = F.col
 WEIGHTS = (0.3, 0.2, 0.3, 0.2)  # recency, frequency, connectivity, prior
@@ -39,29 +38,44 @@ def _tables(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((tables, bits, dim))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, on: str | None = None, strict: bool = False, exact: bool = True, bits: int = 8, tables: int = 16) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, on: str | None = None, strict: bool = False, exact: bool = True, bits: int = 8, tables: int = 16, block: int = 2048) -> DataFrame:
     """(a, b, cos) with a < b and cosine at least (strict: above) the threshold among rows (id, embedding[, on]).
 
-    Exact: joined by `on` (or all rows), for inputs within a block. Else hyperplane buckets in several tables bring
-    candidates together; that loses a pair with chance (1 - p^bits)^tables, p = 1 - angle / pi.
+    Vectors are of one length; cosines are rounded to 6 places before they are compared. Exact: every pair with equal
+    `on` (or every pair) in blocks. Else hyperplane buckets in several tables bring candidates together; that loses a
+    pair with chance (1 - p^bits)^tables, p = 1 - angle / pi.
     """
-    rows = vectors.where("size(embedding) > 0").select("id", "embedding", *([on] if on else []))
-    if exact:
-        a, b = rows.alias("a"), rows.alias("b")
-        near = (c("a.id") < c("b.id")) & ((c(f"a.{on}") == c(f"b.{on}")) if on else F.lit(True))
-        pairs = a.join(b, near)
-    else:
+    rows = vectors.where("size(embedding) > 0").select("id", "embedding", (c(on).cast("string") if on else F.lit("")).alias("key"))
+    if not exact:
+
         def buckets(x: pd.Series) -> pd.Series:
             v = np.stack(x.to_numpy())
             signs = np.einsum("tbd,nd->ntb", _tables(v.shape[1], bits, tables, 5), v) > 0
             return pd.Series(list((signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)))
 
-        dealt = rows.withColumn("bucket", F.explode(F.pandas_udf(buckets, "array<long>")("embedding")))
-        a, b = dealt.alias("a"), dealt.alias("b")
-        same = (c("a.bucket") == c("b.bucket")) & (c("a.id") < c("b.id"))
-        pairs = a.join(b, same & (c(f"a.{on}") == c(f"b.{on}")) if on else same)
-    scored = pairs.select(c("a.id").alias("a"), c("b.id").alias("b"), F.round(cosine(c("a.embedding"), c("b.embedding")), 6).alias("cos"))
-    return (scored if exact else scored.distinct()).where(c("cos") > threshold if strict else c("cos") >= threshold)
+        cells = rows.withColumn("cell", F.explode(F.pandas_udf(buckets, "array<long>")("embedding")))
+        rows = cells.select("id", "embedding", F.concat_ws("|", "key", "cell").alias("key"))
+    n = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("n"))
+    own = rows.join(n, "key").withColumn("own", F.pmod(F.xxhash64("id"), c("n")).cast("int"))
+    # Every pair of a key's chunks is a task of its own, so neither all rows nor a hot key are gathered.
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), c("n") - 1))).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "embedding")
+
+    def near(g: pd.DataFrame) -> pd.DataFrame:
+        ids, chunk = g["id"].to_numpy(), g["own"].to_numpy()
+        m = np.stack(g["embedding"].to_numpy()).astype(float)
+        norm = np.sqrt((m * m).sum(axis=1))
+        unit = m / np.where(norm > 0, norm, 1)[:, None]
+        same = g["x"].iloc[0] == g["y"].iloc[0]
+        left = np.arange(len(ids)) if same else np.flatnonzero(chunk == g["x"].iloc[0])
+        right = left if same else np.flatnonzero(chunk != g["x"].iloc[0])
+        i, j = np.nonzero(unit[left] @ unit[right].T >= threshold - 1e-6)
+        i, j = left[i], right[j]
+        keep = ids[i] < ids[j] if same else ids[i] != ids[j]
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "cos": (unit[i] * unit[j]).sum(axis=1)})
+
+    scored = dealt.groupBy("key", "x", "y").applyInPandas(near, "a long, b long, cos double").withColumn("cos", F.round("cos", 6))
+    return (scored if exact else scored.dropDuplicates(["a", "b"])).where(c("cos") > threshold if strict else c("cos") >= threshold)
 
 
 def dedup_plan(pairs: DataFrame, facts: DataFrame) -> DataFrame:
