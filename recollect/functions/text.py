@@ -1,69 +1,23 @@
-"""Text functions: redaction, entropy, chunks, keywords and session outcomes."""
+"""Text functions: entropy, chunks, keywords, byte cuts and vectors."""
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Prefixes of provider tokens, words that give a hex value its meaning, limits of the entropy rule.
-PROVIDER_PREFIXES = ("sk-", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "AKIA", "ASIA", "AIza", "npm_", "pypi-", "hf_", "rk_live_", "sk_live_", "pk_live_")
-KEY_WORDS = ("token", "secret", "password", "passwd", "api_key", "apikey", "key")
-ENTROPY_BITS, ENTROPY_LENGTH, MAX_PASSES = 4.3, 20, 8
+# Words of the episode categories, of the error rule and of a session's last mood.
 KEYWORDS = {
-    "bug": ("fixed", "bug", "root cause", "regression"),
-    "decision": ("decided", "decision", "instead of", "trade-off"),
-    "convention": ("convention", "always use", "never use", "style"),
-    "learning": ("learned", "turns out", "discovered", "note that"),
+    "bug": ("root cause", "fix", "traceback", "exception"),
+    "decision": ("switched from", "chose", "decided", "went with"),
+    "convention": ("always use", "never use", "rule", "convention"),
+    "learning": ("discovered", "til", "turns out", "reason is"),
 }
-
-_PROVIDER = re.compile(r"(?<![A-Za-z0-9_])(?:" + "|".join(map(re.escape, PROVIDER_PREFIXES)) + r")[A-Za-z0-9_\-]{16,}")
-_MACHINE = re.compile(r"(?<![A-Za-z0-9_])me_[A-Za-z0-9]{32}(?![A-Za-z0-9])")
-_URL = re.compile(r"([a-z][a-z0-9+.\-]*://[^\s:/@]+:)([^\s@/]+)(@)", re.IGNORECASE)
-_HEX = re.compile(r"((?:" + "|".join(KEY_WORDS) + r")[\"']?\s*[:=]\s*[\"']?)([0-9a-f]{32,})(?![0-9a-zA-Z])", re.IGNORECASE)
-_TOKEN = re.compile(r"(?<![\w/+=\-.:])[A-Za-z0-9+/=_\-]{20,}(?![\w/+=\-.:])")
-
-
-def entropy(token: str) -> float:
-    """Shannon entropy of the bytes, in bits."""
-    raw = token.encode()
-    return -sum(n / len(raw) * math.log2(n / len(raw)) for n in Counter(raw).values()) if raw else 0.0
-
-
-def redact(text: str, deny: tuple[str, ...] = ()) -> str:
-    """Replaces secrets by [REDACTED:rule] until nothing changes, MAX_PASSES times at most."""
-
-    def odd(m: re.Match) -> str:
-        t = m.group()
-        mixed = any(x.isdigit() for x in t) and any(x.isalpha() for x in t)
-        return "[REDACTED:entropy]" if mixed and len(t) >= ENTROPY_LENGTH and entropy(t) >= ENTROPY_BITS else t
-
-    for _ in range(MAX_PASSES):
-        new = text
-        for word in deny:
-            new = new.replace(word, "[REDACTED:denylist]")
-        new = _MACHINE.sub("[REDACTED:machine_token]", new)
-        new = _PROVIDER.sub("[REDACTED:provider_token]", new)
-        new = _URL.sub(r"\1[REDACTED:url_password]\3", new)
-        new = _HEX.sub(r"\1[REDACTED:hex_in_context]", new)
-        new = _TOKEN.sub(odd, new)
-        if new == text:
-            return new
-        text = new
-    return text
-
-
-def redact_column(text: Column, deny: tuple[str, ...] = ()) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda t: t if t is None else redact(t, deny)), "string")(text)
-
-
-def redact_hex(text: Column) -> Column:
-    """The hex-in-context rule alone, as an expression."""
-    return F.regexp_replace(text, r"((?i:" + "|".join(KEY_WORDS) + r")[\"']?\s*[:=]\s*[\"']?)([0-9a-fA-F]{32,})(?![0-9a-zA-Z])", "$1[REDACTED:hex_in_context]")
+ERROR, ERROR_CONTEXT = "error", ("fix", "bug", "issue")
+POSITIVE = ("thanks", "great", "perfect", "works", "awesome", "good", "nice")
+NEGATIVE = ("wrong", "broken", "revert", "undo", "doesn't work", "failed")
 
 
 def token_entropy(token: Column) -> Column:
@@ -73,17 +27,32 @@ def token_entropy(token: Column) -> Column:
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, x: s - (F.size(F.filter(chars, lambda y: y == x)) / n) * F.log2(F.size(F.filter(chars, lambda y: y == x)) / n))
 
 
-def categories(text: Column) -> Column:
-    """Names of the keyword tables that a text meets."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w)), F.lit(name)) for name, words in KEYWORDS.items()]))
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+
+
+def keywords(user: Column, assistant: Column, stderr: Column) -> Column:
+    """map<category, words met> of a turn; tool output is left out, and `error` counts for bugs only in stderr or beside
+    a word of ERROR_CONTEXT in the assistant's text."""
+    said, err = F.lower(F.coalesce(assistant, F.lit(""))), F.lower(F.coalesce(stderr, F.lit("")))
+    low = F.concat_ws("\n", F.lower(F.coalesce(user, F.lit(""))), said, err)
+    error = F.contains(err, F.lit(ERROR)) | (F.contains(said, F.lit(ERROR)) & has_any(said, ERROR_CONTEXT))
+    out = []
+    for name, words in KEYWORDS.items():
+        met = [F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words] + ([F.when(error, F.lit(ERROR))] if name == "bug" else [])
+        out += [F.lit(name), F.array_compact(F.array(*met))]
+    return F.map_filter(F.create_map(*out), lambda _, v: F.size(v) > 0)
 
 
-def outcome(text: Column) -> Column:
-    """Session outcome from its text: a short commit hash is success, an error word without one failure."""
-    sha = F.regexp_like(text, F.lit(r"(?<![0-9A-Za-z])[0-9a-f]{7,40}(?![0-9A-Za-z])"))
-    bad = F.regexp_like(F.lower(text), F.lit("error|failed|exception"))
-    return F.when(sha, "success").when(bad, "failure").otherwise("unknown")
+def mood(text: Column) -> Column:
+    """positive, negative or neutral; a positive word goes before a negative one."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(has_any(low, POSITIVE), "positive").when(has_any(low, NEGATIVE), "negative").otherwise("neutral")
 
 
 def cut_bytes(text: str, most: int, mark: str = "") -> str:
@@ -122,38 +91,25 @@ def backoff_seconds(attempts: Column, most: int = 60) -> Column:
     return F.least(F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0))), F.lit(float(most))).cast("long")
 
 
-# Names and endings of files that may hold secrets.
-SENSITIVE_NAMES = (".env", ".netrc", ".npmrc", ".pypirc", "id_rsa", "id_ed25519", "credentials", "secrets.yaml", "secrets.yml")
-SENSITIVE_ENDINGS = (".pem", ".key", ".p12", ".pfx", ".keystore")
-SENSITIVE_FOLDERS = (".ssh", ".aws", ".gnupg", ".kube")
-
-
-def sensitive_path(path: Column) -> Column:
-    """True for paths of files that may hold secrets."""
-    low = F.lower(F.regexp_replace(path, r"\\", "/"))
-    name = F.element_at(F.split(low, "/"), -1)
-    out = name.isin(*SENSITIVE_NAMES) | name.startswith(".env.")
-    for e in SENSITIVE_ENDINGS:
-        out = out | name.endswith(e)
-    for d in SENSITIVE_FOLDERS:
-        out = out | F.concat(F.lit("/"), low).contains(f"/{d}/")
-    return out
-
-
-def redact_json(value: object, under: str = "") -> object:
-    """Redacts every text of a JSON value; a hex value under a key word goes as a whole."""
-    if isinstance(value, dict):
-        return {k: redact_json(v, k.lower()) for k, v in value.items()}
-    if isinstance(value, list):
-        return [redact_json(v, under) for v in value]
-    if isinstance(value, str):
-        if any(w in under for w in KEY_WORDS) and re.fullmatch(r"[0-9a-fA-F]{32,}", value):
-            return "[REDACTED:hex_in_context]"
-        return redact(value)
-    return value
-
-
-def fact_class(category: Column, outcome_: Column) -> Column:
-    """(fact_type, importance) of an extracted episode."""
-    kind = F.when(category.isin("decision", "convention"), "Semantic").when(category == "learning", "Procedural").otherwise("Episodic")
-    return F.struct(kind.alias("fact_type"), F.when(outcome_ == "success", 0.7).when(outcome_ == "failure", 0.6).otherwise(0.5).alias("importance"))
+def fact_class(category: Column, outcome: Column) -> Column:
+    """struct<fact_type, importance> of an extracted episode."""
+    bug = category == "bug"
+    kind = F.when((bug & (outcome == "success")) | (category == "convention"), "Procedural").when(bug, "Episodic").otherwise("Semantic")
+    prior = F.when(bug, F.when(outcome == "success", 0.7).when(outcome == "failure", 0.4).otherwise(0.5)).when(category == "convention", 0.8).otherwise(0.6)
+    return F.struct(kind.alias("fact_type"), prior.alias("importance"))
+
+
+def note_class(kind: Column) -> Column:
+    """struct<fact_type, knowledge> of a note's type: feedback, project, reference, else a lasting fact."""
+    low = F.lower(F.coalesce(kind, F.lit("")))
+    return F.struct(F.when(low == "feedback", "Procedural").when(low == "project", "Episodic").otherwise("Semantic").alias("fact_type"), (low == "reference").alias("knowledge"))
+
+
+def file_date(path: Column) -> Column:
+    """The first real date in a file's name, parts split by - or _; else null."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    parts = F.split(stem, "[-_]")
+    at = F.sequence(F.lit(1), F.greatest(F.size(parts) - 2, F.lit(1)))
+    made = F.transform(at, lambda i: F.array_join(F.slice(parts, i, 3), "-"))
+    shaped = F.filter(made, lambda d: F.regexp_like(d, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")) & F.try_to_timestamp(d, F.lit("yyyy-MM-dd")).isNotNull())
+    return F.to_date(F.get(shaped, F.lit(0)))

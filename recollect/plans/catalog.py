@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.functions import paths as pa
+from recollect.functions import redaction as rd
 from recollect.functions import text as tx
 from recollect.operators import consolidate as co
 from recollect.operators import facts as fa
@@ -168,11 +170,19 @@ query("checkpoints_latest", "SELECT session_id, scope_path, checkpoint_at, last_
 query("events_filtered", "SELECT id, event_type FROM event_log WHERE session_id IN ('s1', 's2') AND CAST(json_extract_string(payload, '$.k') AS INTEGER) >= 50", lambda t: t.event_log.where(c("session_id").isin("s1", "s2") & (F.get_json_object("payload", "$.k").cast("int") >= 50)).select("id", "event_type"))
 query("replay_order", "SELECT id, timestamp FROM event_log ORDER BY timestamp, id LIMIT 50", lambda t: t.event_log.orderBy("timestamp", "id").limit(50).select("id", "timestamp"))
 # Text
-query("redact_hex_context", r"""SELECT doc_id, regexp_replace(text, '((?i:token|secret|password|passwd|api_key|apikey|key)["'']?\s*[:=]\s*["'']?)([0-9a-fA-F]{32,})\b', '\1[REDACTED:hex_in_context]', 'g') AS text FROM documents""", lambda t: t.source("documents").select("doc_id", tx.redact_hex(c("text")).alias("text")))
-query("redact_full", None, lambda t: t.source("documents").select("doc_id", tx.redact_column(c("text")).alias("text")))
+_hex_rule = rd.HEX_RULE.replace("'", "''")
+query("redact_hex_context", rf"""SELECT doc_id, regexp_replace(text, '{_hex_rule}', '\1[REDACTED:hex-secret]', 'g') AS text FROM documents""", lambda t: t.source("documents").select("doc_id", rd.redact_hex(c("text")).alias("text")))
+query("redact_full", None, lambda t: t.source("documents").select("doc_id", rd.redact_column(c("text")).alias("text")))
+query("redaction_counters", None, lambda t: t.source("documents").select(F.explode(rd.rules_column(c("text"))).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n")))
 query("token_entropy", r"""WITH tk AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9a-f]{32,64}')) AS token FROM documents), ch AS (SELECT token, unnest(string_split(token, '')) AS x FROM tk), n AS (SELECT token, x, count(*) AS n FROM ch GROUP BY ALL) SELECT token, round(-sum(n / length(token)::DOUBLE * log2(n / length(token)::DOUBLE)), 6) AS entropy FROM n GROUP BY token""", lambda t: t.source("documents").select(F.explode(F.regexp_extract_all("text", F.lit("[0-9a-f]{32,64}"), F.lit(0))).alias("token")).distinct().select("token", F.round(tx.token_entropy(c("token")), 6).alias("entropy")))
 query("session_turns", "SELECT conv_id, turn, text AS user_text, reply FROM (SELECT *, first(CASE WHEN role = 'assistant' THEN coalesce(text, '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS reply FROM conversations) WHERE role = 'user' AND reply IS NOT NULL", lambda t: ss.paired_turns(t.source("conversations")))
-query("keyword_episodes", None, lambda t: t.source("conversations").select("conv_id", "turn", tx.categories(c("text")).alias("categories"), tx.outcome(c("text")).alias("outcome")))
+_tables = ", ".join(f"('{k}', [{', '.join(repr(w) for w in ws)}])" for k, ws in tx.KEYWORDS.items())
+_error = f"contains(a, '{tx.ERROR}') AND (" + " OR ".join(f"contains(a, '{w}')" for w in tx.ERROR_CONTEXT) + ")"
+_of = lambda role: F.when(c("role") == role, c("text"))
+query("keyword_episodes", f"WITH x AS (SELECT conv_id, turn, lower(coalesce(CASE WHEN role = 'user' THEN text END, '')) AS u, lower(coalesce(CASE WHEN role = 'assistant' THEN text END, '')) AS a FROM conversations), k(category, words) AS (VALUES {_tables}), m AS (SELECT conv_id, turn, category, list_concat(list_filter(words, lambda w: contains(u || chr(10) || a, w)), CASE WHEN category = 'bug' AND {_error} THEN ['{tx.ERROR}'] ELSE [] END) AS w FROM x, k) SELECT conv_id, turn, category, array_to_string(w, ',') AS words FROM m WHERE len(w) > 0", lambda t: t.source("conversations").select("conv_id", "turn", F.explode(tx.keywords(_of("user"), _of("assistant"), F.lit(None).cast("string"))).alias("category", "w")).select("conv_id", "turn", "category", F.array_join("w", ",").alias("words")))
+_reply_calls = lambda: F.array(F.struct(F.lit("Bash").alias("tool"), c("user_text").alias("command"), c("reply").alias("stdout"), F.lit(None).cast("string").alias("stderr"), F.lit(False).alias("interrupted")))
+_mood = "CASE WHEN " + " OR ".join(f"contains(u, '{w}')" for w in tx.POSITIVE) + " THEN 'positive' WHEN " + " OR ".join("contains(u, '" + w.replace("'", "''") + "')" for w in tx.NEGATIVE) + " THEN 'negative' ELSE 'neutral' END"
+query("session_outcome", f"WITH p AS (SELECT conv_id, turn, role, lower(coalesce(text, '')) AS u, lower(first(CASE WHEN role = 'assistant' THEN coalesce(text, '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS r FROM conversations), s AS (SELECT conv_id AS session_id, bool_or(contains(u, 'git commit') OR contains(r, '[main') OR contains(r, '[master') OR regexp_matches(r, '[0-9a-f]{{7}}')) AS g, bool_or(contains(r, 'test result: ok') OR (contains(r, 'passed') AND contains(r, 'test')) OR (contains(r, 'pytest') AND contains(r, ' ok'))) AS k, arg_max({_mood}, turn) AS mood FROM p WHERE role = 'user' AND r IS NOT NULL GROUP BY conv_id) SELECT session_id, mood, CASE WHEN g OR k THEN 'success' WHEN mood = 'negative' THEN 'failure' ELSE 'indeterminate' END AS outcome FROM s", lambda t: ss.session_outcomes(ss.paired_turns(t.source("conversations")).select(c("conv_id").alias("session_id"), F.lit(0).alias("at"), c("turn").alias("position"), "user_text", _reply_calls().alias("calls"))).select("session_id", "mood", "outcome"))
 query("text_chunks", None, lambda t: t.source("documents").select("doc_id", F.posexplode(tx.chunks(c("text"))).alias("at", "chunk")))
 query("matryoshka", "SELECT vec_id, list_transform(embedding[1:16], lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding[1:16], lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS v FROM embeddings", lambda t: t.source("embeddings").select("vec_id", tx.matryoshka(c("embedding"), 16).alias("v")))
 # Inspection
@@ -194,6 +204,6 @@ query("promotion_candidates", f"WITH RECURSIVE {_SIM}, {_CC}, md AS (SELECT clus
 query("adjusted_scores", "WITH o AS (SELECT fact_id, count(*) FILTER (outcome = 'Positive') AS p, count(*) FILTER (outcome = 'Negative') AS n FROM outcomes WHERE outcome <> 'Other' GROUP BY fact_id) SELECT id, round(least(1, greatest(0, importance_score + CASE WHEN p IS NULL OR (p = 0 AND n >= 3) THEN 0 ELSE greatest(-2, least(2, p - n)) END * 0.05)), 6) AS importance_score FROM facts LEFT JOIN o ON fact_id = id", lambda t: ig.adjust_scores(t.facts, co.adjustments(co.outcome_counts(t.outcomes))))
 query("bootstrap_sessions", "SELECT DISTINCT session_id FROM event_log WHERE session_id NOT IN (SELECT session_id FROM checkpoints WHERE last_activity_id % 2 = 0)", lambda t: ig.new_sessions(t.event_log.select("session_id"), t.checkpoints.where("last_activity_id % 2 = 0").select("session_id")))
 query("project_facts", f"{_CL} SELECT f.id, f.t_created FROM facts f WHERE t_expired IS NULL AND scope_id IN (SELECT id FROM cl WHERE ancestor = 3) ORDER BY t_created DESC, f.id LIMIT 10", lambda t: ig.project_context(t.facts, ac.fold(t.activity_events), t.checkpoints, gr.scope_ids(t.scopes, 3, "subtree"))["facts"].select("id", "t_created"))
-query("sensitive_paths", "SELECT event_id, event_id % 3 = 0 AS hit FROM events", lambda t: t.source("events").select("event_id", tx.sensitive_path(F.concat(F.lit("/home/x/"), F.when(c("event_id") % 3 == 0, ".ssh/config").otherwise("notes.md"))).alias("hit")))
+query("sensitive_paths", "SELECT event_id, event_id % 3 = 0 AS hit FROM events", lambda t: t.source("events").select("event_id", pa.sensitive_path(F.concat(F.lit("/home/x/"), F.when(c("event_id") % 3 == 0, ".ssh/id_work").when(c("event_id") % 3 == 1, ".ssh/config").otherwise(".env.example"))).alias("hit")))
 query("lineage_of", "SELECT lineage_id, source_fact_id FROM lineage WHERE wisdom_fact_id = 45", lambda t: t.lineage.where("wisdom_fact_id = 45").select("lineage_id", "source_fact_id"))
 query("archived_union", f"SELECT id, importance_score, 'live' AS origin FROM facts WHERE {ACTIVE} AND importance_score > 0.9 UNION ALL SELECT id, importance_score, 'archive' FROM facts WHERE t_expired IS NOT NULL AND importance_score > 0.9 ORDER BY importance_score DESC, id LIMIT 25", lambda t: fa.top(t.facts.where(fa.active()).select("id", "importance_score", F.lit("live").alias("origin")).unionByName(t.facts.where(~fa.active()).select("id", "importance_score", F.lit("archive").alias("origin"))).where("importance_score > 0.9"), 25, c("importance_score").desc()))

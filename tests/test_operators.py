@@ -1,5 +1,6 @@
 """Operators that SQL does not express, against direct models; text functions on golden cases."""
 
+import json
 import math
 
 import numpy as np
@@ -7,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from recollect.functions import paths as pa
+from recollect.functions import redaction as rd
 from recollect.functions import text as tx
 from recollect.operators import consolidate as co
 from recollect.operators import retrieval as rt
@@ -14,20 +17,98 @@ from recollect.sources import sessions as ss
 from recollect.streaming import activity as ac
 
 
+PAT, HEX, ODD = "ghp_" + "0123456789abcdefghij" * 2, "a3f1b2c4d5e6f7a8" * 2, "aGVsbG8x9Zk3Qw7Lp2Rt5Yv8Bn1Cx4Df6"
+
+
 def test_redaction_cases():
-    assert tx.redact('token = "' + "a1" * 20 + '"') == 'token = "[REDACTED:hex_in_context]"'
-    assert tx.redact("https://bob:hunter2@example.com/x") == "https://bob:[REDACTED:url_password]@example.com/x"
-    assert tx.redact("key me_" + "A" * 32) == "key [REDACTED:machine_token]"
-    assert "ghp_" not in tx.redact("use ghp_0123456789abcdefghijklmnop now")
-    assert tx.redact("mail a.b@example.com stays") == "mail a.b@example.com stays"
-    assert tx.redact("the word x", ("word",)) == "the [REDACTED:denylist] x"
+    cases = {
+        f"api_key={HEX}": "api_key=[REDACTED:hex-secret]",
+        f"api_key:\n{HEX}": None,
+        f"monkey {HEX}": None,
+        f"commit {HEX} merged": None,
+        f"the {ODD} here": "the [REDACTED:high-entropy] here",
+        "amqp://guest:p@ss@rabbit/x": "amqp://guest:[REDACTED:connection-string-password]@rabbit/x",
+        f"https://x:{PAT}@host/r": "https://x:[REDACTED:github-pat]@host/r",
+        f"see https://e.org/x?token={PAT} now": None,
+        f"svc,https://e.org,{PAT}": "svc,https://e.org,[REDACTED:github-pat]",
+        "key me_" + "A" * 32: "key [REDACTED:machine-token]",
+        "https://h/x?t=me_" + "0" * 32: "https://h/x?t=[REDACTED:machine-token]",
+        "x -----BEGIN RSA KEY-----\r\ny": "x [REDACTED:private-key-header]\r\ny",
+        "x sk-" + "é" * 8 + " y": None,
+        "x sk-" + "é" * 9 + " y": "x [REDACTED:openai-key] y",
+        "Region: SG.1 ok, eyJournal": None,
+        "task-sk-nope npm_config_user_agent_name": None,
+        "mail a.b@example.com stays": None,
+    }
+    for text, want in cases.items():
+        assert rd.redact_once(text)[0] == (text if want is None else want)
+    assert rd.redact(f"api_key={HEX}qWeRtYuIoPaSdFgHjKl9876") == "api_key=[REDACTED:hex-secret][REDACTED:high-entropy]"
+    assert rd.redact("some words x", ("words", "x")) == "some [REDACTED:denylist] x"
+    assert rd.redact_json({"api_key": HEX, "n": [1, HEX]}) == {"api_key": "[REDACTED:hex-secret]", "n": [1, HEX]}
+
+
+def test_captured_calls():
+    assert rd.capture('{"a":1}', "x" * 600) == ('{"a":1}', "x" * 512, False)
+    assert rd.capture('{"a":1}', "out", "~/.kube/config") == ('{"sensitive_path": "~/.kube/config"}', None, True)
+    assert rd.capture(None, "x" * (1 << 20) + "y") == ("null", "[omitted: 1048577 bytes]", False)
+
+
+def test_sensitive_paths():
+    for path in (".ENV", "host.env", "~/.kube/config", "a/../.aws/credentials", "/x/.ssh/work", "/etc/shadow", "secrets/db.yaml", "C:\\x\\id_rsa", "tls.crt", "token.json"):
+        assert pa.is_sensitive(path)
+    for path in (".env.example", "/x/.ssh/config", "/x/.ssh/id_rsa.pub", "src/token.ts", "secrets/readme.md", "", "/etc/passwd"):
+        assert not pa.is_sensitive(path)
+
+
+def _entry(kind, uuid, parent, at, content=None, result=None):
+    return {"type": kind, "sessionId": "s", "timestamp": f"2026-03-19T14:00:{at:02d}Z", "uuid": uuid, "parentUuid": parent, "message": {"role": kind, "content": content or []}, **({"toolUseResult": result} if result else {})}
+
+
+def test_session_logs(spark, tmp_path):
+    said = lambda x: [{"type": "text", "text": x}]
+    use = [{"type": "tool_use", "name": "Bash", "input": {"command": "cargo test"}}]
+    log = [
+        _entry("user", "u1", None, 0, said("Fix the parser")),
+        _entry("assistant", "a1", "u1", 1, said("I chose a bound") + use),
+        _entry("user", "r1", "a1", 2, None, {"stdout": "test result: ok. 42 passed", "stderr": ""}),
+        _entry("user", "u2", "zz", 3, said("thanks")),
+        _entry("progress", "x", None, 4),
+        _entry("assistant", "a2", "lost", 5, said("done")),
+        _entry("user", "u3", None, 6, said("no reply")),
+    ]
+    (tmp_path / "log.jsonl").write_text("\n".join([*map(json.dumps, log), "{broken"]))
+    turns = ss.reconstruct(ss.read_sessions(spark, str(tmp_path)))
+    got = [(r.user_text, r.assistant_text, [(x.tool, x.command, x.stdout) for x in r.calls]) for r in turns.orderBy("at").collect()]
+    assert got == [("Fix the parser", "I chose a bound", [("Bash", "cargo test", "test result: ok. 42 passed")]), ("thanks", "done", [])]
+    out = ss.session_outcomes(turns)
+    r = out.first()
+    assert (r.outcome, r.has_commit, r.tests_passed, r.error_loop, r.interrupted, r.mood) == ("success", False, True, False, False, "positive")
+    facts = {(r.category, r.fact_type, r.importance, tuple(r.matched_keywords)) for r in ss.extract_facts(turns, out).collect()}
+    assert facts == {("bug", "Procedural", 0.7, ("fix",)), ("decision", "Semantic", 0.6, ("chose",))}
+
+
+def test_error_loops(spark):
+    call = lambda e, i=False: ("Bash", "x", "", e, i)
+    rows = [("a", 0, 0, "go", [call("boom"), call(" boom")]), ("a", 1, 1, "go", [call("boom")]), ("b", 0, 0, "undo it", [call("boom"), call(""), call("boom"), call("boom")]), ("c", 0, 0, "go", [call("", True)]), ("c", 1, 1, "go", [])]
+    turns = spark.createDataFrame(rows, f"session_id string, at int, position int, user_text string, calls array<{ss.CALL}>")
+    got = {r.session_id: (r.outcome, r.error_loop, r.interrupted) for r in ss.session_outcomes(turns).collect()}
+    assert got == {"a": ("failure", True, False), "b": ("failure", False, False), "c": ("failure", False, True)}
+
+
+def test_notes(spark, tmp_path):
+    (tmp_path / "project_x_2026_06_14.md").write_text('---\nname: "N"\nmetadata:\n  type: Feedback\n---\n body \n')
+    (tmp_path / "plain.md").write_text("---\nnot closed\n")
+    got = {r.file.rsplit("/", 1)[1]: r for r in ss.read_notes(spark, str(tmp_path)).collect()}
+    a, b = got["project_x_2026_06_14.md"], got["plain.md"]
+    assert (a.name, a.type, a.fact_type, str(a.date)[:10], a.body) == ("N", "feedback", "Procedural", "2026-06-14", "body")
+    assert (b.name, b.fact_type, b.body) == (None, "Semantic", "---\nnot closed")
 
 
 @settings(max_examples=50, deadline=None)
 @given(st.text(max_size=80))
 def test_redaction_is_a_fixed_point(s):
-    once = tx.redact(s)
-    assert tx.redact(once) == once
+    once = rd.redact(s)
+    assert rd.redact(once) == once
 
 
 def test_bytes_are_cut_between_characters():
@@ -36,7 +117,7 @@ def test_bytes_are_cut_between_characters():
 
 
 def test_entropy():
-    assert tx.entropy("aaaa") == 0 and math.isclose(tx.entropy("abcd"), 2.0)
+    assert rd.entropy("aaaa") == 0 and math.isclose(rd.entropy("abcd"), 2.0)
 
 
 def _pairs(spark, x, threshold):
