@@ -9,9 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.functions.stems import stems, stems_column
+
 c = F.col
 TOKEN = r"[\p{L}\p{N}]+"
-K1, B = 1.2, 0.75  # fixed values: the usual constants of BM25
+K1, B, LEAST_IDF = 1.2, 0.75, 1e-6  # fixed values: the usual constants of BM25 and the floor of a full-text index
 
 
 def tokens(text: Column) -> Column:
@@ -27,6 +29,12 @@ def _is(word: str) -> Callable[[Column], Column]:
     return lambda x: x == word
 
 
+def _weight(n: Column, df: Column) -> Column:
+    """BM25 of a phrase that a row has n times and df of N rows have; common phrases keep the least weight."""
+    idf = F.log((c("N") - df + 0.5) / (df + 0.5))
+    return F.when(idf > 0, idf).otherwise(LEAST_IDF) * n * (K1 + 1) / (n + K1 * (1 - B + B * c("len") / c("avg")))
+
+
 def bm25(facts: DataFrame, words: list[str]) -> DataFrame:
     """(id, score): any-word match. Corpus statistics take all rows given, expired ones too, so filter afterwards.
 
@@ -40,11 +48,133 @@ def bm25(facts: DataFrame, words: list[str]) -> DataFrame:
     hit = counted.where(" or ".join(f"n{i} > 0" for i in range(len(words)))).crossJoin(F.broadcast(stats))  # stats is one row
     score = F.lit(0.0)
     for i in range(len(words)):
-        idf = F.log1p((c("N") - c(f"d{i}") + 0.5) / (c(f"d{i}") + 0.5))
-        score = score + idf * c(f"n{i}") * (K1 + 1) / (c(f"n{i}") + K1 * (1 - B + B * c("len") / c("avg")))
+        score = score + _weight(c(f"n{i}"), c(f"d{i}"))
     return hit.select("id", score.alias("score"))
 
 
+def lexical_index(facts: DataFrame) -> DataFrame:
+    """(id, stems) of facts (id, content), expired ones too: written once and kept beside the facts."""
+    return facts.select("id", stems_column(c("content")).alias("stems"))
+
+
+def parse(query: str) -> tuple | None:
+    """Tree of a full-text query: ("phrase", stems, prefix), ("and" | "or" | "not", left, right); None if it has no word.
+
+    Words side by side all have to match, "..." is a phrase, `+` joins phrases, a trailing `*` makes a prefix; NOT binds
+    before AND, AND before OR, brackets group. Bad syntax is a ValueError, and so is NEAR, which is not built.
+    """
+    marks = [m.groupdict() for m in re.finditer(r'(?P<text>"(?:[^"]|"")*")|(?P<mark>[()*+])|(?P<bare>[\w\x1a]+)|(?P<bad>\S)', query)]
+    at = 0
+
+    def peek(kind: str, *values: str) -> bool:
+        return at < len(marks) and marks[at][kind] is not None and (not values or marks[at][kind] in values)
+
+    def take() -> str:
+        nonlocal at
+        at += 1
+        return next(v for v in marks[at - 1].values() if v is not None)
+
+    def word() -> list[str]:
+        if peek("text"):
+            return stems(take()[1:-1].replace('""', '"'))
+        if peek("bare") and not peek("bare", "AND", "OR", "NOT", "NEAR"):
+            return stems(take())
+        raise ValueError(f"a word is missing in {query!r}")
+
+    def phrase() -> tuple | None:
+        found = word()
+        while peek("mark", "+"):
+            take()
+            found = found + word()
+        prefix = peek("mark", "*") and bool(take())
+        return ("phrase", found, prefix) if found else None
+
+    def join(kind: str, left: tuple | None, right: tuple | None) -> tuple | None:
+        return (kind, left, right) if left and right else left or (right if kind != "not" else None)
+
+    def group() -> tuple | None:
+        if peek("mark", "("):
+            take()
+            out = either()
+            if not peek("mark", ")"):
+                raise ValueError(f"a bracket is open in {query!r}")
+            take()
+        else:
+            out = phrase()
+        while peek("text") or peek("mark", "(") or (peek("bare") and not peek("bare", "AND", "OR", "NOT")):
+            out = join("and", out, group())
+        return out
+
+    def chain(kind: str, inner: Callable[[], tuple | None]) -> tuple | None:
+        out = inner()
+        while peek("bare", kind):
+            take()
+            out = join(kind.lower(), out, inner())
+        return out
+
+    def either() -> tuple | None:
+        return chain("OR", lambda: chain("AND", lambda: chain("NOT", group)))
+
+    if not marks:
+        return None
+    out = either()
+    if at < len(marks):
+        raise ValueError(f"bad syntax in {query!r}")
+    return out
+
+
+def any_word(query: str) -> str:
+    """A question as a full-text query: its words, each once, any of which may match."""
+    return " OR ".join(f'"{w}"' for w in terms(query))
+
+
+def _times(words: list[str], prefix: bool) -> Column:
+    """How often the stems hold the phrase."""
+    same = lambda x, i: x.startswith(words[i]) if prefix and i == len(words) - 1 else x == words[i]
+    if len(words) == 1:
+        return F.size(F.filter("stems", lambda x: same(x, 0)))
+
+    def here(i: Column) -> Column:
+        out = same(F.get("stems", i), 0)
+        for k in range(1, len(words)):
+            out = out & same(F.get("stems", i + k), k)
+        return out
+
+    last = F.size("stems") - len(words)
+    return F.when(last >= 0, F.size(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here))).otherwise(0)
+
+
+def lexical_search(index: DataFrame, query: str) -> DataFrame:
+    """(id, score): rows of lexical_index that match the query, by BM25 over all rows; a query with bad syntax matches none.
+
+    One pass counts each phrase of the query, one row of statistics is joined back; no posting leaves the scan.
+    """
+    try:
+        tree = parse(query)
+    except ValueError:
+        if "NEAR" in query:
+            raise
+        tree = None
+    if tree is None:
+        return index.select("id", F.lit(0.0).alias("score")).limit(0)
+    phrases: list[tuple] = []
+
+    def plan(node: tuple) -> tuple[Column, Column]:
+        """(matches, score); a phrase counts only where the expression around it matches."""
+        if node[0] == "phrase":
+            i = len(phrases)
+            phrases.append(node[1:])
+            return c(f"n{i}") > 0, F.when(c(f"n{i}") > 0, _weight(c(f"n{i}"), c(f"d{i}"))).otherwise(0.0)
+        (a, x), (b, y) = plan(node[1]), plan(node[2])
+        hit = {"and": a & b, "or": a | b, "not": a & ~b}[node[0]]
+        return hit, x + y if node[0] == "or" else F.when(hit, x if node[0] == "not" else x + y).otherwise(0.0)
+
+    hit, score = plan(tree)
+    counted = index.select("id", F.size("stems").alias("len"), *[_times(*p).alias(f"n{i}") for i, p in enumerate(phrases)])
+    stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg"), *[F.count_if(c(f"n{i}") > 0).alias(f"d{i}") for i in range(len(phrases))])
+    return counted.where(hit).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # stats is one row
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double; over the shorter length; 0 if a norm is 0."""
 

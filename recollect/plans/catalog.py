@@ -109,7 +109,7 @@ _LEX = (
     "tok AS (SELECT id, regexp_extract_all(lower(coalesce(content, '')), '[\\p{L}\\p{N}]+') AS t FROM facts), "
     f"cnt AS (SELECT id, len(t) AS len, w, len(list_filter(t, lambda x: x = w)) AS n FROM tok, {_words}), "
     "st AS (SELECT w, count(*) AS nn, avg(len) AS av, count(*) FILTER (n > 0) AS df FROM cnt GROUP BY w), "
-    "lex AS (SELECT id, sum(ln(1 + (nn - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len / av))) AS score, max(n) AS hit FROM cnt JOIN st USING (w) GROUP BY id), "
+    "lex AS (SELECT id, sum(CASE WHEN nn - df > df THEN ln((nn - df + 0.5) / (df + 0.5)) ELSE 0.000001::DOUBLE END * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len / av))) AS score, max(n) AS hit FROM cnt JOIN st USING (w) GROUP BY id), "
     f"vec AS (SELECT id, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {_Q}) AS score FROM facts WHERE {ASOF} AND len(embedding) > 0)"
 )
 
@@ -124,6 +124,7 @@ def _hybrid_sql(keep: str, k: int) -> str:
 
 
 query("lexical_bm25", f"WITH {_LEX} SELECT id, round(score, 6) AS score FROM lex WHERE hit > 0 AND id IN (SELECT id FROM facts WHERE {ACTIVE}) ORDER BY 2 DESC, 1 LIMIT 20", lambda t: rt.ranked(rt.bm25(t.facts, WORDS).join(t.facts.where(fa.active()).select("id"), "id", "left_semi"), 20).select("id", "score"))
+query("lexical_match", None, lambda t: rt.ranked(rt.lexical_search(rt.lexical_index(t.facts), 'the AND (dans* OR "de la") NOT und').join(t.facts.where(fa.active()).select("id"), "id", "left_semi"), 20).select("id", "score"))
 query("lexical_expired_probe", f"WITH {_LEX} SELECT count(*) AS n FROM lex WHERE hit > 0 AND id IN (SELECT id FROM facts WHERE t_expired IS NOT NULL)", lambda t: rt.bm25(t.facts, WORDS).join(t.facts.where(~fa.active()).select("id"), "id", "left_semi").agg(F.count(F.lit(1)).alias("n")))
 query("vector_topk", f"WITH {_LEX} SELECT id, round(score, 6) AS score FROM vec ORDER BY 2 DESC, 1 LIMIT 10", lambda t: rt.ranked(rt.vector_scores(t.facts.where(fa.as_of(now())), QUERY_VECTOR), 10).select("id", "score"))
 query("hybrid_rrf", f"WITH {_LEX}, {_hybrid_sql(ASOF, 10)} SELECT * FROM hy", lambda t: rt.hybrid(t.facts, WORDS, QUERY_VECTOR, fa.as_of(now()), 10))

@@ -2,6 +2,7 @@
 
 import json
 import math
+import sqlite3
 
 import numpy as np
 from hypothesis import given, settings
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import paths as pa
 from recollect.functions import redaction as rd
+from recollect.functions import stems as sm
 from recollect.functions import text as tx
 from recollect.operators import consolidate as co
 from recollect.operators import retrieval as rt
@@ -111,6 +113,37 @@ def test_redaction_is_a_fixed_point(s):
     assert rd.redact(once) == once
 
 
+def _fts(rows):
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(content, tokenize = 'porter unicode61')")
+    con.executemany("INSERT INTO f(rowid, content) VALUES (?, ?)", rows)
+    return con
+
+
+WORDS = "caresses ponies ties agreed eed plastered motoring conflated sized hopping falling hissing failing happy sky relational conditional hesitancy digitizer radically vilely predication feudalism decisiveness hopefulness sensibility formative electricity goodness revival inference adjustable adoption homologous probate rate cease control roll straße naïve bus dying generalizations"
+
+
+def test_stems_are_those_of_a_full_text_index():
+    con = _fts([(1, WORDS)])
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(f, 'row')")
+    assert sorted(r[0] for r in con.execute("SELECT term FROM v")) == sorted(set(sm.stems(WORDS)))
+
+
+def test_lexical_search_is_that_of_a_full_text_index(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = WORDS.split()[:12]
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(0, 14))))) for i in range(80)]
+    con = _fts(rows)
+    index = rt.lexical_index(spark.createDataFrame([*rows, (80, None)], "id long, content string")).where("id < 80").cache()
+    queries = ["pony", "happy sizing", "happy OR tied", "(pony AND happi) OR sky", "pony NOT happy sky", '"ponies ties"', 'motor* "sized hopping"', "hop*", "pony + tie OR sky", "a AND", "zzz", '""', '"ponies ties" OR tie', rt.any_word("Ponies, ponies or sky?")]
+    for q in queries:
+        try:
+            want = {r: round(-s, 5) for r, s in con.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (q,))}
+        except sqlite3.OperationalError:
+            want = {}
+        assert {r.id: round(r.score, 5) for r in rt.lexical_search(index, q).collect()} == want, q
+
+
 def test_bytes_are_cut_between_characters():
     assert tx.cut_bytes("éé", 3) == "é"
     assert tx.cut_bytes("abc", 2, "...") == "ab..."
