@@ -216,10 +216,13 @@ def hybrid(facts: DataFrame, words: list[str], query: list[float], keep: Column,
 
 
 def archive_search(archived: DataFrame, text: str, query: list[float], k: int) -> DataFrame:
-    """(id, score): 1 for a contained text plus a positive cosine."""
-    has = F.when(F.contains(F.lower(F.coalesce("content", F.lit(""))), F.lit(text.lower())), 1.0).otherwise(0.0)
-    length = math.sqrt(sum(x * x for x in query)) or 1.0
-    near = F.when(F.size("embedding") > 0, F.greatest(cosine(c("embedding"), F.array(*[F.lit(x / length) for x in query])), F.lit(0.0))).otherwise(0.0)
+    """(id, score): 1 for a contained text plus a positive cosine; what is empty adds nothing."""
+    has = near = F.lit(0.0)
+    if text:
+        has = F.when(F.contains(F.lower(F.coalesce("content", F.lit(""))), F.lit(text.lower())), 1.0).otherwise(0.0)
+    if query:
+        length = math.sqrt(sum(x * x for x in query)) or 1.0
+        near = F.when(F.size("embedding") > 0, F.greatest(cosine(c("embedding"), F.array(*[F.lit(x / length) for x in query])), F.lit(0.0))).otherwise(0.0)
     scored = archived.select("id", F.round(has + near, 6).alias("score")).where("score > 0")
     return scored.orderBy(c("score").desc(), "id").limit(k)
 

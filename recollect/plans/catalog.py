@@ -15,6 +15,7 @@ from recollect.operators import facts as fa
 from recollect.operators import graph as gr
 from recollect.operators import ingest as ig
 from recollect.operators import retrieval as rt
+from recollect.plans import memory_query as mq
 from recollect.plans.tables import Frames, duck, now
 from recollect.sources import sessions as ss
 from recollect.streaming import activity as ac
@@ -137,6 +138,14 @@ _tier = lambda name, cond, order, k, seen: f"{name} AS (SELECT '{name}' AS tier,
 _H = "scope_id IN (1, 3, 12)"
 query("resume_tiers", "WITH " + ", ".join([_tier("pinned", "is_pinned", "importance_score DESC", 50, []), _tier("important", f"{_H} AND importance_score >= 0.7", "importance_score DESC", 20, ["pinned"]), _tier("due", f"{_H} AND t_valid IS NOT NULL", "t_valid", 10, ["pinned", "important"]), _tier("recent", _H, "t_created DESC", 10, ["pinned", "important", "due"])]) + " SELECT * FROM pinned UNION ALL SELECT * FROM important UNION ALL SELECT * FROM due UNION ALL SELECT * FROM recent", lambda t: fa.resume_tiers(t.facts, [1, 3, 12], now()))
 query("retrieval_metrics", "WITH res AS (SELECT doc_id % 5 AS query_id, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY (doc_id * 31) % 97, doc_id) - 1 AS rank FROM documents WHERE doc_id < 100), rel AS (SELECT doc_id % 5 AS query_id, doc_id AS id, doc_id % 3 AS grade FROM documents WHERE doc_id < 100 AND doc_id % 3 > 0), g AS (SELECT rel.query_id, rank, (pow(2, grade) - 1) / log2(rank + 2) AS gain FROM res JOIN rel USING (query_id, id) WHERE rank < 10), h AS (SELECT query_id, count(*) AS hits, min(rank) AS f, sum(gain) AS dcg FROM g GROUP BY query_id), i AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN r < 10 THEN (pow(2, grade) - 1) / log2(r + 2) END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) - 1 AS r FROM rel) GROUP BY query_id) SELECT query_id, round(coalesce(hits / 10, 0), 6) AS precision, round(coalesce(hits / relevant, 0), 6) AS recall, round(coalesce(1.0::DOUBLE / (f + 1), 0), 6) AS rr, round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM i LEFT JOIN h USING (query_id)", lambda t: rt.retrieval_metrics(t.spark.sql("SELECT doc_id % 5 AS query_id, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY (doc_id * 31) % 97, doc_id) - 1 AS rank FROM {d} WHERE doc_id < 100", d=t.source("documents")), t.source("documents").where("doc_id < 100").select((c("doc_id") % 5).alias("query_id"), c("doc_id").alias("id"), (c("doc_id") % 3).alias("grade")), 10))
+_run = lambda t, archived=None, **parts: mq.execute(mq.MemoryQuery(**parts), t.facts, t.scopes, rt.lexical_index(t.facts), now(), archived)
+_since = "timestamp '2024-01-20'"
+query("query_by_importance", f"SELECT id, importance_score AS score, 'store' AS match_type FROM (SELECT * FROM facts WHERE {ACTIVE} AND importance_score >= 0.2 ORDER BY importance_score DESC, id LIMIT 60) WHERE {ASOF} AND fact_type = 'Semantic' ORDER BY 2 DESC, 1 LIMIT 20", lambda t: _run(t, limit=20, least_score=0.2, fact_type="Semantic"))
+query("query_by_period", f"{_CL} SELECT id, importance_score AS score, 'store' AS match_type FROM facts WHERE {_PERIOD} AND is_pinned AND scope_id IN (SELECT id FROM cl WHERE ancestor = 1) ORDER BY 2 DESC, 1 LIMIT 20", lambda t: _run(t, limit=20, pinned_only=True, scope=("subtree", "/"), period=(F.expr("timestamp_ntz'2024-01-20 00:00:00'"), now())))
+query("query_by_vector", f"{_CL}, v AS (SELECT id, t_valid, t_invalid, t_expired, importance_score, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {_Q}), 6) AS score FROM facts WHERE {ACTIVE} AND fact_type = 'Episodic' AND len(embedding) > 0 AND scope_id IN (SELECT cl.id FROM cl JOIN scopes s ON s.id = cl.ancestor WHERE s.label = 'EUROPE') ORDER BY score DESC, id LIMIT 30), k AS (SELECT * FROM v WHERE {ASOF} ORDER BY score DESC, id LIMIT 10) SELECT id, score, 'vector' AS match_type FROM k WHERE importance_score >= 0.1", lambda t: _run(t, limit=10, embedding=QUERY_VECTOR, fact_type="Episodic", scope=("subtree", " EUROPE /"), least_score=0.1))
+query("query_by_text", None, lambda t: _run(t, limit=10, text=rt.any_word(" ".join(WORDS)), scope=("inherited", "/ASIA")))
+query("query_hybrid_with_archives", None, lambda t: _run(t, t.facts.where(~fa.active()), limit=10, text="the", embedding=QUERY_VECTOR))
+query("query_unknown_scope", "SELECT id FROM facts WHERE FALSE", lambda t: _run(t, scope=("set", ("/nowhere", "/no/where"))).select("id"))
 # Maintenance
 _IMP = f"imp AS (SELECT f.id, fact_type, is_pinned, round(0.3 * CASE WHEN fact_type IN ('Semantic', 'Procedural') THEN 1 ELSE pow(2, -greatest(0, date_diff('second', last_accessed, @now) / 86400.0::DOUBLE) / 69.0) END + 0.2 * least(1, ln(1 + access_count) / ln(101)) + 0.3 * least(1, ln(1 + coalesce(degree, 0)) / ln(51)) + 0.2 * importance, 6) AS score FROM facts f LEFT JOIN deg ON deg.id = f.id WHERE {ACTIVE})"
 query("importance_scores", f"WITH {_DEG}, {_IMP} SELECT * FROM imp", lambda t: co.importance(t.facts, t.edges, now()))

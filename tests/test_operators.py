@@ -5,6 +5,7 @@ import math
 import sqlite3
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -14,7 +15,11 @@ from recollect.functions import redaction as rd
 from recollect.functions import stems as sm
 from recollect.functions import text as tx
 from recollect.operators import consolidate as co
+from recollect.operators import facts as fa
 from recollect.operators import retrieval as rt
+from recollect.plans import catalog
+from recollect.plans import memory_query as mq
+from recollect.plans.tables import Frames, now
 from recollect.sources import sessions as ss
 from recollect.streaming import activity as ac
 
@@ -144,6 +149,25 @@ def test_lexical_search_is_that_of_a_full_text_index(spark):
         assert {r.id: round(r.score, 5) for r in rt.lexical_search(index, q).collect()} == want, q
 
 
+def test_queries_that_do_not_fit_are_refused():
+    for parts in ({"mode": "hybrid", "text": "x"}, {"mode": "vector"}, {"scope": ("near", "/")}, {"mode": "fuzzy", "text": "x"}, {"valid_at": 1, "period": (1, 2)}):
+        with pytest.raises(ValueError):
+            mq.MemoryQuery(**parts).checked_mode()
+    assert mq.MemoryQuery(text="x", embedding=[1.0]).checked_mode() == "hybrid" and mq.MemoryQuery().checked_mode() is None
+
+
+def test_text_queries_rank_valid_facts_first(spark):
+    t = Frames(spark, "/root/testdata/sf0.001")
+    got = catalog.QUERIES["query_by_text"](spark, t.dir).collect()
+    scored = rt.lexical_search(rt.lexical_index(t.facts), rt.any_word(" ".join(catalog.WORDS)))
+    asia = mq.scope_set(t.scopes, "inherited", "/ASIA")
+    want = rt.ranked(scored.join(t.facts.where(fa.active()).join(asia, "scope_id", "left_semi").select("id"), "id", "left_semi"), 30)
+    live = {r.id for r in t.facts.where(fa.as_of(now())).select("id").collect()}
+    assert [(r.id, r.score) for r in got] == [(r.id, r.score) for r in want.orderBy("rank").collect() if r.id in live][:10]
+    both = catalog.QUERIES["query_hybrid_with_archives"](spark, t.dir).collect()
+    assert len(both) == 10 and {r.match_type for r in both} <= {"both", "fts", "vector", "archive"}
+
+
 def test_bytes_are_cut_between_characters():
     assert tx.cut_bytes("éé", 3) == "é"
     assert tx.cut_bytes("abc", 2, "...") == "ab..."
