@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recollect.functions import paths as pa
 from recollect.functions import redaction as rd
 from recollect.functions import text as tx
+from recollect.operators import apply as ap
 from recollect.operators import consolidate as co
 from recollect.operators import facts as fa
 from recollect.operators import graph as gr
@@ -92,6 +93,12 @@ query("summary_levels", "SELECT level, count(*) AS n FROM summaries GROUP BY lev
 query("event_counts", "SELECT event_type, count(*) AS n FROM event_log WHERE session_id <> 's3' GROUP BY event_type", lambda t: t.event_log.where("session_id <> 's3'").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
 query("outcome_counts", "SELECT fact_id, count(*) FILTER (outcome = 'Positive') AS positive, count(*) FILTER (outcome = 'Negative') AS negative, count(*) FILTER (outcome = 'Neutral') AS neutral FROM outcomes WHERE outcome IN ('Positive', 'Negative', 'Neutral') GROUP BY fact_id", lambda t: co.outcome_counts(t.outcomes))
 query("queue_status", "SELECT count(*) FILTER (failed_at IS NULL) AS pending, count(*) FILTER (failed_at IS NOT NULL) AS failed, min(CASE WHEN failed_at IS NULL THEN next_attempt_at END) AS next_at FROM embed_queue", lambda t: t.embed_queue.agg(F.count_if(c("failed_at").isNull()).alias("pending"), F.count_if(c("failed_at").isNotNull()).alias("failed"), F.min(F.when(c("failed_at").isNull(), c("next_attempt_at"))).alias("next_at")))
+query("queue_oldest", "SELECT min(enqueued_at) AS oldest FROM embed_queue WHERE failed_at IS NULL", lambda t: t.embed_queue.where("failed_at IS NULL").agg(F.min("enqueued_at").alias("oldest")))
+_ANSWER = "CASE fact_id % 4 WHEN 0 THEN 'embedded' WHEN 1 THEN 'unreachable' WHEN 2 THEN 'input_rejected' ELSE 'no_answer' END"
+query("queue_settled", f"SELECT fact_id, CASE WHEN fact_id % 4 >= 2 THEN attempts + 1 ELSE attempts END::BIGINT AS attempts, CASE WHEN fact_id % 4 = 3 THEN @now + to_seconds(least(pow(2, attempts), 60)::INTEGER) ELSE next_attempt_at END AS next_attempt_at, CASE WHEN fact_id % 4 = 2 THEN @now ELSE failed_at END AS failed_at FROM embed_queue WHERE {_ANSWER} <> 'embedded'", lambda t: ap.settle(t.embed_queue, t.embed_queue.select("fact_id", F.expr(_ANSWER).alias("answer"), F.lit("e").alias("error"), F.lit(None).cast("array<float>").alias("embedding")), now())[0].select("fact_id", "attempts", "next_attempt_at", "failed_at"))
+_PLAN = "SELECT id AS loser, id + 1 AS survivor, CAST(0.75 AS DOUBLE) AS score FROM facts WHERE id % 10 = 9"
+query("dedup_applied", f"WITH p AS ({_PLAN}), g AS (SELECT loser FROM p JOIN facts s ON s.id = p.survivor WHERE s.t_expired IS NULL) SELECT f.id, CASE WHEN f.t_expired IS NULL AND f.id IN (SELECT loser FROM g) THEN @now ELSE f.t_expired END AS t_expired, CASE WHEN f.id IN (SELECT survivor FROM p) THEN greatest(f.importance_score, 0.75::DOUBLE) ELSE f.importance_score END AS importance_score FROM facts f", lambda t: ap.apply_dedup(t.facts, t.edges, t.facts.where("id % 10 = 9").select(c("id").alias("loser"), (c("id") + 1).alias("survivor"), F.lit(0.75).alias("score")), now())[0].select("id", "t_expired", "importance_score"))
+query("consolidation_watermark", f"SELECT CASE WHEN EXISTS (SELECT 1 FROM facts WHERE {ACTIVE} AND coalesce(len(embedding), 0) = 0) THEN timestamp '2024-01-01' ELSE @now END AS last_consolidated_at", lambda t: ap.watermark(t.facts, F.expr("timestamp_ntz'2024-01-01 00:00:00'"), now()))
 query("queue_backoff", "SELECT fact_id, least(pow(2, greatest(attempts - 1, 0)), 60)::BIGINT AS delay FROM embed_queue", lambda t: t.embed_queue.select("fact_id", tx.backoff_seconds(c("attempts")).alias("delay")))
 query("max_caller_id", "SELECT max(id) AS id FROM facts WHERE NOT json_exists(metadata, '$.dream_cycle')", lambda t: t.facts.where(fa.key_absent("dream_cycle")).agg(F.max("id").alias("id")))
 query("nearest_rank_percentile", "SELECT fact_type, p FROM (SELECT fact_type, importance_score AS p, row_number() OVER w AS r, count(*) OVER (PARTITION BY fact_type) AS n FROM facts WINDOW w AS (PARTITION BY fact_type ORDER BY importance_score)) WHERE r = round(0.75 * (n - 1)) + 1", lambda t: co.nearest_rank(t.facts, "fact_type", "importance_score", 0.75))

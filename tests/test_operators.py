@@ -1,5 +1,6 @@
 """Operators that SQL does not express, against direct models; text functions on golden cases."""
 
+import hashlib
 import json
 import math
 import sqlite3
@@ -14,6 +15,7 @@ from recollect.functions import paths as pa
 from recollect.functions import redaction as rd
 from recollect.functions import stems as sm
 from recollect.functions import text as tx
+from recollect.operators import apply as ap
 from recollect.operators import consolidate as co
 from recollect.operators import facts as fa
 from recollect.operators import retrieval as rt
@@ -168,6 +170,27 @@ def test_text_queries_rank_valid_facts_first(spark):
     assert len(both) == 10 and {r.match_type for r in both} <= {"both", "fts", "vector", "archive"}
 
 
+def test_archives_are_verified(spark, tmp_path):
+    for name in ("a.pak", "b.pak"):
+        (tmp_path / name).write_bytes(name.encode())
+    sha = hashlib.sha256(b"a.pak").hexdigest()
+    manifest = spark.createDataFrame([(1, "a.pak", sha), (2, "b.pak", sha), (3, "c.pak", sha), (4, "../a.pak", sha), (5, "/a.pak", sha)], "id long, pak_path string, sha256 string")
+    got = {r.id: r.error for r in ap.verify_archives(manifest, ss.verify_archive(spark, str(tmp_path))).collect()}
+    assert got == {1: None, 2: "hash differs", 3: "file not found", 4: "path leaves the archive", 5: "path leaves the archive"}
+
+
+def test_skipped_pairs_keep_their_edges(spark):
+    now_ = F.expr("timestamp_ntz'2024-02-10 00:00:00'")
+    old = "timestamp_ntz'2024-01-01 00:00:00'"
+    facts = spark.sql(f"SELECT id, 0.5D AS importance_score, IF(id = 4, {old}, NULL) AS t_expired FROM range(1, 5)")
+    edges = spark.sql("SELECT id, id AS source_fact_id, 99L AS target_fact_id, CAST(NULL AS timestamp_ntz) AS t_expired FROM range(1, 5)")
+    plan = spark.createDataFrame([(1, 2, 0.9), (3, 4, 0.9)], "loser long, survivor long, score double")
+    f, e, done = ap.apply_dedup(facts, edges, plan, now_)
+    assert {r.id for r in f.where("t_expired = " + "timestamp_ntz'2024-02-10 00:00:00'").collect()} == {1}
+    assert {r.id for r in e.where("t_expired is not null").collect()} == {1}
+    assert {(r.loser, r.done) for r in done.collect()} == {(1, True), (3, False)}
+
+
 def test_bytes_are_cut_between_characters():
     assert tx.cut_bytes("éé", 3) == "é"
     assert tx.cut_bytes("abc", 2, "...") == "ab..."
