@@ -177,7 +177,15 @@ def redact(text: str, deny: tuple[str, ...] = ()) -> str:
 
 
 def redact_column(text: Column, deny: tuple[str, ...] = ()) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda t: t if t is None else redact(t, deny)), "string")(text)
+    """Redacted texts; one that does not settle becomes null, so that it is not stored and the job goes on."""
+
+    def settled(t: str | None) -> str | None:
+        try:
+            return t if t is None else redact(t, deny)
+        except ValueError:
+            return None
+
+    return F.pandas_udf(lambda s: s.map(settled), "string")(text)
 
 
 def rules_column(text: Column, deny: tuple[str, ...] = ()) -> Column:

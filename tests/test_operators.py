@@ -257,7 +257,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"type":"user","sessionId":"s","message":{"role":"user","content":"hi"}}\nbroken\n')
     assert [r.sessionId for r in ss.read_sessions(spark, str(tmp_path)).collect()] == ["s"]
     (tmp_path / "n.md").write_text("---\nname: x\ndescription: y\n---\nbody\n")
-    assert [(r.name, r.body) for r in ss.read_notes(spark, str(tmp_path)).collect()] == [("x", "body\n")]
+    assert [(r.name, r.body) for r in ss.read_notes(spark, str(tmp_path)).collect()] == [("x", "body")]
     (tmp_path / "f.json").write_text('{"content":"a","base_importance":0.4}\n{"content":"b","base_importance":3}\n')
     ok, bad = ss.read_facts(spark, str(tmp_path / "f.json"))
     assert (ok.count(), bad.count()) == (1, 1)
