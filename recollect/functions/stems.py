@@ -50,7 +50,7 @@ def stem(word: str) -> str:
 
 def _stem(word: str) -> str:
     if word.endswith("s") and not word.endswith("ss"):
-        word = word[:-2] if word.endswith(("sses", "ies")) else word[:-1]
+        word = word[:-2] if word[1:].endswith(("sses", "ies")) else word[:-1]
     if len(word) > 3 and word.endswith("eed"):
         word = word[:-1] if _measure(word[:-3]) > 0 else word
     elif (end := _longest(word, ("ed", "ing"))) and "v" in _shape(word[: -len(end)]):
