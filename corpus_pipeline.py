@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm import decontaminate, mixing, quality, simhash_dedup, suffix_dedup
+from recollect.llm import decontaminate, mixing, quality, shingle_dedup, suffix_dedup
 from recollect.llm._runtime import materialize, release
 
 
@@ -16,8 +16,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, the one with the smallest doc_id."""
-    return simhash_dedup.drop_near_duplicates(docs)
+    """Keeps one document of each group linked by 5-word shingle similarity 0.8, the one with the smallest doc_id."""
+    return shingle_dedup.drop_near_duplicates(docs, threshold=0.8, shingle=5)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
