@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_RULES = 1000  # of the mined rules; bounds what is broadcast
-SAMPLE_ROWS = 200_000  # labelled rows that the rules are mined from, at most
 LEAST_ROWS = 20  # labelled rows that must have a rule's tokens, whatever the support
 BLOCKED = "label=block"
 
@@ -60,12 +59,12 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     """(rule_id, items, confidence, support, key): pruned rules out of labelled (tokens, blocked boolean) rows.
 
     A rule survives if no shorter rule inside it is as confident; MAX_RULES at most, the best first. No labelled rows,
-    or none blocked, give no rules; tokens of fewer than LEAST_ROWS rows make none. Mining uses SAMPLE_ROWS rows at most, the smallest by a seeded hash.
+    or none blocked, give no rules; tokens of fewer than LEAST_ROWS rows make none. All labelled rows are mined.
     """
     marked = F.when(F.col("blocked"), F.array_append(F.col("tokens"), F.lit(BLOCKED))).otherwise(F.col("tokens"))
-    sample = labelled.where("blocked is not null and size(tokens) > 0").orderBy(F.xxhash64("tokens", "blocked")).limit(SAMPLE_ROWS)
-    support = max(min_support, LEAST_ROWS / max(1, sample.count()))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=min_confidence).fit(sample.select(marked.alias("items")))
+    rows = labelled.where("blocked is not null and size(tokens) > 0")
+    support = max(min_support, LEAST_ROWS / max(1, rows.count()))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=min_confidence).fit(rows.select(marked.alias("items")))
     counts = model.freqItemsets
     single = counts.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
     rules = model.associationRules.where(F.array_contains("consequent", BLOCKED)).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
