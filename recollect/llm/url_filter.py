@@ -11,7 +11,6 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULES = 1000  # of the mined rules; bounds what is broadcast
 LEAST_ROWS = 20  # labelled rows that must have a rule's tokens, whatever the support
 BLOCKED = "label=block"
 
@@ -58,8 +57,8 @@ def tokens(host_col: Column, path_col: Column) -> Column:
 def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
     """(rule_id, items, confidence, support, key): pruned rules out of labelled (tokens, blocked boolean) rows.
 
-    A rule survives if no shorter rule inside it is as confident; MAX_RULES at most, the best first. No labelled rows,
-    or none blocked, give no rules; tokens of fewer than LEAST_ROWS rows make none. All labelled rows are mined.
+    A rule survives if no shorter rule inside it is as confident; all that survive are kept. No labelled rows, or none
+    blocked, give no rules; tokens of fewer than LEAST_ROWS rows make none. All labelled rows are mined.
     """
     marked = F.when(F.col("blocked"), F.array_append(F.col("tokens"), F.lit(BLOCKED))).otherwise(F.col("tokens"))
     rows = labelled.where("blocked is not null and size(tokens) > 0")
@@ -68,10 +67,11 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     counts = model.freqItemsets
     single = counts.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
     rules = model.associationRules.where(F.array_contains("consequent", BLOCKED)).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
-    best = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("items"), F.col("items").cast("string")).limit(MAX_RULES)
-    inner = best.select(F.col("items").alias("less"), F.col("confidence").alias("less_confidence"))
-    shorter = (F.size("less") < F.size("items")) & F.forall("less", lambda x: F.array_contains(F.col("items"), x)) & (F.col("less_confidence") >= F.col("confidence"))
-    kept = best.join(F.broadcast(inner), shorter, "left_anti")
+    # A shorter rule inside a rule is met through one of its own tokens, so rules are joined by token and not all with all.
+    inner = rules.select(F.explode("items").alias("token"), F.col("items").alias("less"), F.col("confidence").alias("less_confidence"))
+    shorter = (F.size("less") < F.size("items")) & (F.size(F.array_except("less", "items")) == 0) & (F.col("less_confidence") >= F.col("confidence"))
+    worse = rules.select("items", "confidence", F.explode("items").alias("token")).join(inner, "token").where(shorter).select("items").distinct()
+    kept = rules.join(worse, "items", "left_anti")
     rarest = kept.select("items", F.explode("items").alias("token")).join(single, "token").groupBy("items").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
     return kept.join(rarest, "items").select(F.xxhash64(F.col("items")).alias("rule_id"), "items", "confidence", "support", "key")
 
@@ -91,7 +91,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min
     sets = seen.select("tokens").distinct()
     hits = (
         sets.select("tokens", F.explode("tokens").alias("key"))
-        .join(F.broadcast(mined), "key")  # MAX_RULES rows at most
+        .join(mined, "key")
         .where(F.forall("items", lambda x: F.array_contains(F.col("tokens"), x)))
         .groupBy("tokens")
         .agg(F.max_by(F.struct("items", "confidence"), F.struct("confidence", "support", F.col("items").cast("string"))).alias("best"))
