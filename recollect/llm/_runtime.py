@@ -40,9 +40,48 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, name: str, n: int, key: str) -> tuple[DataFrame, tuple[str, str]]:
+    """Write df as a table of n buckets by key and read it back; (name, path) of the table to drop and release.
+
+    Grouping it by key needs no shuffle, however often.
+    """
+    spark = df.sparkSession
+    path, table = shared_path(spark, name), f"recollect_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(table)
+    free_shuffles(spark)
+    return spark.table(table), (table, path)
+
+
+def deal_keys(n: int) -> np.ndarray:
+    """n integers, the i-th of which hash partitioning (Murmur3 of an int, seed 42) sends to partition i of n."""
+    out = np.full(n, -1, np.int32)
+    at, step = 0, max(1024, 16 * n)
+    while (out < 0).any():
+        key = np.arange(at, at + step, dtype=np.uint32)
+        k = key * np.uint32(0xCC9E2D51)
+        k = (k << np.uint32(15)) | (k >> np.uint32(17))
+        h = np.uint32(42) ^ (k * np.uint32(0x1B873593))
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+        part = np.mod(h.view(np.int32).astype(np.int64), n)
+        for p, i in zip(*np.unique(part, return_index=True)):
+            if out[p] < 0:
+                out[p] = at + i
+        at += step
+    return out
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished writes, which wait for a collection of the driver's heap."""
+    spark._jvm.System.gc()
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete a table written by materialize that nothing reads any more."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -106,27 +106,53 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch):
     texts = [(i, long[i % 6][rng.integers(100) :] + "".join(rng.choice(alpha, rng.integers(120))) + long[(i * 5 + 1) % 6][: rng.integers(300)]) for i in range(40)]
     texts += [(40, None), (41, ""), (42, "x" * 49), (43, "x" * 50), (44, "x" * 5000), (45, "x" * 120), (46, texts[3][1]), (46, texts[3][1] + "tail"), (47, "nul\0" * 40), (48, "nul\0" * 30)]
     df = spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, g string")
-    for index_bytes in (1 << 20, 400):
+    # One index or many, strings by minimizer or all of them one by one: the same result.
+    for index_bytes, hot in ((1 << 20, 4096), (400, 4096), (1 << 20, 1), (1 << 20, 3)):
         monkeypatch.setattr(suffix_dedup, "INDEX_BYTES", index_bytes)
-        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df).collect())
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df, hot=hot).collect())
         assert got == brute_repeats(texts, 50)
     null = suffix_dedup.dedup(spark.createDataFrame([(None, "y" * 80), (None, "y" * 80)], "doc_id long, text string")).collect()
     assert [r.n_removed for r in null] == [0, 0]
     assert suffix_dedup.dedup(df.limit(0)).count() == 0
 
 
-def test_run_index_streams_every_suffix():
-    parts = [b"banana" * 12, b"ananas" * 12, b"bananas" * 11]
-    index = suffix_dedup.RunIndex(parts, np.array([3, 1, 2]), 50)
-    place, cls = index.stream()
-    assert len(place) == sum(map(len, parts)) and len(index.run_start) < index.n / 2
-    joined = b"\0".join(parts) + b"\0"
-    starts = np.cumsum([0] + [len(p) + 1 for p in parts])
-    for p, c in zip(place.tolist(), cls.tolist()):
-        s = joined[p : p + 50]
-        if b"\0" not in s and len(s) == 50:
-            want = min(d for d, q in zip((3, 1, 2), parts) if s in q)
-            assert index.class_doc[c] == want, (p, starts)
+def test_drop_repeats_keeps_rows_and_columns(spark):
+    same = "".join(np.random.default_rng(5).choice(list("abcdef "), 70))
+    rows = [(1, same, "a", 1), (1, "other " + same, "b", 2), (2, same, "c", 3), (2, "x " + same, "d", 4), (3, None, "e", 5), (4, "", "f", 6), (None, same, "g", 7), (5, "é" + same[:50] + "é", "h", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, g string, _doc int")
+    got = sorted((r._doc, r.doc_id, r.text, r.g) for r in suffix_dedup.drop_repeats(df).collect())
+    assert suffix_dedup.drop_repeats(df).columns == df.columns
+    # Rows of one document do not cut each other; row 3 is gone whole, and its sibling keeps what is its own.
+    assert got == [(1, 1, same, "a"), (2, 1, "other " + same, "b"), (4, 2, "x ", "d"), (5, 3, None, "e"), (6, 4, "", "f"), (7, None, same, "g"), (8, 5, "éé", "h")]
+    assert suffix_dedup.drop_repeats(df.limit(0)).count() == 0
+
+
+def test_run_index_streams_every_string():
+    parts = [b"banana" * 12, b"ananas" * 12, b"bananas" * 11, b"z" * 300]
+    docs = (3, 1, 2, 4)
+    index = suffix_dedup.RunIndex(parts, np.array(docs), 50)
+    n = sum(map(len, parts)) + 4
+    # What is kept grows with the runs, not with the bytes.
+    assert len(index.run_start) < n / 4 and len(index.mark_start) < n / 4
+    for part, (starts, low) in zip(parts, index.matches()):
+        each = np.repeat(low, np.diff(np.append(starts, len(part) - 49)))
+        assert each.tolist() == [min(d for d, q in zip(docs, parts) if part[i : i + 50] in q) for i in range(len(part) - 49)]
+    rng = np.random.default_rng(6)
+    for length in (3, 7, 12, 50):
+        parts = list({bytes(rng.choice(list(b"ab"), rng.integers(length, length + 60)).tolist()) for _ in range(30)})
+        docs = rng.permutation(len(parts))
+        for part, (starts, low) in zip(parts, suffix_dedup.RunIndex(parts, docs, length).matches()):
+            n = len(part) - length + 1
+            each = np.repeat(low, np.diff(np.append(starts, n)))
+            assert each.tolist() == [min(int(d) for d, q in zip(docs, parts) if part[i : i + length] in q) for i in range(n)]
+
+
+def test_deal_keys_hit_every_partition(spark):
+    from recollect.llm._runtime import deal_keys
+
+    for n in (1, 7, 50):
+        keys = spark.createDataFrame([(int(k),) for k in deal_keys(n)], "k int").selectExpr(f"pmod(hash(k), {n}) as p").collect()
+        assert [r.p for r in keys] == list(range(n))
 
 
 def test_url_rules(spark):
