@@ -22,10 +22,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeats of 50 bytes and more out of the texts; documents of which no word is left go."""
-    kept = suffix_dedup.dedup(docs, 50, texts=True).where("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.col("kept_text").alias("_kept"))
-    cut = docs.join(kept, F.col("doc_id") == F.col("_doc"), "left").withColumn("text", F.when(F.col("_doc").isNotNull(), F.col("_kept")).otherwise(F.col("text")))
-    cut = cut.where(F.col("_doc").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = suffix_dedup.drop_repeats(docs, 50)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
