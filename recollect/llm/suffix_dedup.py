@@ -530,7 +530,7 @@ def drop_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame
     def mark(g: pa.Table, covered) -> pa.Table:
         rows = _rows(g, covered)
         cut = [kept.decode("utf-8", "ignore") if removed else None for _, removed, _, kept in rows]
-        keep = pa.array([c is None or bool(c.strip(" \\t\\n\\v\\f\\r")) for c in cut], pa.bool_())
+        keep = pa.array([c is None or bool(c.strip(" \t\n\v\f\r")) for c in cut], pa.bool_())
         cols = [g.column(f"c{i}") for i in range(len(names))]
         whole = cols[at].combine_chunks()
         cols[at] = pa.array([w if c is None else c for w, c in zip(whole.to_pylist(), cut)], pa.string())
