@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,10 +23,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a private one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a private one of a local master (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="recollect-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -88,6 +91,26 @@ def release(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: list[str], spread: Column, counts: DataFrame) -> DataFrame:
+    """left.join(right, key, "left") for a right side with one row a key, with hot keys dealt over many tasks.
+
+    counts (key columns, _n) are the rows of left per key. A key with more than a thousandth of all rows is hot: there
+    are fewer than a thousand such keys, so their list is broadcast, and the right row of each is repeated for every
+    thousandth. Rows of left are dealt by the hash of `spread`. Null keys meet nothing.
+    """
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    share = max(100, total // 1000)
+    hot = F.broadcast(counts.where(F.col("_n") > share).select(*[F.col(k).alias(f"_hot_{k}") for k in key], F.ceil(F.col("_n") / share).cast("int").alias("_salts")))
+
+    def salts(side: DataFrame) -> DataFrame:
+        on = [F.col(k) == F.col(f"_hot_{k}") for k in key]
+        return side.join(hot, on, "left").drop(*[f"_hot_{k}" for k in key])
+
+    dealt = salts(left).withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    copies = salts(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copies, [*key, "_salt"], "left").drop("_salt")
+
+
 def pair_blocks(df: DataFrame, key: list[str], spread: Column, block: int, carried: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
     """Deal rows so that any two rows of a key meet in exactly one block, in blocks of about 2 x block rows at most.
 

@@ -68,11 +68,6 @@ def _in_order(parts: DataFrame) -> DataFrame:
     return parts.repartition(n, key).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "head", "body")
 
 
-def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns))
-
-
 def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for row in rows:
@@ -84,26 +79,30 @@ def _batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
-def examples(parts: DataFrame) -> DataFrame:
-    """(conv_id, example, turn, context_chars, loss_start, loss_end): one row per assistant turn of segments.
+EXAMPLE = "conv_id long, example long, turn long, context_chars long, loss_start long, loss_end long"
+_EXAMPLE = pa.schema([(x.split()[0], pa.int64()) for x in EXAMPLE.split(", ")])
 
-    Offsets count characters of the formatted conversation: [0, loss_start) is context, [loss_start, loss_end) is the
-    trainable reply. A conversation is streamed turn by turn; nothing of it is gathered.
-    """
-    schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("turn", pa.int64()), ("context_chars", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        last, at, n = object(), 0, 0
-        for conv, turn, trainable, head, body in _turns(batches):
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str, tuple | None]]:
+    """(conv_id, formatted part, example or None): every turn in order, and the example that an assistant turn becomes."""
+    last, at, n = object(), 0, 0
+    for batch in batches:
+        for conv, turn, trainable, head, body in zip(*(c.to_pylist() for c in batch.columns)):
             if conv != last:
                 last, at, n = conv, 0, 0
             start = at + len(head)
-            if trainable:
-                yield conv, n, turn, start, start, start + len(body)
-                n += 1
+            yield conv, head + body + CLOSE, (conv, n, turn, start, start, start + len(body)) if trainable else None
+            n += trainable
             at = start + len(body) + len(CLOSE)
 
-    return map_arrow(_in_order(parts), lambda b: _batched(rows(b), schema), "conv_id long, example long, turn long, context_chars long, loss_start long, loss_end long")
+
+def examples(parts: DataFrame) -> DataFrame:
+    """(conv_id, example, turn, context_chars, loss_start, loss_end): one row per assistant turn of segments.
+
+    Offsets count characters of the formatted conversation: [0, loss_start) is context, [loss_start, loss_end) is the
+    trainable reply. A conversation is streamed turn by turn; nothing of it is gathered.
+    """
+    return map_arrow(_in_order(parts), lambda b: _batched((e for _, _, e in _expand(b) if e), _EXAMPLE), EXAMPLE)
 
 
 def example_texts(parts: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -120,41 +119,58 @@ def example_texts(parts: DataFrame, chosen: DataFrame) -> DataFrame:
     )
 
 
+class _Reader:
+    """Reads one formatted conversation back, as its characters come in: turns by the marks, the loss by the masks.
+
+    It sees characters and masks only, not where a part began, so a text that broke a neighbour's marks would show.
+    """
+
+    def __init__(self, conv: int | None):
+        self.conv, self.n_turns, self.made, self.loss_chars = conv, 0, 0, 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.held, self.base, self.masks = "", 0, []
+
+    def feed(self, chars: str, example: tuple | None) -> None:
+        self.held += chars
+        if example:
+            self.made += 1
+            self.masks.append(example[4:])
+        done = 0
+        while m := _PART.match(self.held, done):
+            self.n_turns += 1
+            self.turns.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+            done = m.end()
+        while self.masks and self.masks[0][1] <= self.base + len(self.held):
+            start, end = self.masks.pop(0)
+            reply = unescape(self.held[start - self.base : end - self.base])
+            self.loss_chars += len(reply)
+            self.loss.update(reply.encode())
+        self.held, self.base = self.held[done:], self.base + done
+
+    def row(self) -> tuple:
+        return self.conv, self.n_turns, self.turns.hexdigest(), self.made, self.loss_chars, self.loss.hexdigest(), self.base + len(self.held)
+
+
 def read_back(parts: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, n_examples, loss_chars, loss_sha256, formatted_chars), parsed from the output.
+    """(conv_id, n_turns, turns_sha256, n_examples, loss_chars, loss_sha256, formatted_chars), read from the output.
 
-    Turns are parsed out of the formatted characters; the loss comes from the examples' masks. Hashes run along the
-    stream, so a conversation may have any number of turns. An empty table gives no rows.
+    The conversation is expanded into its examples; turns are parsed out of the formatted characters, and the loss is
+    what the examples' masks cover of them. Hashes run along the stream, so a conversation may have any number of turns,
+    with one held at a time. An empty table gives no rows.
     """
     schema = pa.schema(
         [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("n_examples", pa.int64()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
     )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        state = None
-
-        def done() -> tuple:
-            conv, n, turns, made, chars, loss, at = state
-            return conv, n, turns.hexdigest(), made, chars, loss.hexdigest(), at
-
-        for conv, _, trainable, head, body in _turns(batches):
-            if state is None or state[0] != conv:
-                if state:
-                    yield done()
-                state = [conv, 0, hashlib.sha256(), 0, 0, hashlib.sha256(), 0]
-            part = head + body + CLOSE
-            found = parse(part)
-            for role, text in found:
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-            if trainable:
-                start, end = len(head), len(part) - len(CLOSE)
-                reply = unescape(part[start:end])
-                state[3] += 1
-                state[4] += len(reply)
-                state[5].update(reply.encode())
-            state[6] += len(part)
-        if state:
-            yield done()
+        reader = None
+        for conv, chars, example in _expand(batches):
+            if reader is None or reader.conv != conv:
+                if reader:
+                    yield reader.row()
+                reader = _Reader(conv)
+            reader.feed(chars, example)
+        if reader:
+            yield reader.row()
 
     return map_arrow(_in_order(parts), lambda b: _batched(rows(b), schema), "conv_id long, n_turns long, turns_sha256 string, n_examples long, loss_chars long, loss_sha256 string, formatted_chars long")

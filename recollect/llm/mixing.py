@@ -7,7 +7,8 @@ share fits. Documents are then taken whole `floor(target / size)` times, and onc
 remaining words are used up; the document at the cut gives its first words only.
 
 The seeded order of a source is never sorted as a whole: documents are added up in BINS ranges of their hash before
-any shuffle, and only the range that holds the cut is put in order.
+any shuffle, and only the documents of the range that holds the cut are dealt and put in order. All others are decided
+where they are read, against one row for each source.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.llm._runtime import materialize, release, salted_join
+
 BINS = 4096
+FEW = 10_000  # sources whose plan is broadcast; more are joined, hot ones salted
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -23,8 +27,8 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _order(seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+def _order(seed: int, doc_id: Column, text: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null|"), F.md5(text)), F.lit("null"))))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -51,59 +55,55 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 8) -> DataFrame:
-    """docs with _size, _source_size, _target, _whole (whole repetitions), _extra (words of one more) and _taken.
+    """(row, size, source_size, target, whole, extra, taken): the row of docs, its words, its source's words and target,
+    whole repetitions, words of one more, and the words taken in all.
 
     Null texts have size 0 and are taken 0 times in words; null sources are one source; repeated rows are taken each by
     itself, in an order fixed by doc_id, size and text. A source without words yields nothing. An empty table gives an
-    empty result. The columns of docs stay as they are; names starting with an underscore are the operator's own.
+    empty result. docs may have columns of any name, as they stay inside `row`.
     """
-    rows = docs.withColumns({"_size": words(F.col("text")), "_order": _order(seed), "_tie": F.xxhash64("text")}).withColumn(
-        "_bin", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * BINS / 2**32).cast("int")
+    text, source = F.col("row.text").cast("string"), F.col("row.source").cast("string")
+    order = _order(seed, F.col("row.doc_id"), text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
+        "row",
+        F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("key"),
+        F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * BINS / 2**32).cast("int").alias("bin"),
     )
-    bins = rows.groupBy(F.col("source"), "_bin").agg(F.sum("_size").alias("bin_size"))
-    sizes = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
+    bins = rows.groupBy(source.alias("source"), "key", "bin").agg(F.sum(words(text)).alias("bin_size"), F.count(F.lit(1)).alias("n"))
+    bins, path = materialize(bins, "mix-bins")
     plan = (
-        targets(sizes, weights, max_epochs)
-        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-        .withColumn("extra", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-        .withColumnRenamed("source", "of")
-    )
-    up_to = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
-        bins.withColumn("before", F.coalesce(F.sum("bin_size").over(up_to), F.lit(0)))
-        .join(plan, F.col("source").eqNullSafe(F.col("of")))
-        .select(
-            F.col("of").alias("_of"),
-            F.col("_bin").alias("_at"),
-            F.col("source_size").alias("_source_size"),
-            F.col("target").alias("_target"),
-            F.col("whole").cast("int").alias("_whole"),
-            (F.col("extra") - F.col("before")).alias("_left"),
-            F.col("bin_size").alias("_bin_size"),
-        )
-    )
-    dealt = rows.join(cuts, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_bin") == F.col("_at")))
-    inside = (F.col("_left") > 0) & (F.col("_left") < F.col("_bin_size"))
-    # Only rows of the cut's range are ordered; the others get a key of their own, so no window is large.
-    part = F.when(inside, F.lit("cut")).otherwise(F.col("_order"))
-    before = F.coalesce(
-        F.sum("_size").over(Window.partitionBy("source", "_bin", part).orderBy("_order", "_size", "_tie", F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
-    )
-    extra = F.when(~inside, F.when(F.col("_left") > 0, F.col("_size")).otherwise(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_left") - F.col("_before"))))
-    return (
-        dealt.withColumn("_before", before)
-        .withColumn("_extra", extra.cast("long"))
-        .withColumn("_taken", (F.col("_whole") * F.col("_size") + F.col("_extra")).cast("long"))
-        .select(*docs.columns, "_size", "_source_size", "_target", "_whole", "_extra", "_taken")
+        targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, max_epochs)
+        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
+        .withColumn("words_left", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
+        .withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
+        .drop("source")
     )
+    up_to = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    # The cut is in the first range that is not taken whole.
+    met = bins.select("key", "bin", "bin_size", "n", F.coalesce(F.sum("bin_size").over(up_to), F.lit(0)).alias("before")).join(plan, "key")
+    cut = F.min(F.when(F.col("before") + F.col("bin_size") > F.col("words_left"), F.struct("bin", (F.col("words_left") - F.col("before")).alias("left"))))
+    plan, plan_path = materialize(met.groupBy("key", "source_size", "target", "whole").agg(cut.alias("cut"), F.sum("n").alias("_n")).select("key", "source_size", "target", "whole", "_n", F.coalesce("cut.bin", F.lit(BINS)).alias("at"), F.coalesce("cut.left", F.lit(0)).alias("left")), "mix-plan")
+    if plan.count() <= FEW:
+        dealt = rows.join(F.broadcast(plan.drop("_n")), "key")
+    else:
+        dealt = salted_join(rows, plan.drop("_n"), ["key"], F.col("bin"), plan.select("key", "_n"))
+    release(docs.sparkSession, path)
+    outside = dealt.where(F.col("bin") != F.col("at")).withColumn("size", words(text)).withColumn("extra", F.when(F.col("bin") < F.col("at"), F.col("size")).otherwise(F.lit(0).cast("long")))
+    inside = dealt.where(F.col("bin") == F.col("at")).withColumns({"size": words(text), "order": order, "tie": F.xxhash64(text)})
+    here = Window.partitionBy("key").orderBy("order", "size", "tie", F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("left", F.col("left") - F.coalesce(F.sum("size").over(here), F.lit(0))).withColumn("extra", F.greatest(F.lit(0), F.least("size", "left")))
+    names = ["row", "size", "source_size", "target", "whole", "extra"]
+    return outside.select(*names).unionByName(inside.select(*names)).withColumn("taken", (F.col("whole") * F.col("size") + F.col("extra")).cast("long"))
 
 
 def repetitions(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 8) -> DataFrame:
-    """The mix itself: docs' columns and `repetition`, a row per repetition taken; a cut one has its first words only."""
-    mixed = mix(docs, weights, max_epochs, seed)
-    partial = (F.col("_extra") > 0) & (F.col("_extra") < F.col("_size"))
-    last = F.col("_whole") + F.when(F.col("_extra") > 0, 1).otherwise(0)
-    out = mixed.where(last > 0).withColumn("repetition", F.explode(F.sequence(F.lit(1), last)))
-    head = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_extra").cast("int")))
-    return out.withColumn("text", F.when(partial & (F.col("repetition") > F.col("_whole")), head).otherwise(F.col("text"))).select(*docs.columns, "repetition")
+    """The mix itself: docs' columns and `repetition`, a row per repetition taken; a cut one has its first words only.
+
+    An input column `repetition` gives way to the new one; all others stay, whatever their names.
+    """
+    partial = (F.col("extra") > 0) & (F.col("extra") < F.col("size"))
+    last = F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)
+    out = mix(docs, weights, max_epochs, seed).where(last > 0).withColumn("at", F.explode(F.sequence(F.lit(1), last)))
+    head = F.concat_ws(" ", F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("extra").cast("int")))
+    text = F.when(partial & (F.col("at") > F.col("whole")), head).otherwise(F.col("row.text"))
+    return out.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "repetition"], F.col("at").alias("repetition"))

@@ -39,7 +39,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_t(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.round("_target", 6).alias("target"), F.col("_taken").alias("taken"))
+    return mixed.select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ SELECT page_id, payload_bytes, payload_digest,
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('8|' || coalesce(doc_id::VARCHAR, 'null')) AS ord, md5(text) AS h FROM documents),
+         md5('8|' || coalesce(doc_id::VARCHAR, 'null|' || md5(text), 'null')) AS ord, md5(text) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM s),
 w AS (SELECT *, (((rank - 1) % 3) + 1)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM r),

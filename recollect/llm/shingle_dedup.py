@@ -4,8 +4,11 @@ Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of ea
 (prefix filter). The order here puts shingles that a sample of the documents repeats last, so prefixes are of rare ones;
 the sample decides the speed only. Pairs that share prefix shingles are held against bounds on their overlap by lengths,
 positions and the number of shared prefix shingles, and what is left is verified on whole sets. Before all pairs are
-asked, each prefix group is verified against one of its members, so that large groups of copies are mostly linked then;
-pairs of one component are not asked again.
+asked, the links of the SimHash trees are verified, and each prefix group against one of its members, so that large
+groups of copies are mostly linked then; pairs of one component are not asked again.
+
+SimHash alone cannot find these pairs: at similarity 0.8 fingerprints differ in about 10 of 64 bits and often in 15,
+which no tree keeps apart from chance at scale. So its trees give the first links and the prefix filter the rest.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm import simhash_dedup
 from recollect.llm._runtime import components, groups, map_arrow, materialize, pair_blocks, release
 
 STAR_KEYS = 8  # leading prefix shingles of the first round; the second round takes all
@@ -134,10 +138,11 @@ def candidates(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     return counted.where(F.col("c") + F.greatest(rest("na"), rest("nb")) >= F.lit(share) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, radius: int = 4, block: int = 1024) -> DataFrame:
     """(doc_id, component_id): the groups that pairs of at least the similarity connect; rows without a doc_id are left out.
 
-    Word-less texts are alike. component_id is the smallest doc_id of the group. Only `doc_id` and `text` are read.
+    Null, empty and word-less texts are alike. component_id is the smallest doc_id of the group. A repeated doc_id has a
+    row for each of its rows, which may be of several groups. Only `doc_id` and `text` are read; no rows give no rows.
     """
     spark = docs.sparkSession
     table, table_at = materialize(prefixes(docs, threshold, shingle), "shingle-prefixes")
@@ -150,18 +155,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, b
     centres = lead.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", "key"), F.col("sig"), F.col("n"))).alias("m")).select("key", F.col("m.sig").alias("c"), F.col("m.n").alias("cn"))
     close = F.least("n", "cn") >= F.lit(threshold) * F.greatest("n", "cn") - 1e-9
     stars = lead.join(centres, "key").where((F.col("sig") != F.col("c")) & close).select(F.least("sig", "c").alias("a"), F.greatest("sig", "c").alias("b")).distinct()
-    first, paths = verified(stars, owners, docs, threshold, shingle)
+    prints, prints_at = materialize(simhash_dedup.fingerprints(docs.where("doc_id is not null"), shingle).groupBy("fp").agg(F.min("doc_id").alias("rep")), "shingle-prints")
+    owner = table.select("doc_id", "sig").distinct()
+    near = simhash_dedup.links(prints, radius, block).join(owner.toDF("a", "s"), "a").join(owner.toDF("b", "t"), "b").where("s <> t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+    first, paths = verified(stars.unionByName(near).distinct(), owners, docs, threshold, shingle)
     roots = components(first, "shingle-components").withColumnRenamed("node", "sig")
     rooted = rows.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     second, more = verified(candidates(rooted, threshold, block), owners, docs, threshold, shingle)
     roots = components(first.union(second), "shingle-components").withColumnRenamed("node", "sig")
-    for path in [rows_at, *paths, *more]:
+    for path in [rows_at, prints_at, *paths, *more]:
         release(spark, path)
     member = table.select("doc_id", "sig").join(roots, "sig", "left").select("doc_id", F.coalesce("root", "sig").alias("root"))
     return member.join(member.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; rows without a doc_id stay."""
+    """The rows of docs whose doc_id is the smallest of its group; rows without a doc_id stay.
+
+    Rows of one doc_id stand and fall together: they go if one of them is near a smaller document. Columns are kept as
+    they are, whatever their names; no rows give no rows.
+    """
     gone = near_duplicates(docs, threshold, shingle).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

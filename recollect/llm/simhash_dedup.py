@@ -3,19 +3,24 @@
 A fingerprint is the majority vote of the 64-bit hashes of a document's word shingles. Fingerprints link when they
 differ in at most `radius` bits. The search tree is laid out as shuffle keys, so its leaves are shards:
 
-* The 64 bits are cut into radius + 1 bands. A linked pair has one band without any difference (pigeonhole), so in
-  that band's tree its radius is 0. Each inner level partitions by the Hamming distance of the band to a vantage
-  point; the triangle bound |d(x, v) - d(y, v)| <= 0 prunes every branch but one.
+* The 64 bits are cut into more than `radius` bands. A linked pair has at least bands - radius bands without any
+  difference (pigeonhole), so there is a tree for each choice of that many bands, in which its radius is 0. Each inner
+  level partitions by the Hamming distance of the chosen bands to a vantage point; the triangle bound
+  |d(x, v) - d(y, v)| <= 0 prunes every branch but one.
 * The last level uses the distance of the whole fingerprint to a vantage point, cut into shells of width radius + 1.
   The triangle bound is the radius there, so a fingerprint is stored in its own shell and also queries the next one
   if its ball crosses the boundary.
 
+How many bands follows from the number of fingerprints: one more band squares the leaves of a tree or more, for a few
+more trees, so leaves stay small as the fingerprints grow and the work near to their number.
+
 Rows of a leaf are compared exactly, in blocks of bounded size, and linked groups are closed over by components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm._runtime import components, groups, local_roots, map_arrow, materialize, pair_blocks
+from recollect.llm._runtime import components, groups, local_roots, map_arrow, materialize, pair_blocks, release, salted_join
 
 BITS = 64
-BAND_LEVELS = 6
+LEAF = 512  # fingerprints a leaf should have at most, if they spread evenly
 
 
 def _vantage(seed: int, n: int) -> list[int]:
@@ -65,21 +70,30 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
 
 
-def tree_rows(fps: DataFrame, radius: int = 4, seed: int = 7) -> DataFrame:
-    """(leaf long, fp, rep, query boolean): a row per band for the home leaf, and one more where the ball crosses it."""
+def band_masks(n: int, radius: int) -> list[int]:
+    """The bits of each tree's chosen bands, for n fingerprints; any two within the radius agree on one of them."""
     bands = radius + 1
+    while bands < radius + 4 and n / 2 ** (BITS * (bands - radius) / bands) > LEAF:
+        bands += 1
+    cuts = [t * BITS // bands for t in range(bands + 1)]
+    each = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:])]
+    return [sum(chosen) for chosen in combinations(each, bands - radius)]
+
+
+def tree_rows(fps: DataFrame, masks: list[int], radius: int = 4, seed: int = 7) -> DataFrame:
+    """(shard, path, query boolean, fp, rep): a row per tree for the home leaf, and one more where the ball crosses it."""
     width = radius + 1
     trees = []
     whole = _vantage(seed, 1)[0]
-    for t in range(bands):
-        lo, hi = t * BITS // bands, (t + 1) * BITS // bands
-        mask = ((1 << hi) - (1 << lo)) & (2**64 - 1)
-        mask = mask - 2**64 if mask >= 2**63 else mask
-        path = F.lit(t).cast("long")
-        for v in _vantage(seed + 1 + t, BAND_LEVELS):
-            path = path * F.lit(hi - lo + 1) + F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(mask)))
-        # The path numbers are distinct within a band; the band number keeps trees apart.
-        trees.append(F.struct(F.lit(t).alias("band"), path.cast("long").alias("path")))
+    for t, mask in enumerate(masks):
+        bits = mask.bit_count()
+        signed = mask - 2**64 if mask >= 2**63 else mask
+        # A distance tells about two bits and a half; path numbers are distinct within a tree and fit 63 bits.
+        levels = min(int(62 / np.log2(bits + 1)), -(-bits // 2))
+        path = F.lit(0).cast("long")
+        for v in _vantage(seed + 1 + t, levels):
+            path = path * F.lit(bits + 1) + F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(signed)))
+        trees.append(F.struct(F.lit(t).alias("tree"), path.cast("long").alias("path")))
     far = F.bit_count(F.col("fp").bitwiseXOR(F.lit(whole)))
     shell = F.floor(far / width)
     crosses = F.floor((far + radius) / width) > shell
@@ -89,7 +103,7 @@ def tree_rows(fps: DataFrame, radius: int = 4, seed: int = 7) -> DataFrame:
     return (
         fps.select("fp", "rep", F.explode(F.array(*trees)).alias("t"), shells.alias("s"))
         .select("fp", "rep", "t.*", F.explode("s").alias("s"))
-        .select((F.col("band") * 16 + F.col("s.shell")).cast("int").alias("shard"), "path", F.col("s.query").alias("query"), "fp", "rep")
+        .select((F.col("tree") * (BITS + 1) + F.col("s.shell")).cast("int").alias("shard"), "path", F.col("s.query").alias("query"), "fp", "rep")
     )
 
 
@@ -121,7 +135,7 @@ def links(fps: DataFrame, radius: int = 4, block: int = 1024, seed: int = 7) ->
             inner = np.flatnonzero(root != np.arange(len(fp)))
             yield pa.record_batch([pa.array(rep[inner]), pa.array(rep[root[inner]])], ["a", "b"])
 
-    rows = pair_blocks(tree_rows(fps, radius, seed), ["shard", "path"], F.col("fp"), block)
+    rows = pair_blocks(tree_rows(fps, band_masks(fps.count(), radius), radius, seed), ["shard", "path"], F.col("fp"), block)
     return map_arrow(rows, run, "a long, b long")
 
 
@@ -132,18 +146,17 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, block: i
     rows; rows with a null doc_id carry a fingerprint and link nothing (component_id null). Only `doc_id` and `text`
     are read, so further columns of any name are ignored; an empty table gives an empty result.
     """
-    fps, _ = materialize(fingerprints(docs, shingle), "simhash")
-    distinct = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(distinct, radius, block), "simhash-components")
+    spark = docs.sparkSession
+    fps, fps_at = materialize(fingerprints(docs, shingle), "simhash")
+    distinct, distinct_at = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")), "simhash-distinct")
+    roots = components(links(distinct.select("fp", "rep"), radius, block), "simhash-components")
     by_fp = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(by_fp, "fp", "left").select(
+    out = salted_join(fps, by_fp, ["fp"], F.col("doc_id"), distinct.select("fp", "_n")).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
-
-
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its near-duplicate group; rows without a doc_id stay."""
-    gone = near_duplicates(docs, radius, shingle).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    out, _ = materialize(out, "simhash-groups")
+    for path in (fps_at, distinct_at):
+        release(spark, path)
+    return out

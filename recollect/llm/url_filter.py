@@ -11,6 +11,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm._runtime import salted_join
+
 LEAST_ROWS = 20  # labelled rows that must have a rule's tokens, whatever the support
 BLOCKED = "label=block"
 
@@ -88,7 +90,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min
     taught = seen.join(labels.select(F.col("page_id").alias("_page"), "blocked"), F.col("page_id") == F.col("_page")).select("tokens", "blocked")
     mined = mine(taught, min_support, min_confidence)
     # Pages repeat token sets, so the index is searched once for each distinct set.
-    sets = seen.select("tokens").distinct()
+    sets = seen.groupBy("tokens").agg(F.count(F.lit(1)).alias("_n"))
     hits = (
         sets.select("tokens", F.explode("tokens").alias("key"))
         .join(mined, "key")
@@ -98,7 +100,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], min
     )
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return (
-        seen.join(hits, "tokens", "left")
+        salted_join(seen, hits, ["tokens"], F.xxhash64("page_id", "path"), sets)
         .select("page_id", "host", "path", rule.alias("rule"), verdict.alias("_fixed"), F.array_join("best.items", " ").alias("mined_items"), F.col("best.confidence").alias("mined_confidence"))
         .select("page_id", "host", "path", "rule", F.coalesce("_fixed", F.when(F.col("mined_confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "mined_items", "mined_confidence")
     )

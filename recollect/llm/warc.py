@@ -3,13 +3,19 @@
 Reading plans one partition per archive file, largest first. Filters on the record type and on header columns are pushed
 into the scan: a record's header lines are parsed first, and where they fail a pushed filter, or where no payload column
 is asked for (option `payload` = false), the payload is skipped by its Content-Length without being read or decoded.
-Gzip archives (.gz) are inflated in blocks and skipped likewise. Paths may be of any file system that pyarrow opens.
+Gzip archives (.gz, a member per record) are inflated in bounded blocks and skipped likewise. An archive that ends
+within a record raises, with and without payloads, and so does a record without Content-Length. SHA-1 digests may be
+base32 or hex; other digests stay as they are written.
+
+Writing publishes at once: files get their final names, but a reader takes only those that a list of a finished write
+(`_committed-*`) names, or all where a folder has no list, as with archives of other programs. Paths may be of any file
+system that pyarrow opens; Python workers do not reach Hadoop's own file systems.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from recollect.llm._runtime import shared_path
+from recollect.llm._runtime import free_shuffles, materialize, release, shared_path
 
 SCHEMA = "record_id string, record_type string, target_uri string, page_id long, payload_digest string, payload_length long, refers_to long, payload binary"
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "page_id": "X-Page-ID", "payload_digest": "WARC-Payload-Digest", "payload_length": "X-Payload-Length", "refers_to": "X-Refers-To-Page-ID"}
+BLOCK, FEED = 1 << 20, 1 << 14  # bytes read, and inflated, at a time
 ROLL = 256 << 20  # bytes after which a writer starts the next archive
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -64,52 +71,76 @@ def record(row: dict) -> tuple[bytes, bytes]:
     return "\r\n".join(lines).encode("latin-1", "replace") + b"\r\n\r\n", payload
 
 
+def _digest(value: str) -> str:
+    """Lower-case hex of a SHA-1 digest in base32 or hex; any other digest as it is."""
+    bare = value.removeprefix("sha1:")
+    if re.fullmatch("[A-Z2-7a-z]{32}", bare):
+        return base64.b32decode(bare.upper()).hex()
+    return bare.lower() if re.fullmatch("[0-9A-Fa-f]{40}", bare) else value
+
+
 class _Stream:
-    """Lines, bytes and skips over a plain or gzip file, a block at a time."""
+    """Lines, bytes and skips over a plain or gzip file, a block at a time; an offset moves over the block."""
 
     def __init__(self, file: pa.NativeFile, packed: bool):
-        self.file, self.packed, self.held, self.inflate = file, packed, b"", zlib.decompressobj(31)
+        self.file, self.packed, self.size = file, packed, file.size()
+        self.held, self.at = b"", 0
+        self.raw, self.raw_at, self.inflate = b"", 0, None
+
+    def _inflated(self) -> bytes:
+        while True:
+            if self.raw_at == len(self.raw):
+                self.raw, self.raw_at = self.file.read(BLOCK), 0
+                if not self.raw:
+                    if self.inflate:
+                        raise EOFError("the archive ends within a gzip member")
+                    return b""
+            self.inflate = self.inflate or zlib.decompressobj(31)
+            fed = self.raw[self.raw_at : self.raw_at + FEED]
+            out = self.inflate.decompress(fed, BLOCK)
+            self.raw_at += len(fed) - len(self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail)
+            if self.inflate.eof:
+                self.inflate = None
+            if out:
+                return out
 
     def _more(self) -> bool:
-        block = self.file.read(1 << 20)
-        if not block:
-            return False
-        while self.packed and block:
-            self.held += self.inflate.decompress(block)
-            block = self.inflate.unused_data
-            if block:
-                self.inflate = zlib.decompressobj(31)
-        self.held += block
-        return True
+        block = self._inflated() if self.packed else self.file.read(BLOCK)
+        self.held, self.at = self.held[self.at :] + block, 0
+        return bool(block)
 
     def line(self) -> bytes | None:
-        while (at := self.held.find(b"\r\n")) < 0:
+        while (end := self.held.find(b"\r\n", self.at)) < 0:
             if not self._more():
+                if self.held[self.at :].strip():
+                    raise EOFError("the archive ends within a line")
                 return None
-        out, self.held = self.held[:at], self.held[at + 2 :]
+        out, self.at = self.held[self.at : end], end + 2
         return out
 
     def take(self, n: int) -> bytes:
-        parts, have = [], 0
-        while have < n:
-            if not self.held and not self._more():
-                raise EOFError("a record ends before its Content-Length")
-            part, self.held = self.held[: n - have], self.held[n - have :]
+        parts = []
+        while n:
+            if self.at == len(self.held) and not self._more():
+                raise EOFError("the archive ends within a record")
+            part = self.held[self.at : self.at + n]
+            self.at += len(part)
+            n -= len(part)
             parts.append(part)
-            have += len(part)
         return b"".join(parts)
 
     def skip(self, n: int) -> None:
-        part = min(n, len(self.held))
-        self.held = self.held[part:]
-        n -= part
-        if n and not self.packed:
-            self.file.seek(self.file.tell() + n)
-        while n and self.packed:
-            if not self._more():
-                raise EOFError("a record ends before its Content-Length")
-            part = min(n, len(self.held))
-            self.held = self.held[part:]
+        while n:
+            if self.at == len(self.held):
+                if not self.packed:
+                    if self.file.tell() + n > self.size:
+                        raise EOFError("the archive ends within a record")
+                    self.file.seek(self.file.tell() + n)
+                    return
+                if not self._more():
+                    raise EOFError("the archive ends within a record")
+            part = min(n, len(self.held) - self.at)
+            self.at += part
             n -= part
 
 
@@ -138,7 +169,9 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         fs, path = _fs(self.path)
         found = fs.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
-        files = sorted((f for f in found if f.is_file and f.path.endswith((".warc", ".warc.gz"))), key=lambda f: (-f.size, f.path))
+        lists = [f.path for f in found if f.is_file and f.base_name.startswith("_committed-")]
+        named = {name for at in lists for name in fs.open_input_file(at).read().decode().split()}
+        files = sorted((f for f in found if f.is_file and f.path.endswith((".warc", ".warc.gz")) and (not lists or f.base_name in named)), key=lambda f: (-f.size, f.path))
         prefix = self.path.split("://")[0] + "://" if "://" in self.path else ""
         return [WarcPartition(prefix + f.path) for f in files] or [WarcPartition("")]
 
@@ -158,9 +191,16 @@ class WarcReader(DataSourceReader):
                 if not first.startswith(b"WARC/"):
                     raise ValueError(f"{path}: no record starts with {first[:40]!r}")
                 head: dict[str, str] = {}
+                last = ""
                 while line := stream.line():
+                    if line[:1] in b" \t" and last:  # a folded line goes on with the header before it
+                        head[last] += " " + line.decode("latin-1").strip()
+                        continue
                     k, _, v = line.decode("latin-1").partition(":")
-                    head[k.strip().lower()] = v.strip()
+                    last = k.strip().lower()
+                    head[last] = v.strip()
+                if not head.get("content-length", "").isdigit():
+                    raise ValueError(f"{path}: record {head.get('warc-record-id')} has no Content-Length")
                 n = int(head["content-length"])
                 row = self._columns(head)
                 if any((row[k] is None) if v is None else row[k] not in v for k, v in self.tests):
@@ -187,7 +227,7 @@ class WarcReader(DataSourceReader):
         if got["target_uri"] is not None:
             got["target_uri"] = _plain(got["target_uri"])
         if got["payload_digest"] is not None:
-            got["payload_digest"] = base64.b32decode(got["payload_digest"].removeprefix("sha1:")).hex()
+            got["payload_digest"] = _digest(got["payload_digest"])
         return got
 
 
@@ -199,39 +239,47 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
         out, size = None, 0
-        # A failed or repeated attempt leaves a .tmp file that no reader sees; names are made final at its end.
-        done: list[tuple[str, str]] = []
-        for batch in iterator:
-            for row in batch.to_pylist():
-                if out is None or size > ROLL:
-                    if out:
-                        out.close()
-                    name = f"{root}/{uuid.uuid4().hex}.warc" + ".gz" * self.packed
-                    done.append((f"{name}.tmp", name))
-                    out, size = fs.open_output_stream(f"{name}.tmp", compression=None), 0
-                head, payload = record(row)
-                data = head + payload + b"\r\n\r\n"
-                if self.packed:
-                    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    data = pack.compress(data) + pack.flush()
-                size += out.write(data)
-        if out:
-            out.close()
         message = WriterCommitMessage()
-        message.files = done
+        message.files = []
+        try:
+            for batch in iterator:
+                for row in batch.to_pylist():
+                    if out is None or size > ROLL:
+                        if out:
+                            out.close()
+                        message.files.append(f"{uuid.uuid4().hex}.warc" + ".gz" * self.packed)
+                        out, size = fs.open_output_stream(f"{root}/{message.files[-1]}", compression=None), 0
+                    head, payload = record(row)
+                    data = head + payload + b"\r\n\r\n"
+                    if self.packed:
+                        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+                        data = pack.compress(data) + pack.flush()
+                    size += out.write(data)
+            if out:
+                out.close()
+        except BaseException:  # no list names these files; they only take space
+            if out and not out.closed:
+                out.close()
+            self._delete(message.files)
+            raise
         return message
 
+    def _delete(self, names: list[str]) -> None:
+        fs, root = _fs(self.path)
+        for name in names:
+            fs.delete_file(f"{root}/{name}")
+
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, _ = _fs(self.path)
-        for m in messages:
-            for temporary, name in m.files if m else []:
-                fs.move(temporary, name)
+        fs, root = _fs(self.path)
+        fs.create_dir(root, recursive=True)
+        names = [name for m in messages if m for name in m.files]
+        done = f"{root}/_committed-{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{root}/.{done.rsplit('/', 1)[1]}", compression=None) as out:
+            out.write("\n".join(names).encode())
+        fs.move(f"{root}/.{done.rsplit('/', 1)[1]}", done)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, _ = _fs(self.path)
-        for m in messages:
-            for temporary, _name in m.files if m else []:
-                fs.delete_file(temporary)
+        self._delete([name for m in messages if m for name in m.files])
 
 
 class WarcDataSource(DataSource):
@@ -265,12 +313,15 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha1("payload"), "payload_length": F.octet_length("payload").cast("long")})
-    long = rows.where(F.col("payload_length") >= least).groupBy(F.col("payload_digest").alias("_d"), F.col("payload_length").alias("_l"))
-    last = long.agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = rows.join(last, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_length") == F.col("_l")), "left")
+    # Short payloads meet nothing; their keys are their own, so that many empty pages do not land in one task.
+    own = F.concat_ws("|", F.lit("short"), "page_id", "target_uri", "payload_digest")
+    rows = rows.withColumn("_key", F.when(F.col("payload_length") >= least, F.concat_ws("|", "payload_digest", "payload_length")).otherwise(own))
+    last = rows.where(F.col("payload_length") >= least).groupBy(F.col("_key").alias("_of")).agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    met = rows.join(last, F.col("_key") == F.col("_of"), "left")
     revisit = F.coalesce(F.col("page_id") != F.col("_last"), F.lit(False))
+    seed = F.md5(F.concat_ws("|", "page_id", "target_uri", "payload_digest", F.when(revisit, "revisit").otherwise("response")))
     return met.select(
-        F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">")).alias("record_id"),
+        F.concat(F.lit("<urn:uuid:"), F.regexp_replace(seed, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">")).alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         "target_uri",
         "page_id",
@@ -292,16 +343,19 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Writes the archives into the shared folder and reads them back, digests of responses taken from their payloads."""
+    """Writes gzip archives into the shared folder and reads them back, digests of responses taken from their payloads."""
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
-    write(pages, path, least)
+    write(pages, path, least, compression="gzip")
+    free_shuffles(spark)
     got = read(spark, path)
     has = F.col("record_type") == "response"
-    return got.select(
+    out, _ = materialize(got.select(
         "page_id",
         F.when(has, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(has, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type",
         "refers_to",
-    )
+    ), "warc-records")
+    release(spark, path)
+    return out

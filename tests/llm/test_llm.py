@@ -260,7 +260,7 @@ def test_mix_matches_step_by_step_filling(spark):
     rows = [(i, None if s is None else " ".join(["w"] * int(rng.integers(1, 9))) if n else " \n", s, "x") for s, n in sizes.items() for i in range(max(1, n // 5))]
     rows.append((7, None, "b", "x"))
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, target string")
-    got = mixing.mix(df).toPandas()
+    got = mixing.mix(df).select(F.col("row.source").alias("source"), F.col("size").alias("_size"), F.col("target").alias("_target"), F.col("taken").alias("_taken")).toPandas()
     size = got.groupby("source", dropna=False)["_size"].sum()
     names = sorted([s for s in sizes if s is not None]) + [None]
     have = [float(size[s]) if s is not None else float(got[got.source.isna()]["_size"].sum()) for s in names]
