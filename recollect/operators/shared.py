@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,9 +14,16 @@ _OWN: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df under spark.checkpoint.dir (a private folder where that is unset) and reads it: lineage ends here."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """Writes df under spark.checkpoint.dir and reads it: lineage ends here.
+
+    Where that is unset, a local master gets a private folder, and a cluster an error: its executors share no temporary
+    folder.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="recollect-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
