@@ -38,34 +38,26 @@ HOT = 4096  # different texts with one minimizer, beyond which its strings are d
 CHUNK = 1 << 18  # bytes of text hashed at a time
 LONGEST = 2048  # strings in a segment
 INDEX_BYTES = 1 << 18  # text at which a run index takes no further minimizers
-_RNG = np.random.default_rng(20)
-_TABLE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
+_FACTORS = np.random.default_rng(20).integers(1, 2**62, 7, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 NONE = np.iinfo(np.int64).max
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(int(_P), n, 2**64))
-
-
-def _window_hash(b: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash of each n-byte window, by doubling."""
-    h, size, out, done = _TABLE[b], 1, None, 0
-    while True:
-        if n & size:
-            out = h[: len(b) - size + 1] if out is None else out[: len(b) - done - size + 1] * _power(size) + h[done : len(b) - size + 1]
-            done += size
-        if size * 2 > n:
-            return out
-        h = h[: len(h) - size] * _power(size) + h[size:]
-        size *= 2
+def _grams(b: np.ndarray) -> np.ndarray:
+    """A mixed 48-bit hash of each K-byte window, out of overlapping 8-byte words."""
+    n = len(b) - K + 1
+    word = np.ndarray(len(b) - 7, "<u8", np.ascontiguousarray(b), 0, (1,))
+    h = word[:n] * _FACTORS[0]
+    for at, factor in zip((*range(8, K - 8, 8), K - 8), _FACTORS[1:]):
+        h += word[at : at + n] * factor
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(29))) >> np.uint64(16)
 
 
 def minimizers(b: np.ndarray, length: int) -> np.ndarray:
     """The smallest mixed K-byte hash, of 48 bits, of each `length`-byte window of b."""
-    h = _window_hash(b, K)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(29))) >> np.uint64(16)
+    h = _grams(b)
     w, size = length - K + 1, 1
     while size * 2 <= w:
         h = np.minimum(h[: len(h) - size], h[size:])
@@ -250,20 +242,24 @@ class _Asked:
     """What a group asks the shards, in an order that its own texts fix: segments, and strings of hot minimizers."""
 
     def __init__(self, low: dict[bytes, int], shared: np.ndarray, hot: np.ndarray, length: int, shards: int):
+        self.places: dict[bytes, tuple[list, list]] = {}  # of each text: (start, stop) of segments, and of hot ones
         doc_of: dict[bytes, int] = {}
         value_of: dict[bytes, int] = {}
         strings: dict[bytes, int] = {}
         for t, doc in low.items():
             start, size, value = segments(np.frombuffer(t, np.uint8), length)
             stop = start + size + length - 1
-            hit = _among(value, shared)
-            for s, e, v in zip(start[hit].tolist(), stop[hit].tolist(), value[hit].tolist()):
+            hit, burning = _among(value, shared), _among(value, hot)
+            plain = list(zip(start[hit].tolist(), stop[hit].tolist()))
+            several = list(zip(start[burning].tolist(), stop[burning].tolist()))
+            if plain or several:
+                self.places[t] = plain, several
+            for (s, e), v in zip(plain, value[hit].tolist()):
                 part = t[s:e]
                 if doc < doc_of.get(part, NONE):
                     doc_of[part] = doc
                     value_of[part] = v
-            hit = _among(value, hot)
-            for s, e in zip(start[hit].tolist(), stop[hit].tolist()):
+            for s, e in several:
                 for x in _digests(t[s:e], length):
                     if doc < strings.get(x, NONE):
                         strings[x] = doc
@@ -293,7 +289,7 @@ class _Asked:
                     b"" if kind else _pack(self.value[s:e]),
                     (self.string_doc if kind else self.doc)[s:e].tobytes(),
                     b"" if kind else np.array([len(t) for t in parts], np.int32).tobytes(),
-                    b"".join(parts),
+                    b"".join(parts) if kind else _ZSTD.compress(b"".join(parts), asbytes=True),
                 )
                 for c, v in zip(cols.values(), row):
                     c.append(v)
@@ -319,8 +315,9 @@ def _answer_segments(rows: list[dict], length: int) -> list[tuple[bytes, bytes]]
     value: list[int] = []
     which: list[list[int]] = []
     for r in rows:
-        text, at, own = r["text"], 0, []
-        for v, size, doc in zip(_unpack(r["h"]).tolist(), np.frombuffer(r["size"], np.int32).tolist(), np.frombuffer(r["doc"], np.int64).tolist()):
+        at, own, sizes = 0, [], np.frombuffer(r["size"], np.int32)
+        text = _ZSTD.decompress(r["text"], int(sizes.sum(dtype=np.int64)), asbytes=True)
+        for v, size, doc in zip(_unpack(r["h"]).tolist(), sizes.tolist(), np.frombuffer(r["doc"], np.int64).tolist()):
             part = text[at : at + size]
             at += size
             k = found.setdefault(part, len(found))
@@ -354,23 +351,23 @@ def _answer_segments(rows: list[dict], length: int) -> list[tuple[bytes, bytes]]
     return out
 
 
-def _covered(t: bytes, doc_id: int, length: int, shared: np.ndarray, hot: np.ndarray, answers: dict, strings: dict[bytes, int]) -> np.ndarray:
+def _covered(t: bytes, doc_id: int, length: int, places: tuple[list, list], answers: dict, strings: dict[bytes, int]) -> np.ndarray:
     """Which bytes of a text strings of smaller documents cover."""
     cover = np.zeros(len(t) + 1, np.int32)
-    start, count, value = segments(np.frombuffer(t, np.uint8), length)
     first, last = [], []
-    hit = _among(value, shared)
-    for s, c in zip(start[hit].tolist(), count[hit].tolist()):
-        found = answers[t[s : s + c + length - 1]]
+    for s, e in places[0]:
+        found = answers[t[s:e]]
         if isinstance(found, int):
-            found = [(0, found)]
-        for (a, d), b in zip(found, [*(x[0] for x in found[1:]), c]):
+            if found < doc_id:
+                first.append(s)
+                last.append(e)
+            continue
+        for (a, d), b in zip(found, [*(x[0] for x in found[1:]), e - s - length + 1]):
             if d < doc_id:
                 first.append(s + a)
                 last.append(s + b + length - 1)
-    hit = _among(value, hot)
-    for s, c in zip(start[hit].tolist(), count[hit].tolist()):
-        for i, x in enumerate(_digests(t[s : s + c + length - 1], length), s):
+    for s, e in places[1]:
+        for i, x in enumerate(_digests(t[s:e], length), s):
             if strings[x] < doc_id:
                 first.append(i)
                 last.append(i + length)
@@ -387,7 +384,7 @@ def _run(docs: DataFrame, length: int, hot: int, mark_rows, schema: str) -> Data
     doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     # Null ids all hash alike; they take no part, so they are spread by their text.
     which = F.when(doc.isNull(), F.pmod(F.xxhash64(text), F.lit(n))).otherwise(F.pmod(F.xxhash64(doc), F.lit(n))).cast("int")
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
     dealt, table = bucketed(docs.select(F.element_at(F.array(*[F.lit(int(k)) for k in keys]), which + 1).alias("g"), doc.alias("doc"), text.alias("text"), *own), "texts", n, "g")
 
     def low_of(g: pa.Table) -> dict[bytes, int]:
@@ -457,9 +454,10 @@ def _run(docs: DataFrame, length: int, hot: int, mark_rows, schema: str) -> Data
         strings: dict[bytes, int] = {}
         got = rows.to_pylist()
         shared_h, hot_h = (np.sort(np.concatenate([_unpack(r[c]) for r in got if r["kind"] < 0] or [np.zeros(0, np.uint64)])) for c in ("h", "hot"))
-        low = low_of(g)
+        low, places = low_of(g), {}
         if got and g.num_rows:
             asked = _Asked(low, shared_h, hot_h, length, n)
+            places = asked.places
             at = [0, 0]
             for r in sorted((r for r in got if r["kind"] >= 0), key=lambda r: (r["kind"], rank[r["shard"]])):
                 docs_, mixed, kind = np.frombuffer(r["low"], np.int64).tolist(), {}, r["kind"]
@@ -476,8 +474,10 @@ def _run(docs: DataFrame, length: int, hot: int, mark_rows, schema: str) -> Data
                 return np.zeros(len(t), bool)
             if doc_id > low[t]:  # a copy of a smaller document's text
                 return np.ones(len(t), bool)
+            if t not in places:
+                return np.zeros(len(t), bool)
             if t not in done:
-                done[t] = _covered(t, doc_id, length, shared_h, hot_h, found, strings)
+                done[t] = _covered(t, doc_id, length, places[t], found, strings)
             return done[t]
 
         return mark_rows(g, covered)
@@ -521,7 +521,7 @@ def dedup(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
 def drop_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """The rows of docs with such bytes cut out of `text`; rows of which no word is left go, unless they had none.
 
-    Every row keeps its own columns, whatever their names and however often its doc_id is repeated. A character that
+    Every row keeps its own columns (doc_id as a long), whatever their names and however often its doc_id is repeated. A character that
     loses a part of its bytes is lost. Rows that lose nothing keep their text as it is, null included. Rows with equal
     doc_id do not cut each other; rows without doc_id stay; an empty table gives an empty table.
     """
@@ -531,10 +531,9 @@ def drop_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame
         rows = _rows(g, covered)
         cut = [kept.decode("utf-8", "ignore") if removed else None for _, removed, _, kept in rows]
         keep = pa.array([c is None or bool(c.strip(" \t\n\v\f\r")) for c in cut], pa.bool_())
-        cols = [g.column(f"c{i}") for i in range(len(names))]
-        whole = cols[at].combine_chunks()
-        cols[at] = pa.array([w if c is None else c for w, c in zip(whole.to_pylist(), cut)], pa.string())
+        cols = [g.column("doc" if name == "doc_id" else "text" if name == "text" else f"c{i}") for i, name in enumerate(names)]
+        cols[at] = pa.array([w if c is None else c for w, c in zip(cols[at].to_pylist(), cut)], pa.string())
         return pa.table(cols, names=[f"c{i}" for i in range(len(names))]).filter(keep)
 
-    schema = ", ".join(f"c{i} {f.dataType.simpleString() if i != at else 'string'}" for i, f in enumerate(docs.schema.fields))
+    schema = ", ".join(f"c{i} {'long' if f.name == 'doc_id' else 'string' if i == at else f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
     return _run(docs, length, hot, mark, schema).toDF(*names)
