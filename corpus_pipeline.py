@@ -10,29 +10,48 @@ from recollect.llm._runtime import materialize, release
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that score below 0.3; learnt from the labels of the stage's own documents."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("_score >= 0.3").drop("_score")
+    """Rejects rows whose whole text scores below 0.3; learnt from the labels of the stage's own documents.
+
+    Null and empty texts score as an empty text does, repeated rows alike; an empty table gives an empty table. Columns
+    of any name are kept. Without labels of both kinds every row has the same score.
+    """
+    return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), 0.3)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by 5-word shingle similarity 0.8, the one with the smallest doc_id."""
+    """Keeps one document of each group linked by 5-word shingle similarity 0.8, the one with the smallest doc_id.
+
+    The SimHash trees give first links, which are verified on whole shingle sets; a prefix filter finds the pairs whose
+    fingerprints differ in more bits. Null, empty and word-less texts are alike; rows of one doc_id stand and fall
+    together, rows without doc_id stay. An empty table gives an empty table. Columns of any name are kept.
+    """
     return shingle_dedup.drop_near_duplicates(docs, threshold=0.8, shingle=5)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeats of 50 bytes and more out of the texts; documents of which no word is left go."""
+    """Cuts out bytes of 50-byte strings that a smaller document has; rows that lose their last word go.
+
+    Rows of one doc_id do not cut each other and keep their own text; rows without doc_id, null and empty texts stay as
+    they are. An empty table gives an empty table. Columns of any name are kept; n_chars is that of the new text.
+    """
     cut = suffix_dedup.drop_repeats(docs, 50)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents into which a benchmark item leaks."""
+    """Rejects rows into whose text a benchmark item leaks; repeated rows alike, null and empty texts stay.
+
+    No items reject nothing; an empty table gives an empty table. Columns of any name are kept.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row per repetition taken, numbered by `repetition`; the one at a source's cut has its first words."""
+    """The mix: a row per repetition taken, numbered by `repetition`; the one at a source's cut has its first words.
+
+    Rows without words are not taken; null sources are one source; repeated rows are taken each by itself. An empty
+    table gives an empty table. Columns of any name are kept, but an input `repetition` gives way.
+    """
     return mixing.repetitions(docs)
 
 
