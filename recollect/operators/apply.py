@@ -13,8 +13,8 @@ c = F.col
 def apply_dedup(facts: DataFrame, edges: DataFrame, plan: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(facts, edges, applied) under a plan (loser, survivor, score) of dedup_plan.
 
-    Pairs whose survivor had expired before are skipped; other losers expire with their edges, and survivors keep the
-    largest score planned. applied: (loser, survivor, done); if any is not done, summaries must not be replaced.
+    Pairs whose survivor had expired before are skipped; other losers expire with their edges, unless they had expired
+    before, and survivors keep the largest score planned. applied: (loser, survivor, done); if any is not done, summaries must not be replaced.
     """
     alive = facts.where(fa.active()).select(c("id").alias("survivor"), F.lit(True).alias("_alive"))
     applied = plan.join(alive, "survivor", "left").select("loser", "survivor", "score", F.coalesce("_alive", F.lit(False)).alias("done"))
@@ -22,7 +22,8 @@ def apply_dedup(facts: DataFrame, edges: DataFrame, plan: DataFrame, now: Column
     best = applied.groupBy(c("survivor").alias("id")).agg(F.max("score").alias("_score"))
     kept = fa.expire(facts, gone, now).join(best, "id", "left")
     kept = kept.withColumn("importance_score", F.greatest("importance_score", "_score")).drop("_score").select(*facts.columns)
-    return kept, fa.expire_edges(edges, gone, now), applied.select("loser", "survivor", "done")
+    fresh = gone.join(facts.where(fa.active()).select("id"), "id", "left_semi")
+    return kept, fa.expire_edges(edges, fresh, now), applied.select("loser", "survivor", "done")
 
 
 def watermark(facts: DataFrame, last: Column, now: Column, skipped: bool = False) -> DataFrame:

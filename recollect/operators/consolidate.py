@@ -167,14 +167,14 @@ def adjustments(counts: DataFrame) -> DataFrame:
 
 
 def conflict_apply(facts: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
-    """(id, t_expired, t_invalid, edge) of old facts under decisions (id, decision): update and delete expire, update
-    also invalidates and links `contradicts`, add links `supplements` if the old one is active, noop changes nothing."""
+    """(id, t_expired, t_invalid, edge) of old facts under decisions (id, decision): update and delete expire and
+    invalidate, update links `contradicts`, add links `supplements` if the old one is active, noop changes nothing."""
     both = facts.select("id", "t_expired", "t_invalid").join(decisions, "id")
     live = c("t_expired").isNull()
     return both.select(
         "id",
         "decision",
         F.when(live & c("decision").isin("update", "delete"), now).otherwise(c("t_expired")).alias("t_expired"),
-        F.when(live & (c("decision") == "update"), now).otherwise(c("t_invalid")).alias("t_invalid"),
+        F.when(live & c("decision").isin("update", "delete"), now).otherwise(c("t_invalid")).alias("t_invalid"),
         F.when(c("decision") == "update", "contradicts").when((c("decision") == "add") & live, "supplements").alias("edge"),
     )

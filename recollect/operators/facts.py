@@ -66,10 +66,22 @@ def without(facts: DataFrame, ids: DataFrame) -> DataFrame:
     return facts.join(ids, "id", "left_anti")
 
 
+def without_hashes(batch: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """The batch (content, ...) without content that was forgotten."""
+    hashed = batch.withColumn("_c", F.substring(F.sha2("content", 256), 1, 32))
+    return hashed.join(tombstones.select(c("content_hash").alias("_c")), "_c", "left_anti").drop("_c")
+
+
 def page(facts: DataFrame, after: int, k: int) -> DataFrame:
     return facts.where(c("id") > after).orderBy("id").limit(k)
 
 
+def recent_insights(facts: DataFrame, scopes: DataFrame, k: int, marker: str = "dream_cycle") -> DataFrame:
+    """The newest k active facts of the scopes (id) that carry the marker; no scopes give none."""
+    own = facts.where(active() & ~key_absent(marker)).join(scopes.select(c("id").alias("scope_id")), "scope_id", "left_semi")
+    return top(own, k, c("t_created").desc())
+
+
 def dormant(facts: DataFrame, now: Column, below: float = 0.5) -> DataFrame:
     return facts.where(as_of(now) & ~c("is_pinned") & (c("importance_score") < below) & has_vector())
 

@@ -46,14 +46,20 @@ def content_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 32)
 
 
-def insert_results(batch: DataFrame, tombstones: DataFrame, asserted: bool = False) -> DataFrame:
-    """(idx, status): created, invalid or blocked for each entry (idx, content, importance, t_valid, t_invalid), one by one."""
+def entry_status(batch: DataFrame, tombstones: DataFrame, asserted: bool = False) -> DataFrame:
+    """batch with status: created, invalid or blocked for each entry (idx, content, importance, t_valid, t_invalid, ...)."""
     prior = F.coalesce("importance", F.lit(0.5))
-    valid = c("content").isNotNull() & (F.octet_length("content") <= MAX_PAYLOAD) & ~F.isnan(prior) & prior.between(0, 1) & (c("t_valid").isNull() | c("t_invalid").isNull() | (c("t_valid") < c("t_invalid")))
+    sized = (F.octet_length("content") <= MAX_PAYLOAD) & (F.coalesce(F.octet_length("metadata"), F.lit(0)) <= MAX_PAYLOAD if "metadata" in batch.columns else F.lit(True))
+    valid = c("content").isNotNull() & sized & ~F.isnan(prior) & prior.between(0, 1) & (c("t_valid").isNull() | c("t_invalid").isNull() | (c("t_valid") < c("t_invalid")))
     gone = tombstones.select(c("content_hash").alias("_h"), F.lit(True).alias("_gone")).distinct()
-    met = batch.withColumn("_c", F.md5("content")).join(gone, c("_c") == c("_h"), "left")
+    met = batch.withColumn("_c", content_hash(c("content"))).join(gone, c("_c") == c("_h"), "left")
     blocked = F.lit(False) if asserted else F.coalesce("_gone", F.lit(False))
-    return met.select("idx", F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(blocked, "blocked").otherwise("created").alias("status"))
+    return met.withColumn("status", F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(blocked, "blocked").otherwise("created")).select(*batch.columns, "status")
+
+
+def insert_results(batch: DataFrame, tombstones: DataFrame, asserted: bool = False) -> DataFrame:
+    """(idx, status) of each entry, one by one."""
+    return entry_status(batch, tombstones, asserted).select("idx", "status")
 
 
 def all_or_nothing(batch: DataFrame, results: DataFrame) -> DataFrame:
@@ -63,12 +69,10 @@ def all_or_nothing(batch: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def merge_metadata(metadata: Column, patch: Column) -> Column:
-    """Shallow object merge; a base that is no object counts as {}."""
-    as_map = lambda x: F.from_json(x, "map<string,string>")
-    base = F.coalesce(as_map(metadata), F.expr("map()").cast("map<string,string>"))
-    over = F.coalesce(as_map(patch), F.expr("map()").cast("map<string,string>"))
-    kept = F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(over), k))
-    return F.to_json(F.map_concat(kept, over))
+    """Shallow merge of JSON objects; values keep their types, and a base or patch that is no object counts as {}."""
+    members = lambda x: F.coalesce(F.try_variant_get(F.try_parse_json(x), F.lit("$"), "map<string,variant>"), F.expr("map()").cast("map<string,variant>"))
+    kept = F.map_filter(members(metadata), lambda k, v: ~F.array_contains(F.map_keys(members(patch)), k))
+    return F.to_json(F.to_variant_object(F.map_concat(kept, members(patch))))
 
 
 @dataclass
@@ -84,7 +88,7 @@ class Upcasters:
         return max((r + 1 for t, r in self.steps if t == event_type), default=1)
 
     def apply(self, events: DataFrame) -> DataFrame:
-        """events with payload and event_revision brought to the latest; a missing step leaves payload_error."""
+        """events with payload and event_revision brought to the latest; a missing step fails the job."""
         for revision in range(1, max((r for _, r in self.steps), default=0) + 1):
             payload, after = c("payload"), c("event_revision")
             for (kind, r), step in self.steps.items():
@@ -93,7 +97,8 @@ class Upcasters:
                     payload, after = F.when(here, step(c("payload"))).otherwise(payload), F.when(here, r + 1).otherwise(after)
             events = events.withColumns({"payload": payload, "event_revision": after})
         wanted = F.coalesce(F.element_at(F.create_map(*[x for t in {t for t, _ in self.steps} for x in (F.lit(t), F.lit(self.latest(t)))]), c("event_type")), F.lit(1)) if self.steps else F.lit(1)
-        return events.withColumn("payload_error", c("event_revision") < wanted)
+        late = F.raise_error(F.concat(F.lit("no step from revision "), c("event_revision").cast("string"), F.lit(" of "), c("event_type")))
+        return events.withColumn("payload", F.when(c("event_revision") < wanted, late).otherwise(c("payload")))
 
 
 def embed(facts: DataFrame, provider: EmbeddingProvider, dim: int, batch: int = 128) -> DataFrame:

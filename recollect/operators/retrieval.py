@@ -1,15 +1,25 @@
-"""Lexical, vector and hybrid retrieval as lazy plans."""
+"""Lexical, vector and hybrid retrieval as lazy plans.
+
+A text index is written once: postings (term, id, len, positions), sorted by term, so that a search reads the files of its
+own terms only, and one row of totals. A search never sees the texts.
+"""
 
 from __future__ import annotations
 
 import math
+import operator
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.stems import stems, stems_column
+from recollect.operators.shared import materialize, spread
 
 c = F.col
 TOKEN = r"[\p{L}\p{N}]+"
@@ -20,13 +30,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def terms(query: str) -> list[str]:
-    """Distinct lower-cased words of a query in order."""
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
+def plain_words(query: str) -> list[str]:
+    return re.findall(r"[^\W_]+", query.lower())
 
 
-def _is(word: str) -> Callable[[Column], Column]:
-    return lambda x: x == word
+def terms(query: str) -> list[str]:
+    """Distinct lower-cased words of a query in order."""
+    return list(dict.fromkeys(plain_words(query)))
 
 
 def _weight(n: Column, df: Column) -> Column:
@@ -35,30 +45,62 @@ def _weight(n: Column, df: Column) -> Column:
     return F.when(idf > 0, idf).otherwise(LEAST_IDF) * n * (K1 + 1) / (n + K1 * (1 - B + B * c("len") / c("avg")))
 
 
-def bm25(facts: DataFrame, words: list[str]) -> DataFrame:
-    """(id, score): any-word match. Corpus statistics take all rows given, expired ones too, so filter afterwards.
+@dataclass(frozen=True)
+class LexicalIndex:
+    """postings (term, id, len, positions from 0): a row for each row's term; totals (N, avg): rows and their mean length;
+    analyze: the terms of a query's word or phrase."""
 
-    Only counts of the query's words leave the scan: one pass, and one row of statistics joined back.
-    """
-    if not words:
-        return facts.select("id", F.lit(0.0).alias("score")).limit(0)
-    t = facts.select("id", tokens(F.coalesce("content", F.lit(""))).alias("t"))
-    counted = t.select("id", F.size("t").alias("len"), *[F.size(F.filter("t", _is(w))).alias(f"n{i}") for i, w in enumerate(words)])
-    stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg"), *[F.count_if(c(f"n{i}") > 0).alias(f"d{i}") for i in range(len(words))])
-    hit = counted.where(" or ".join(f"n{i} > 0" for i in range(len(words)))).crossJoin(F.broadcast(stats))  # stats is one row
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        score = score + _weight(c(f"n{i}"), c(f"d{i}"))
-    return hit.select("id", score.alias("score"))
+    postings: DataFrame
+    totals: DataFrame
+    analyze: Callable[[str], list[str]]
+
+
+POSTING = "term string, id long, len int, positions array<int>"
+
+
+def index_terms(rows: DataFrame, analyze: Callable[[str], list[str]]) -> LexicalIndex:
+    """The index of rows (id, terms array), written to the shared folder; rows without terms count in the totals."""
 
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
+        for batch in batches:
+            found: list[tuple] = []
+            for id_, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at: dict[str, list[int]] = {}
+                for i, t in enumerate(terms or ()):
+                    at.setdefault(t, []).append(i)
+                found.append((None, id_, len(terms or ()), None))
+                found += [(t, id_, len(terms), p) for t, p in at.items()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), kinds)], names=["term", "id", "len", "positions"])
 
-def lexical_index(facts: DataFrame) -> DataFrame:
-    """(id, stems) of facts (id, content), expired ones too: written once and kept beside the facts."""
-    return facts.select("id", stems_column(c("content")).alias("stems"))
+    posted = spread(rows.select(c("id").cast("long").alias("id"), "terms")).mapInArrow(post, POSTING)
+    # Null terms carry the lengths; they are dealt by id, so that they do not make one range.
+    table, _ = materialize(posted.repartitionByRange(F.coalesce("term", F.concat(F.lit("\0"), c("id").cast("string")))).sortWithinPartitions("term", "id"), "postings")
+    totals, _ = materialize(table.where("term is null").agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg")), "postings-totals")
+    return LexicalIndex(table.where("term is not null"), totals, analyze)
 
 
-def parse(query: str) -> tuple | None:
-    """Tree of a full-text query: ("phrase", stems, prefix), ("and" | "or" | "not", left, right); None if it has no word.
+def word_index(facts: DataFrame) -> LexicalIndex:
+    """Of the lower-cased words of facts (id, content), expired ones too."""
+    return index_terms(facts.select("id", tokens(F.coalesce("content", F.lit(""))).alias("terms")), plain_words)
+
+
+def lexical_index(facts: DataFrame) -> LexicalIndex:
+    """Of the folded and stemmed words of facts (id, content), expired ones too."""
+    return index_terms(spread(facts.select("id", "content")).select("id", stems_column(c("content")).alias("terms")), stems)
+
+
+def bm25(index: LexicalIndex, words: list[str]) -> DataFrame:
+    """(id, score): any-word match in a word_index. Statistics are of all rows, expired ones too, so filter afterwards."""
+    own = index.postings.where(c("term").isin(*words)).select("term", "id", "len", F.size("positions").alias("times"))
+    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("d"))
+    met = own.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.totals))  # a row a word of the query, and one row
+    return met.groupBy("id").agg(F.sum(_weight(c("times"), c("d"))).alias("score"))
+
+
+def parse(query: str, analyze: Callable[[str], list[str]] = stems) -> tuple | None:
+    """Tree of a full-text query: ("phrase", terms, prefix), ("and" | "or" | "not", left, right); None if it has no word.
 
     Words side by side all have to match, "..." is a phrase, `+` joins phrases, a trailing `*` makes a prefix; NOT binds
     before AND, AND before OR, brackets group. Bad syntax is a ValueError, and so is NEAR, which is not built.
@@ -76,9 +118,9 @@ def parse(query: str) -> tuple | None:
 
     def word() -> list[str]:
         if peek("text"):
-            return stems(take()[1:-1].replace('""', '"'))
+            return analyze(take()[1:-1].replace('""', '"'))
         if peek("bare") and not peek("bare", "AND", "OR", "NOT", "NEAR"):
-            return stems(take())
+            return analyze(take())
         raise ValueError(f"a word is missing in {query!r}")
 
     def phrase() -> tuple | None:
@@ -129,34 +171,30 @@ def any_word(query: str) -> str:
 
 
 def _times(words: list[str], prefix: bool) -> Column:
-    """How often the stems hold the phrase."""
-    same = lambda x, i: x.startswith(words[i]) if prefix and i == len(words) - 1 else x == words[i]
-    if len(words) == 1:
-        return F.size(F.filter("stems", lambda x: same(x, 0)))
-
-    def here(i: Column) -> Column:
-        out = same(F.get("stems", i), 0)
-        for k in range(1, len(words)):
-            out = out & same(F.get("stems", i + k), k)
-        return out
+    """How often the positions p0, p1 ... of a phrase's words follow each other; `_places` names them."""
+    names = _places(words, prefix)
+    here = lambda x: reduce(operator.and_, [F.array_contains(c(n), x + k) for k, n in enumerate(names[1:], 1)], F.lit(True))
+    return F.size(F.filter(c(names[0]), here))
+
 
-    last = F.size("stems") - len(words)
-    return F.when(last >= 0, F.size(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here))).otherwise(0)
+def _places(words: list[str], prefix: bool) -> list[str]:
+    return [f"{'q' if prefix and i == len(words) - 1 else 'p'}_{w}" for i, w in enumerate(words)]
 
 
-def lexical_search(index: DataFrame, query: str) -> DataFrame:
-    """(id, score): rows of lexical_index that match the query, by BM25 over all rows; a query with bad syntax matches none.
+def lexical_search(index: LexicalIndex, query: str) -> DataFrame:
+    """(id, score): rows of a lexical_index that match the query, by BM25 over all rows; bad syntax matches none.
 
-    One pass counts each phrase of the query, one row of statistics is joined back; no posting leaves the scan.
+    Only postings of the query's words, or of those that a prefix begins, are read; they meet by id.
     """
+    empty = index.postings.select("id", F.lit(0.0).alias("score")).limit(0)
     try:
-        tree = parse(query)
+        tree = parse(query, index.analyze)
     except ValueError:
         if "NEAR" in query:
             raise
         tree = None
     if tree is None:
-        return index.select("id", F.lit(0.0).alias("score")).limit(0)
+        return empty
     phrases: list[tuple] = []
 
     def plan(node: tuple) -> tuple[Column, Column]:
@@ -170,8 +208,12 @@ def lexical_search(index: DataFrame, query: str) -> DataFrame:
         return hit, x + y if node[0] == "or" else F.when(hit, x if node[0] == "not" else x + y).otherwise(0.0)
 
     hit, score = plan(tree)
-    counted = index.select("id", F.size("stems").alias("len"), *[_times(*p).alias(f"n{i}") for i, p in enumerate(phrases)])
-    stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg"), *[F.count_if(c(f"n{i}") > 0).alias(f"d{i}") for i in range(len(phrases))])
+    names = dict.fromkeys(n for words, prefix in phrases for n in _places(words, prefix))
+    is_of = {n: c("term").startswith(n[2:]) if n[0] == "q" else c("term") == n[2:] for n in names}
+    own = index.postings.where(reduce(operator.or_, is_of.values()))
+    by_id = own.groupBy("id").agg(F.max("len").alias("len"), *[F.flatten(F.collect_list(F.when(test, c("positions")))).alias(n) for n, test in is_of.items()])
+    counted = by_id.select("id", "len", *[_times(*p).alias(f"n{i}") for i, p in enumerate(phrases)])
+    stats = counted.agg(*[F.count_if(c(f"n{i}") > 0).alias(f"d{i}") for i in range(len(phrases))]).crossJoin(index.totals)
     return counted.where(hit).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # stats is one row
 
 
@@ -186,10 +228,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_scores(facts: DataFrame, query: list[float]) -> DataFrame:
-    """(id, score): cosine with a query vector that travels as a literal; rows without a vector are left out."""
+    """(id, score): cosine with a query vector that travels as a literal; rows without a vector are left out.
+
+    A vector of another length than the query's fails the job.
+    """
     length = math.sqrt(sum(x * x for x in query)) or 1.0
     q = F.array(*[F.lit(x / length) for x in query])
-    return facts.where("size(embedding) > 0").select("id", cosine(c("embedding"), q).alias("score"))
+    fits = F.when(F.size("embedding") == len(query), c("embedding")).otherwise(F.raise_error(F.concat(F.lit(f"a vector's length is not {len(query)} but "), F.size("embedding").cast("string"))))
+    return facts.where("size(embedding) > 0").select("id", cosine(fits, q).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -207,10 +253,10 @@ def fuse(lexical: DataFrame, vector: DataFrame, k: int = 60) -> DataFrame:
     )
 
 
-def hybrid(facts: DataFrame, words: list[str], query: list[float], keep: Column, k: int, over: int = 3) -> DataFrame:
+def hybrid(facts: DataFrame, index: LexicalIndex, words: list[str], query: list[float], keep: Column, k: int, over: int = 3) -> DataFrame:
     """(id, score, match_type) of the k best. `keep` filters before each channel's limit; the index spans all facts."""
     kept = facts.where(keep).select("id")
-    lex = ranked(bm25(facts, words).join(kept, "id", "left_semi"), over * k)
+    lex = ranked(bm25(index, words).join(kept, "id", "left_semi"), over * k)
     vec = ranked(vector_scores(facts.where(keep), query), over * k)
     return fuse(lex, vec).orderBy(c("score").desc(), "id").limit(k)
 

@@ -8,18 +8,17 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes df under spark.checkpoint.dir and reads it: lineage ends here.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir.
 
     Where that is unset, a local master gets a private folder, and a cluster an error: its executors share no temporary
     folder.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -28,7 +27,12 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
             _OWN.append(tempfile.mkdtemp(prefix="recollect-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
         root = f"file://{_OWN[0]}"
-    path = f"{root.rstrip('/')}/recollect/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/recollect/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Writes df to the shared folder and reads it: lineage ends here."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -38,3 +42,12 @@ def release(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a plain scan that has fewer splits than there are cores; larger scans and other plans stay."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

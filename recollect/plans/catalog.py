@@ -17,7 +17,7 @@ from recollect.operators import graph as gr
 from recollect.operators import ingest as ig
 from recollect.operators import retrieval as rt
 from recollect.plans import memory_query as mq
-from recollect.plans.tables import Frames, duck, now
+from recollect.plans.tables import Frames, duck, now, words
 from recollect.sources import sessions as ss
 from recollect.streaming import activity as ac
 
@@ -82,7 +82,7 @@ query("session_facts", "SELECT f.id, e.session_id FROM facts f JOIN event_log e
 query("unbackfilled_facts", "SELECT id FROM facts WHERE id NOT IN (SELECT fact_id FROM fact_vectors WHERE space_id = 'new') AND id > 10 ORDER BY id LIMIT 100", lambda t: fa.page(t.facts.join(t.fact_vectors.where("space_id = 'new'").select(c("fact_id").alias("id")), "id", "left_anti"), 10, 100).select("id"))
 query("vectors_per_space", "SELECT space_id, count(*) AS n FROM fact_vectors GROUP BY space_id", lambda t: t.fact_vectors.groupBy("space_id").agg(F.count(F.lit(1)).alias("n")))
 query("next_embedding", "SELECT q.fact_id, q.next_attempt_at FROM embed_queue q JOIN facts f ON f.id = q.fact_id WHERE q.failed_at IS NULL AND q.next_attempt_at <= @now ORDER BY q.next_attempt_at, q.fact_id LIMIT 1", lambda t: t.embed_queue.join(t.facts.select(c("id").alias("fact_id")), "fact_id").where(c("failed_at").isNull() & (c("next_attempt_at") <= now())).orderBy("next_attempt_at", "fact_id").limit(1).select("fact_id", "next_attempt_at"))
-query("internal_edges", "SELECT id FROM edges WHERE t_expired IS NULL AND source_fact_id < 120 AND target_fact_id < 120", lambda t: gr.live(t.edges).where("source_fact_id < 120 and target_fact_id < 120").select("id"))
+query("internal_edges", "SELECT id FROM edges WHERE t_expired IS NULL AND source_fact_id IN (SELECT id FROM facts WHERE scope_id BETWEEN 10 AND 20) AND target_fact_id IN (SELECT id FROM facts WHERE scope_id BETWEEN 10 AND 20)", lambda t: gr.internal(t.edges, t.facts.where(c("scope_id").between(10, 20)).select("id")).select("id"))
 query("orphaned_facts", "SELECT DISTINCT f.id FROM edges e JOIN facts f ON f.id = e.target_fact_id WHERE e.source_fact_id IN (7, 11, 15, 19) AND f.id NOT IN (7, 11, 15, 19)", lambda t: fa.without(t.edges.join(_ids(t, 7, 11, 15, 19).withColumnRenamed("id", "source_fact_id"), "source_fact_id", "left_semi").select(c("target_fact_id").alias("id")).join(t.facts.select("id"), "id", "left_semi"), _ids(t, 7, 11, 15, 19)).distinct())
 query("same_content_copies", "SELECT f.id FROM facts f WHERE f.content_hash IN (SELECT content_hash FROM facts GROUP BY content_hash HAVING count(*) > 1)", lambda t: t.facts.select("id", "content_hash").join(t.facts.groupBy("content_hash").count().where("count > 1"), "content_hash", "left_semi").select("id"))
 query("cosession_edges", "SELECT a.id AS source_fact_id, b.id AS target_fact_id FROM facts a JOIN event_log x ON a.source_event_id = x.id JOIN event_log y ON y.session_id = x.session_id JOIN facts b ON b.source_event_id = y.id WHERE x.session_id = 's7' AND a.id <> b.id AND a.t_expired IS NULL AND b.t_expired IS NULL AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.t_expired IS NULL AND e.source_fact_id = a.id AND e.target_fact_id = b.id)", lambda t: gr.session_links(t.facts, t.event_log, t.edges, "s7"))
@@ -106,10 +106,10 @@ _DEG = "deg AS (SELECT id, count(*) AS degree FROM (SELECT source_fact_id AS id
 query("graph_degree", f"WITH {_DEG} SELECT id, degree FROM deg", lambda t: gr.degree(t.edges))
 query("neighbors", "SELECT target_fact_id AS id FROM edges WHERE t_expired IS NULL AND source_fact_id = 7", lambda t: gr.neighbours(t.edges, 7))
 query("neighbors_undirected", "SELECT target_fact_id AS id FROM edges WHERE t_expired IS NULL AND source_fact_id = 7 AND target_fact_id <> 7 UNION SELECT source_fact_id FROM edges WHERE t_expired IS NULL AND target_fact_id = 7 AND source_fact_id <> 7", lambda t: gr.neighbours(t.edges, 7, True))
-_EP = "ep(a, b) AS (SELECT source_fact_id, target_fact_id FROM edges WHERE t_expired IS NULL AND source_fact_id < 200 UNION SELECT target_fact_id, source_fact_id FROM edges WHERE t_expired IS NULL AND source_fact_id < 200)"
-_pairs = lambda t: gr.live(t.edges).where("source_fact_id < 200").select(c("source_fact_id").alias("a"), c("target_fact_id").alias("b"))
+_EP = "ep(a, b) AS (SELECT source_fact_id, target_fact_id FROM edges WHERE t_expired IS NULL UNION SELECT target_fact_id, source_fact_id FROM edges WHERE t_expired IS NULL)"
+_pairs = lambda t: gr.live(t.edges).select(c("source_fact_id").alias("a"), c("target_fact_id").alias("b"))
 query("component_sizes", f"WITH RECURSIVE {_EP}, r(a, b) AS (SELECT a, a FROM ep UNION SELECT r.a, ep.b FROM r JOIN ep ON r.b = ep.a), m AS (SELECT a, min(b) AS root FROM r GROUP BY a) SELECT root, count(*) AS n FROM m GROUP BY root", lambda t: gr.components(_pairs(t)).groupBy("root").agg(F.count(F.lit(1)).alias("n")))
-query("component_of", f"WITH RECURSIVE {_EP}, r(b) AS (SELECT 7 UNION SELECT ep.b FROM r JOIN ep ON r.b = ep.a) SELECT b::BIGINT AS id FROM r", lambda t: gr.reach(_ids(t, 7), _pairs(t).union(_pairs(t).select("b", "a"))))
+query("component_of", f"WITH RECURSIVE {_EP}, r(b) AS (SELECT 7 UNION SELECT ep.b FROM r JOIN ep ON r.b = ep.a) SELECT b::BIGINT AS id FROM r", lambda t: gr.component_of(t.edges, 7))
 query("lineage_closure", "WITH RECURSIVE r(id) AS (SELECT 3::BIGINT UNION SELECT l.wisdom_fact_id FROM r JOIN lineage l ON l.source_fact_id = r.id) SELECT id FROM r", lambda t: gr.reach(_ids(t, 3), t.lineage.select(c("source_fact_id").alias("a"), c("wisdom_fact_id").alias("b"))))
 # Retrieval
 _words = "(VALUES " + ", ".join(f"('{w}')" for w in WORDS) + ") AS q(w)"
@@ -131,27 +131,38 @@ def _hybrid_sql(keep: str, k: int) -> str:
     )
 
 
-query("lexical_bm25", f"WITH {_LEX} SELECT id, round(score, 6) AS score FROM lex WHERE hit > 0 AND id IN (SELECT id FROM facts WHERE {ACTIVE}) ORDER BY 2 DESC, 1 LIMIT 20", lambda t: rt.ranked(rt.bm25(t.facts, WORDS).join(t.facts.where(fa.active()).select("id"), "id", "left_semi"), 20).select("id", "score"))
-query("lexical_match", None, lambda t: rt.ranked(rt.lexical_search(rt.lexical_index(t.facts), 'the AND (dans* OR "de la") NOT und').join(t.facts.where(fa.active()).select("id"), "id", "left_semi"), 20).select("id", "score"))
-query("lexical_expired_probe", f"WITH {_LEX} SELECT count(*) AS n FROM lex WHERE hit > 0 AND id IN (SELECT id FROM facts WHERE t_expired IS NOT NULL)", lambda t: rt.bm25(t.facts, WORDS).join(t.facts.where(~fa.active()).select("id"), "id", "left_semi").agg(F.count(F.lit(1)).alias("n")))
+query("lexical_bm25", f"WITH {_LEX} SELECT id, round(score, 6) AS score FROM lex WHERE hit > 0 AND id IN (SELECT id FROM facts WHERE {ACTIVE}) ORDER BY 2 DESC, 1 LIMIT 20", lambda t: rt.ranked(rt.bm25(words(t), WORDS).join(t.facts.where(fa.active()).select("id"), "id", "left_semi"), 20).select("id", "score"))
+_MATCH = (
+    "tk AS (SELECT id, t_expired, regexp_extract_all(lower(coalesce(content, '')), '[\\p{L}\\p{N}]+') AS t FROM facts), "
+    "pc AS (SELECT id, t_expired, len(t) AS len, len(list_filter(t, lambda x: x = 'the')) AS a, len(list_filter(t, lambda x: starts_with(x, 'dans'))) AS b, len(list_filter(range(1, len(t)), lambda i: t[i] = 'de' AND t[i + 1] = 'la')) AS d, len(list_filter(t, lambda x: x = 'und')) AS u FROM tk), "
+    "ps AS (SELECT count(*) AS nn, avg(len) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (d > 0) AS dd FROM pc), "
+)
+_W = lambda n, d: f"CASE WHEN {n} > 0 THEN CASE WHEN nn - {d} > {d} THEN ln((nn - {d} + 0.5) / ({d} + 0.5)) ELSE 0.000001::DOUBLE END * {n} * 2.2 / ({n} + 1.2 * (0.25 + 0.75 * len / av)) ELSE 0 END"
+query("lexical_match", f"WITH {_MATCH} m AS (SELECT id, {_W('a', 'da')} + {_W('b', 'db')} + {_W('d', 'dd')} AS score FROM pc, ps WHERE a > 0 AND (b > 0 OR d > 0) AND u = 0 AND t_expired IS NULL) SELECT id, round(score, 6) AS score FROM m ORDER BY 2 DESC, 1 LIMIT 20", lambda t: rt.ranked(rt.lexical_search(words(t), 'the AND (dans* OR "de la") NOT und').join(t.facts.where(fa.active()).select("id"), "id", "left_semi"), 20).select("id", "score"))
+query("lexical_expired_probe", f"WITH {_LEX} SELECT count(*) AS n FROM lex WHERE hit > 0 AND id IN (SELECT id FROM facts WHERE t_expired IS NOT NULL)", lambda t: rt.bm25(words(t), WORDS).join(t.facts.where(~fa.active()).select("id"), "id", "left_semi").agg(F.count(F.lit(1)).alias("n")))
 query("vector_topk", f"WITH {_LEX} SELECT id, round(score, 6) AS score FROM vec ORDER BY 2 DESC, 1 LIMIT 10", lambda t: rt.ranked(rt.vector_scores(t.facts.where(fa.as_of(now())), QUERY_VECTOR), 10).select("id", "score"))
-query("hybrid_rrf", f"WITH {_LEX}, {_hybrid_sql(ASOF, 10)} SELECT * FROM hy", lambda t: rt.hybrid(t.facts, WORDS, QUERY_VECTOR, fa.as_of(now()), 10))
-query("hybrid_scoped", f"WITH {_LEX}, {_hybrid_sql(ASOF + ' AND scope_id BETWEEN 10 AND 20', 10)} SELECT * FROM hy", lambda t: rt.hybrid(t.facts, WORDS, QUERY_VECTOR, fa.as_of(now()) & c("scope_id").between(10, 20), 10))
-query("hybrid_post_filtered", f"WITH {_LEX}, {_hybrid_sql(ASOF, 10)} SELECT * FROM hy WHERE score >= 0.016 AND id IN (SELECT id FROM facts WHERE NOT is_pinned)", lambda t: rt.hybrid(t.facts, WORDS, QUERY_VECTOR, fa.as_of(now()), 10).where("score >= 0.016").join(t.facts.where("not is_pinned").select("id"), "id", "left_semi"))
+query("hybrid_rrf", f"WITH {_LEX}, {_hybrid_sql(ASOF, 10)} SELECT * FROM hy", lambda t: rt.hybrid(t.facts, words(t), WORDS, QUERY_VECTOR, fa.as_of(now()), 10))
+query("hybrid_scoped", f"WITH {_LEX}, {_hybrid_sql(ASOF + ' AND scope_id BETWEEN 10 AND 20', 10)} SELECT * FROM hy", lambda t: rt.hybrid(t.facts, words(t), WORDS, QUERY_VECTOR, fa.as_of(now()) & c("scope_id").between(10, 20), 10))
+query("hybrid_post_filtered", f"WITH {_LEX}, {_hybrid_sql(ASOF, 10)} SELECT * FROM hy WHERE score >= 0.016 AND id IN (SELECT id FROM facts WHERE NOT is_pinned)", lambda t: rt.hybrid(t.facts, words(t), WORDS, QUERY_VECTOR, fa.as_of(now()), 10).where("score >= 0.016").join(t.facts.where("not is_pinned").select("id"), "id", "left_semi"))
 query("store_path_query", f"SELECT id FROM (SELECT * FROM facts WHERE {ACTIVE} ORDER BY importance_score DESC, id LIMIT 30) WHERE {ASOF} ORDER BY importance_score DESC, id LIMIT 10", lambda t: fa.top(fa.top(t.facts.where(fa.active()), 30, c("importance_score").desc()).where(fa.as_of(now())), 10, c("importance_score").desc()).select("id"))
 query("archive_search", f"SELECT id, round(CASE WHEN contains(lower(coalesce(content, '')), 'thereon') THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN len(embedding) > 0 THEN greatest(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {_Q}), 0) ELSE 0 END, 6) AS score FROM facts WHERE t_expired IS NOT NULL AND round(CASE WHEN contains(lower(coalesce(content, '')), 'thereon') THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN len(embedding) > 0 THEN greatest(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {_Q}), 0) ELSE 0 END, 6) > 0 ORDER BY 2 DESC, 1 LIMIT 10", lambda t: rt.archive_search(t.facts.where(~fa.active()), "thereon", QUERY_VECTOR, 10))
 query("dormant_sample", f"SELECT id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {_Q}), 6) AS score FROM facts WHERE {ASOF} AND NOT is_pinned AND importance_score < 0.5 AND len(embedding) > 0 ORDER BY 2 DESC, 1 LIMIT 5", lambda t: rt.ranked(rt.vector_scores(fa.dormant(t.facts, now()), QUERY_VECTOR), 5).select("id", "score"))
 _tier = lambda name, cond, order, k, seen: f"{name} AS (SELECT '{name}' AS tier, row_number() OVER (ORDER BY {order}, id) AS rank, id FROM (SELECT * FROM facts WHERE {ASOF} AND {cond} {''.join(f' AND id NOT IN (SELECT id FROM {s})' for s in seen)} ORDER BY {order}, id LIMIT {k}))"
 _H = "scope_id IN (1, 3, 12)"
 query("resume_tiers", "WITH " + ", ".join([_tier("pinned", "is_pinned", "importance_score DESC", 50, []), _tier("important", f"{_H} AND importance_score >= 0.7", "importance_score DESC", 20, ["pinned"]), _tier("due", f"{_H} AND t_valid IS NOT NULL", "t_valid", 10, ["pinned", "important"]), _tier("recent", _H, "t_created DESC", 10, ["pinned", "important", "due"])]) + " SELECT * FROM pinned UNION ALL SELECT * FROM important UNION ALL SELECT * FROM due UNION ALL SELECT * FROM recent", lambda t: fa.resume_tiers(t.facts, [1, 3, 12], now()))
-query("retrieval_metrics", "WITH res AS (SELECT doc_id % 5 AS query_id, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY (doc_id * 31) % 97, doc_id) - 1 AS rank FROM documents WHERE doc_id < 100), rel AS (SELECT doc_id % 5 AS query_id, doc_id AS id, doc_id % 3 AS grade FROM documents WHERE doc_id < 100 AND doc_id % 3 > 0), g AS (SELECT rel.query_id, rank, (pow(2, grade) - 1) / log2(rank + 2) AS gain FROM res JOIN rel USING (query_id, id) WHERE rank < 10), h AS (SELECT query_id, count(*) AS hits, min(rank) AS f, sum(gain) AS dcg FROM g GROUP BY query_id), i AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN r < 10 THEN (pow(2, grade) - 1) / log2(r + 2) END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) - 1 AS r FROM rel) GROUP BY query_id) SELECT query_id, round(coalesce(hits / 10, 0), 6) AS precision, round(coalesce(hits / relevant, 0), 6) AS recall, round(coalesce(1.0::DOUBLE / (f + 1), 0), 6) AS rr, round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM i LEFT JOIN h USING (query_id)", lambda t: rt.retrieval_metrics(t.spark.sql("SELECT doc_id % 5 AS query_id, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY (doc_id * 31) % 97, doc_id) - 1 AS rank FROM {d} WHERE doc_id < 100", d=t.source("documents")), t.source("documents").where("doc_id < 100").select((c("doc_id") % 5).alias("query_id"), c("doc_id").alias("id"), (c("doc_id") % 3).alias("grade")), 10))
-_run = lambda t, archived=None, **parts: mq.execute(mq.MemoryQuery(**parts), t.facts, t.scopes, rt.lexical_index(t.facts), now(), archived)
+query("retrieval_metrics", "WITH res AS (SELECT doc_id % 5 AS query_id, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY (doc_id * 31) % 97, doc_id) - 1 AS rank FROM documents), rel AS (SELECT doc_id % 5 AS query_id, doc_id AS id, doc_id % 3 AS grade FROM documents WHERE doc_id % 3 > 0), g AS (SELECT rel.query_id, rank, (pow(2, grade) - 1) / log2(rank + 2) AS gain FROM res JOIN rel USING (query_id, id) WHERE rank < 10), h AS (SELECT query_id, count(*) AS hits, min(rank) AS f, sum(gain) AS dcg FROM g GROUP BY query_id), i AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN r < 10 THEN (pow(2, grade) - 1) / log2(r + 2) END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) - 1 AS r FROM rel) GROUP BY query_id) SELECT query_id, round(coalesce(hits / 10, 0), 6) AS precision, round(coalesce(hits / relevant, 0), 6) AS recall, round(coalesce(1.0::DOUBLE / (f + 1), 0), 6) AS rr, round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM i LEFT JOIN h USING (query_id)", lambda t: rt.retrieval_metrics(t.spark.sql("SELECT doc_id % 5 AS query_id, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY (doc_id * 31) % 97, doc_id) - 1 AS rank FROM {d}", d=t.source("documents")), t.source("documents").select((c("doc_id") % 5).alias("query_id"), c("doc_id").alias("id"), (c("doc_id") % 3).alias("grade")), 10))
+_run = lambda t, archived=None, **parts: mq.execute(mq.MemoryQuery(**parts), t.facts, t.scopes, words(t), now(), archived)
 _since = "timestamp '2024-01-20'"
 query("query_by_importance", f"SELECT id, importance_score AS score, 'store' AS match_type FROM (SELECT * FROM facts WHERE {ACTIVE} AND importance_score >= 0.2 ORDER BY importance_score DESC, id LIMIT 60) WHERE {ASOF} AND fact_type = 'Semantic' ORDER BY 2 DESC, 1 LIMIT 20", lambda t: _run(t, limit=20, least_score=0.2, fact_type="Semantic"))
 query("query_by_period", f"{_CL} SELECT id, importance_score AS score, 'store' AS match_type FROM facts WHERE {_PERIOD} AND is_pinned AND scope_id IN (SELECT id FROM cl WHERE ancestor = 1) ORDER BY 2 DESC, 1 LIMIT 20", lambda t: _run(t, limit=20, pinned_only=True, scope=("subtree", "/"), period=(F.expr("timestamp_ntz'2024-01-20 00:00:00'"), now())))
 query("query_by_vector", f"{_CL}, v AS (SELECT id, t_valid, t_invalid, t_expired, importance_score, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {_Q}), 6) AS score FROM facts WHERE {ACTIVE} AND fact_type = 'Episodic' AND len(embedding) > 0 AND scope_id IN (SELECT cl.id FROM cl JOIN scopes s ON s.id = cl.ancestor WHERE s.label = 'EUROPE') ORDER BY score DESC, id LIMIT 30), k AS (SELECT * FROM v WHERE {ASOF} ORDER BY score DESC, id LIMIT 10) SELECT id, score, 'vector' AS match_type FROM k WHERE importance_score >= 0.1", lambda t: _run(t, limit=10, embedding=QUERY_VECTOR, fact_type="Episodic", scope=("subtree", " EUROPE /"), least_score=0.1))
-query("query_by_text", None, lambda t: _run(t, limit=10, text=rt.any_word(" ".join(WORDS)), scope=("inherited", "/ASIA")))
-query("query_hybrid_with_archives", None, lambda t: _run(t, t.facts.where(~fa.active()), limit=10, text="the", embedding=QUERY_VECTOR))
+_ASIA = "(SELECT ancestor FROM cl WHERE id = 4 UNION SELECT id FROM cl WHERE ancestor = 4)"
+query("query_by_text", f"{_CL}, {_LEX}, k AS (SELECT id, round(score, 6) AS score FROM lex WHERE hit > 0 AND id IN (SELECT id FROM facts WHERE {ACTIVE} AND scope_id IN {_ASIA}) ORDER BY 2 DESC, 1 LIMIT 30) SELECT k.id, k.score, 'fts' AS match_type FROM k WHERE k.id IN (SELECT id FROM facts WHERE {ASOF}) ORDER BY 2 DESC, 1 LIMIT 10", lambda t: _run(t, limit=10, text=rt.any_word(" ".join(WORDS)), scope=("inherited", "/ASIA")))
+_ONE = _LEX.replace(_words, "(VALUES ('the')) AS q(w)")
+_OLD = f"CASE WHEN contains(lower(coalesce(content, '')), 'the') THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN len(embedding) > 0 THEN greatest(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {_Q}), 0) ELSE 0 END"
+_LIVE = f"round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {_Q}), 6)"
+query("query_hybrid_with_archives", f"WITH {_ONE}, l AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM (SELECT id, round(score, 6) AS score FROM lex WHERE hit > 0 AND id IN (SELECT id FROM facts WHERE {ACTIVE}) ORDER BY 2 DESC, 1 LIMIT 30)), v AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM (SELECT id, {_LIVE} AS score FROM facts WHERE {ACTIVE} AND len(embedding) > 0 ORDER BY 2 DESC, 1 LIMIT 30)), u AS (SELECT id, r, 1 AS l, 0 AS v FROM l UNION ALL SELECT id, r, 0, 1 FROM v), hy AS (SELECT id, round(sum(1.0::DOUBLE / (61 + r)), 6) AS score, CASE WHEN max(l) = 1 AND max(v) = 1 THEN 'both' WHEN max(l) = 1 THEN 'fts' ELSE 'vector' END AS match_type FROM u GROUP BY id), live_ AS (SELECT * FROM hy WHERE id IN (SELECT id FROM facts WHERE {ASOF}) ORDER BY score DESC, id LIMIT 10), old_ AS (SELECT id, round({_OLD}, 6) AS score, 'archive' AS match_type FROM facts WHERE t_expired IS NOT NULL AND round({_OLD}, 6) > 0 ORDER BY 2 DESC, 1 LIMIT 10) SELECT * FROM (SELECT * FROM live_ UNION ALL SELECT * FROM old_) ORDER BY score DESC, id LIMIT 10", lambda t: _run(t, t.facts.where(~fa.active()), limit=10, text="the", embedding=QUERY_VECTOR))
+query("query_scope_set", f"SELECT id, importance_score AS score, 'store' AS match_type FROM (SELECT * FROM facts WHERE {ACTIVE} AND scope_id IN (4, 5) ORDER BY importance_score DESC, id LIMIT 60) WHERE {ASOF} ORDER BY 2 DESC, 1 LIMIT 20", lambda t: _run(t, limit=20, scope=("set", ("/ASIA", "/EUROPE", "/ASIA", "/nowhere"))))
 query("query_unknown_scope", "SELECT id FROM facts WHERE FALSE", lambda t: _run(t, scope=("set", ("/nowhere", "/no/where"))).select("id"))
 # Maintenance
 _IMP = f"imp AS (SELECT f.id, fact_type, is_pinned, round(0.3 * CASE WHEN fact_type IN ('Semantic', 'Procedural') THEN 1 ELSE pow(2, -greatest(0, date_diff('second', last_accessed, @now) / 86400.0::DOUBLE) / 69.0) END + 0.2 * least(1, ln(1 + access_count) / ln(101)) + 0.3 * least(1, ln(1 + coalesce(degree, 0)) / ln(51)) + 0.2 * importance, 6) AS score FROM facts f LEFT JOIN deg ON deg.id = f.id WHERE {ACTIVE})"
@@ -170,7 +181,7 @@ query("medoid_per_cluster", f"WITH RECURSIVE {_SIM}, {_CC} SELECT cluster, first
 query("dbscan_clusters", f"WITH RECURSIVE {_SIM}, nb(a, b) AS (SELECT a, b FROM sp UNION ALL SELECT b, a FROM sp), co AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= 2), ce(a, b) AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM co) AND b IN (SELECT id FROM co)), rr(a, b) AS (SELECT id, id FROM co UNION SELECT rr.a, ce.b FROM rr JOIN ce ON rr.b = ce.a), cl AS (SELECT a AS id, min(b) AS cluster FROM rr GROUP BY a), fi AS (SELECT cluster, min((1 - importance_score) * 1000000 + id / 100000.0) AS f FROM cl JOIN facts USING (id) GROUP BY cluster) SELECT id, cluster FROM cl UNION ALL SELECT nb.a, first(cluster ORDER BY f) FROM nb JOIN cl ON cl.id = nb.b JOIN fi USING (cluster) WHERE nb.a NOT IN (SELECT id FROM co) GROUP BY nb.a", lambda t: co.dbscan(_sim(t), t.facts.select("id", ((1 - c("importance_score")) * 1000000 + c("id") / 100000.0).alias("position"))))
 query("dedup_plan", None, lambda t: co.dedup_plan(_sim(t), t.facts))
 query("outcome_adjustments", "WITH o AS (SELECT fact_id, count(*) FILTER (outcome = 'Positive') AS p, count(*) FILTER (outcome = 'Negative') AS n FROM outcomes WHERE outcome <> 'Other' GROUP BY fact_id) SELECT fact_id, CASE WHEN p = 0 AND n >= 3 THEN 'quarantine' ELSE 'adjust' END AS action, CASE WHEN p = 0 AND n >= 3 THEN 0 ELSE greatest(-2, least(2, p - n)) END::BIGINT AS steps FROM o", lambda t: co.adjustments(co.outcome_counts(t.outcomes)))
-query("conflict_apply", "SELECT id, decision, CASE WHEN t_expired IS NULL AND decision IN ('update', 'delete') THEN @now ELSE t_expired END AS t_expired, CASE WHEN t_expired IS NULL AND decision = 'update' THEN @now ELSE t_invalid END AS t_invalid, CASE WHEN decision = 'update' THEN 'contradicts' WHEN decision = 'add' AND t_expired IS NULL THEN 'supplements' END AS edge FROM (SELECT *, CASE id % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' ELSE 'noop' END AS decision FROM facts)", lambda t: co.conflict_apply(t.facts, t.facts.select("id", F.expr("CASE id % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' ELSE 'noop' END").alias("decision")), now()))
+query("conflict_apply", "SELECT id, decision, CASE WHEN t_expired IS NULL AND decision IN ('update', 'delete') THEN @now ELSE t_expired END AS t_expired, CASE WHEN t_expired IS NULL AND decision IN ('update', 'delete') THEN @now ELSE t_invalid END AS t_invalid, CASE WHEN decision = 'update' THEN 'contradicts' WHEN decision = 'add' AND t_expired IS NULL THEN 'supplements' END AS edge FROM (SELECT *, CASE id % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' ELSE 'noop' END AS decision FROM facts)", lambda t: co.conflict_apply(t.facts, t.facts.select("id", F.expr("CASE id % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' ELSE 'noop' END").alias("decision")), now()))
 # Mutations
 query("forget_plan", "WITH ch AS (SELECT * FROM facts WHERE id IN (5, 9, 14)) SELECT DISTINCT f.id, coalesce(f.t_expired, @now) AS t_expired, least(coalesce(f.t_invalid, @now), @now) AS t_invalid, f.t_expired AS prior_t_expired, f.t_invalid AS prior_t_invalid FROM facts f WHERE f.id IN (5, 9, 14) OR (f.t_expired IS NULL AND EXISTS (SELECT 1 FROM ch WHERE ch.content_hash = f.content_hash AND ch.scope_id = f.scope_id))", lambda t: fa.forget(t.facts, _ids(t, 5, 9, 14), now()))
 query("unforget_plan", "SELECT f.id, f.scope_id, t.prior_t_expired AS t_expired, t.prior_t_invalid AS t_invalid FROM facts f JOIN tombstones t ON t.fact_id = f.id WHERE t.record_event_id = 33", lambda t: fa.unforget(t.facts, t.tombstones, 33))
@@ -211,16 +222,26 @@ query("explain_fact", f"WITH {_DEG} SELECT f.id, {_STATE.replace('id IN', 'f.id
 # Ingest and cycle
 _BATCH = "SELECT doc_id AS idx, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE text END AS content, CASE WHEN doc_id % 14 = 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS importance, CAST(NULL AS @ts) AS t_valid, CAST(NULL AS @ts) AS t_invalid FROM "
 _batch = lambda t: t.spark.sql(_BATCH.replace("@ts", "TIMESTAMP_NTZ") + "{d}", d=t.source("documents"))
-query("batch_insert_results", "WITH b AS (" + _BATCH.replace("@ts", "TIMESTAMP") + "documents) SELECT idx, CASE WHEN content IS NULL OR octet_length(encode(content)) > 1048576 OR importance NOT BETWEEN 0 AND 1 THEN 'invalid' WHEN md5(content) IN (SELECT content_hash FROM tombstones) THEN 'blocked' ELSE 'created' END AS status FROM b", lambda t: ig.insert_results(_batch(t), t.tombstones))
-query("batch_insert_atomic", "SELECT doc_id AS idx FROM documents WHERE FALSE", lambda t: ig.all_or_nothing(_batch(t), ig.insert_results(_batch(t), t.tombstones)).select("idx"))
+query("batch_insert_results", "WITH b AS (" + _BATCH.replace("@ts", "TIMESTAMP") + "documents) SELECT idx, CASE WHEN content IS NULL OR octet_length(encode(content)) > 1048576 OR importance NOT BETWEEN 0 AND 1 THEN 'invalid' WHEN substr(sha256(content), 1, 32) IN (SELECT content_hash FROM tombstones) THEN 'blocked' ELSE 'created' END AS status FROM b", lambda t: ig.insert_results(_batch(t), t.tombstones))
+_FINE = "idx % 19 <> 0 AND idx % 14 <> 0"
+query("batch_insert_atomic", "WITH b AS (" + _BATCH.replace("@ts", "TIMESTAMP") + f"documents) SELECT idx FROM b WHERE {_FINE} AND substr(sha256(content), 1, 32) NOT IN (SELECT content_hash FROM tombstones)", lambda t: (lambda b: ig.all_or_nothing(b, ig.insert_results(b, t.tombstones)))(fa.without_hashes(_batch(t).where(_FINE), t.tombstones)).select("idx"))
+query("batch_insert_atomic_refused", "SELECT doc_id AS idx FROM documents WHERE FALSE", lambda t: ig.all_or_nothing(_batch(t), ig.insert_results(_batch(t), t.tombstones)).select("idx"))
 query("content_hashes", "SELECT doc_id, substr(sha256(text), 1, 32) AS h FROM documents", lambda t: t.source("documents").select("doc_id", ig.content_hash(c("text")).alias("h")))
-query("metadata_patch", """SELECT id, CASE WHEN id % 5 = 0 THEN 'true' END AS dream_cycle, '9' AS k FROM facts""", lambda t: t.facts.select("id", ig.merge_metadata(c("metadata"), F.lit('{"k":9}')).alias("m")).select("id", F.get_json_object("m", "$.dream_cycle").alias("dream_cycle"), F.get_json_object("m", "$.k").alias("k")))
+query("metadata_patch", """SELECT id, CASE WHEN id % 5 = 0 THEN '{"dream_cycle":true,"k":{"a":[1,"x",null]}}' ELSE '{"k":{"a":[1,"x",null]}}' END AS m FROM facts""", lambda t: t.facts.select("id", ig.merge_metadata(c("metadata"), F.lit('{"k":{"a":[1,"x",null]}}')).alias("m")))
+query("metadata_patch_keeps_types", """SELECT id, CASE WHEN id % 5 = 0 THEN '{"dream_cycle":true,"z":1.5}' WHEN id % 6 = 0 THEN '{"k":null,"z":1.5}' ELSE concat('{"k":', id % 10, ',"z":1.5}') END AS m FROM facts""", lambda t: t.facts.select("id", ig.merge_metadata(c("metadata"), F.lit('{"z":1.5}')).alias("m")))
 query("space_status", "SELECT 'new' AS space_id, (SELECT count(*) FROM fact_vectors WHERE space_id = 'new') AS vectors, (SELECT count(*) FROM facts WHERE id NOT IN (SELECT fact_id FROM fact_vectors WHERE space_id = 'new')) AS pending", lambda t: ig.space_status(t.fact_vectors, t.facts, "new"))
 query("erase_edges", "SELECT id FROM edges WHERE source_fact_id NOT IN (7, 11) AND target_fact_id NOT IN (7, 11)", lambda t: ig.erase({"edges": t.edges}, _ids(t, 7, 11))["edges"].select("id"))
 query("promotion_candidates", f"WITH RECURSIVE {_SIM}, {_CC}, md AS (SELECT cluster, first(id ORDER BY importance_score DESC, id) AS medoid, max(importance_score) AS score FROM cc JOIN facts USING (id) GROUP BY cluster HAVING count(*) >= 2) SELECT medoid, count(*) AS source_count, min(t_created) AS first_at, max(t_created) AS last_at, round(1 - 1.0::DOUBLE / count(*), 6) AS confidence FROM cc JOIN facts USING (id) JOIN md USING (cluster) WHERE score >= 0.75 GROUP BY medoid", lambda t: (lambda m: ig.promote(t.facts, m, co.medoid(m, t.facts).where("score >= 0.75")))(co.clusters(_sim(t))))
 query("adjusted_scores", "WITH o AS (SELECT fact_id, count(*) FILTER (outcome = 'Positive') AS p, count(*) FILTER (outcome = 'Negative') AS n FROM outcomes WHERE outcome <> 'Other' GROUP BY fact_id) SELECT id, round(least(1, greatest(0, importance_score + CASE WHEN p IS NULL OR (p = 0 AND n >= 3) THEN 0 ELSE greatest(-2, least(2, p - n)) END * 0.05)), 6) AS importance_score FROM facts LEFT JOIN o ON fact_id = id", lambda t: ig.adjust_scores(t.facts, co.adjustments(co.outcome_counts(t.outcomes))))
-query("bootstrap_sessions", "SELECT DISTINCT session_id FROM event_log WHERE session_id NOT IN (SELECT session_id FROM checkpoints WHERE last_activity_id % 2 = 0)", lambda t: ig.new_sessions(t.event_log.select("session_id"), t.checkpoints.where("last_activity_id % 2 = 0").select("session_id")))
+query("bootstrap_sessions", "SELECT DISTINCT session_id FROM event_log WHERE session_id NOT IN (SELECT session_id FROM checkpoints WHERE scope_path = '/')", lambda t: ig.new_sessions(t.event_log.select("session_id"), t.checkpoints.where("scope_path = '/'").select("session_id")))
 query("project_facts", f"{_CL} SELECT f.id, f.t_created FROM facts f WHERE t_expired IS NULL AND scope_id IN (SELECT id FROM cl WHERE ancestor = 3) ORDER BY t_created DESC, f.id LIMIT 10", lambda t: ig.project_context(t.facts, ac.fold(t.activity_events), t.checkpoints, gr.scope_ids(t.scopes, 3, "subtree"))["facts"].select("id", "t_created"))
-query("sensitive_paths", "SELECT event_id, event_id % 3 = 0 AS hit FROM events", lambda t: t.source("events").select("event_id", pa.sensitive_path(F.concat(F.lit("/home/x/"), F.when(c("event_id") % 3 == 0, ".ssh/id_work").when(c("event_id") % 3 == 1, ".ssh/config").otherwise(".env.example"))).alias("hit")))
+_PATHS = {
+    "/home/x/.ssh/id_work": True, "/home/x/.ssh/config": False, "/home/x/.ssh/known_hosts.old": False, "/home/x/.ssh/id.pub": False, "/home/x/.ssh/authorized_keys2": False, ".SSH/Work": True,
+    ".env": True, ".env.local": True, ".env.example": False, "host.env": True, "env": False, "a/.ENV": True, "x.env.sample": False, "etc/shadow": True, "/etc/gshadow": True, "/etc/shadow/readme": False, "shadow": False,
+    "~/.aws/credentials": True, "a/../.aws/./credentials": True, ".aws/credentials.bak/x": False, "C:\\Users\\x\\.kube\\config": True, "kube/config": False, "~/.docker//config.json": True, ".npmrc": True, "npmrc": False,
+    "deploy.key": True, "deploy.key.template": False, "cert.PEM": True, "key": False, "secrets/db.yaml": True, "secrets/readme.md": False, "vault/plain": True, "credentials.toml": True, "credentials.ts": False,
+    "password.txt": True, "passwords.txt": False, "my_api_key.ini": True, "my_api_key.py": False, "private_key": True, "token.json": True, "tokens.json": False, "": False, "..": False, "../../id_rsa": True, "src/main.rs": False,
+}
+query("sensitive_paths", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(hit).upper()})" for p, hit in _PATHS.items()) + ") AS p(path, hit)", lambda t: t.spark.createDataFrame([(p,) for p in _PATHS], "path string").select("path", pa.sensitive_path(c("path")).alias("hit")))
 query("lineage_of", "SELECT lineage_id, source_fact_id FROM lineage WHERE wisdom_fact_id = 45", lambda t: t.lineage.where("wisdom_fact_id = 45").select("lineage_id", "source_fact_id"))
 query("archived_union", f"SELECT id, importance_score, 'live' AS origin FROM facts WHERE {ACTIVE} AND importance_score > 0.9 UNION ALL SELECT id, importance_score, 'archive' FROM facts WHERE t_expired IS NOT NULL AND importance_score > 0.9 ORDER BY importance_score DESC, id LIMIT 25", lambda t: fa.top(t.facts.where(fa.active()).select("id", "importance_score", F.lit("live").alias("origin")).unionByName(t.facts.where(~fa.active()).select("id", "importance_score", F.lit("archive").alias("origin"))).where("importance_score > 0.9"), 25, c("importance_score").desc()))

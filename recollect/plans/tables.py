@@ -7,10 +7,13 @@ DataFrames, so operators only ever see schemas of the memory model.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.operators import retrieval as rt
+
 NOW = "2024-02-10 00:00:00"
 BASE = "2024-01-01 00:00:00"
 
@@ -21,7 +24,7 @@ def _hours(n: str) -> str:
 
 
 FACTS = f"""
-SELECT d.doc_id AS id, d.text AS content, md5(d.text) AS content_hash, e.embedding AS embedding,
+SELECT d.doc_id AS id, d.text AS content, @sha(d.text) AS content_hash, e.embedding AS embedding,
   CASE d.doc_id % 3 WHEN 0 THEN 'Episodic' WHEN 1 THEN 'Semantic' ELSE 'Procedural' END AS fact_type,
   {_hours('d.doc_id % 960')} AS t_created,
   CASE WHEN d.doc_id % 11 = 0 THEN {_hours('d.doc_id % 960 + 48')} END AS t_expired,
@@ -39,7 +42,7 @@ SELECT d.doc_id AS id, d.text AS content, md5(d.text) AS content_hash, e.embeddi
 FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id
 """
 EDGES = f"""
-SELECT doc_id AS id, doc_id AS source_fact_id, (doc_id * 17 + 3) % 200 AS target_fact_id,
+SELECT doc_id AS id, doc_id AS source_fact_id, doc_id - doc_id % 40 + (doc_id * 17 + 3) % 40 AS target_fact_id,
   CASE doc_id % 3 WHEN 0 THEN 'supports' WHEN 1 THEN 'contradicts' ELSE 'relates' END AS relation_type,
   CAST(0.5 AS DOUBLE) AS weight, {_hours('doc_id % 960')} AS t_created,
   CASE WHEN doc_id % 13 = 0 THEN {_hours('doc_id % 960 + 9')} END AS t_expired, CAST(1 AS BIGINT) AS scope_id
@@ -55,22 +58,22 @@ SELECT event_id AS id, ts AS timestamp, event_type, props AS payload, concat('s'
   CAST(1 AS BIGINT) AS scope_id, event_id AS sequence_id, value FROM events
 """
 ACTIVITY_EVENTS = """
-SELECT event_id AS id, ts, concat('s', CAST(user_id % 200 AS STRING)) AS session_id, event_type AS tool_name, md5(CAST(event_id % 2 AS STRING)) AS args_hash,
+SELECT event_id AS id, ts, concat('s', CAST(user_id % 200 AS STRING)) AS session_id, event_type AS tool_name, @sha(CAST(event_id % 2 AS STRING)) AS args_hash,
   CASE WHEN value > 50 THEN 'success' ELSE 'failure' END AS outcome_class, CAST(1 AS BIGINT) AS scope_id, props AS result_summary FROM events
 """
 OUTCOMES = """
-SELECT event_id AS id, (event_id * 7) % 200 AS fact_id, CASE event_id % 4 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' WHEN 2 THEN 'Neutral' ELSE 'Other' END AS outcome FROM events
+SELECT event_id AS id, CAST((event_id - event_id % 10) / 10 AS BIGINT) AS fact_id,
+  CASE (CAST((event_id - event_id % 10) / 10 AS BIGINT) + event_id % 2) % 4 WHEN 0 THEN 'Positive' WHEN 1 THEN 'Negative' WHEN 2 THEN 'Neutral' ELSE 'Other' END AS outcome FROM events
 """
 TOMBSTONES = f"""
-SELECT doc_id AS id, doc_id AS fact_id, md5(text) AS content_hash, 'asked' AS reason, {_hours('900')} AS forgotten_at, doc_id AS record_event_id,
+SELECT doc_id AS id, doc_id AS fact_id, @sha(text) AS content_hash, 'asked' AS reason, {_hours('900')} AS forgotten_at, doc_id AS record_event_id,
   CAST(NULL AS TIMESTAMP_NTZ) AS prior_t_expired, CASE WHEN doc_id % 7 = 0 THEN {_hours('(doc_id * 2) % 1900 + 300')} END AS prior_t_invalid FROM documents WHERE doc_id % 33 = 0
 """
 SUMMARIES = """
 SELECT doc_id AS id, text AS content, CASE doc_id % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'cluster' ELSE 'global' END AS level, CAST(1 AS BIGINT) AS scope_id FROM documents WHERE doc_id % 10 = 0
 """
 LINEAGE = """
-SELECT doc_id AS lineage_id, doc_id AS wisdom_fact_id, doc_id % 20 AS source_fact_id FROM documents WHERE doc_id BETWEEN 20 AND 90
-UNION ALL SELECT doc_id, doc_id, doc_id - 20 FROM documents WHERE doc_id BETWEEN 40 AND 90
+SELECT doc_id AS lineage_id, doc_id AS wisdom_fact_id, CAST((doc_id - doc_id % 2) / 2 AS BIGINT) AS source_fact_id FROM documents WHERE doc_id >= 2 AND doc_id % 3 <> 2
 """
 QUEUE = f"""
 SELECT doc_id AS fact_id, {_hours('doc_id % 960')} AS enqueued_at, doc_id % 8 AS attempts, {_hours('doc_id % 960 + doc_id % 8')} AS next_attempt_at,
@@ -88,13 +91,20 @@ TABLES = {
 _SOURCES = ("documents", "embeddings", "region", "nation", "events", "conversations", "labels")
 
 
+def _hash(sql: str, of: str) -> str:
+    """@sha(x) as an engine's content hash."""
+    return re.sub(r"@sha\(((?:[^()]|\([^()]*\))*)\)", of, sql)
+
+
 def _spark(sql: str) -> str:
+    sql = _hash(sql, r"substring(sha2(\1, 256), 1, 32)")
     return re.sub(r"@h\(((?:[^()]|\([^()]*\))*)\)", rf"(timestamp_ntz'{BASE}' + make_dt_interval(0, cast(\1 as int)))", sql)
 
 
 def duck(sql: str, *names: str) -> str:
     """sql behind the WITH list of the derived tables that it names."""
     def fix(s: str) -> str:
+        s = _hash(s, r"substr(sha256(\1), 1, 32)")
         s = re.sub(r"@h\(((?:[^()]|\([^()]*\))*)\)", rf"(timestamp '{BASE}' + to_hours(CAST(\1 AS INTEGER)))", s)
         return s.replace("AS STRING)", "AS VARCHAR)").replace("TIMESTAMP_NTZ", "TIMESTAMP")
 
@@ -127,5 +137,24 @@ class Frames:
         return self.spark.sql(sql, **used)
 
 
+_WRITTEN: dict[tuple[str, str, str], rt.LexicalIndex] = {}
+
+
+def _index(t: Frames, kind: str, make: Callable[[DataFrame], rt.LexicalIndex]) -> rt.LexicalIndex:
+    """An index is written once for a directory and session, and read by every search after that."""
+    key = (t.spark.sparkContext.applicationId, t.dir, kind)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = make(t.facts)
+    return _WRITTEN[key]
+
+
+def words(t: Frames) -> rt.LexicalIndex:
+    return _index(t, "words", rt.word_index)
+
+
+def stemmed(t: Frames) -> rt.LexicalIndex:
+    return _index(t, "stems", rt.lexical_index)
+
+
 def now() -> Column:
     return F.expr(f"timestamp_ntz'{NOW}'")

@@ -52,3 +52,13 @@ def filter_class(activities: DataFrame, ignore: list[str], promote: list[str]) -
     """Adds `decision`: a case-folded part of the tool's name decides, ignoring before promoting."""
     has = lambda words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower("tool_name"), w))
     return activities.withColumn("decision", F.when(has(ignore), "ignore").when(has(promote), "promote").otherwise("keep"))
+
+
+def recent(activities: DataFrame, k: int, session: str | None = None) -> DataFrame:
+    """The newest k activities (ts, id), of one session or of all."""
+    own = activities if session is None else activities.where(F.col("session_id") == session)
+    return own.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(k)
+
+
+def recent_checkpoints(checkpoints: DataFrame, k: int) -> DataFrame:
+    return checkpoints.orderBy(F.col("checkpoint_at").desc(), F.col("last_activity_id").desc()).limit(k)

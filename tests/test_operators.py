@@ -62,11 +62,14 @@ def test_captured_calls():
     assert rd.capture(None, "x" * (1 << 20) + "y") == ("null", "[omitted: 1048577 bytes]", False)
 
 
-def test_sensitive_paths():
-    for path in (".ENV", "host.env", "~/.kube/config", "a/../.aws/credentials", "/x/.ssh/work", "/etc/shadow", "secrets/db.yaml", "C:\\x\\id_rsa", "tls.crt", "token.json"):
-        assert pa.is_sensitive(path)
-    for path in (".env.example", "/x/.ssh/config", "/x/.ssh/id_rsa.pub", "src/token.ts", "secrets/readme.md", "", "/etc/passwd"):
-        assert not pa.is_sensitive(path)
+def test_sensitive_paths(spark):
+    secret = (".ENV", "host.env", "~/.kube/config", "a/../.aws/credentials", "/x/.ssh/work", "/etc/shadow", "secrets/db.yaml", "C:\\x\\id_rsa", "tls.crt", "token.json")
+    plain = (".env.example", "/x/.ssh/config", "/x/.ssh/id_rsa.pub", "src/token.ts", "secrets/readme.md", "", "/etc/passwd")
+    rows = spark.createDataFrame([(p,) for p in (*secret, *plain, None)], "p string")
+    got = {r.p: r.hit for r in rows.select("p", pa.sensitive_path(F.col("p")).alias("hit")).collect()}
+    assert all(got[p] for p in secret) and not any(got[p] for p in plain) and got[None] is None
+    own = spark.createDataFrame([("/home/x/.config/Keys/a.md",), ("/home/x/.config/keys2/a.md",)], "p string").select(pa.sensitive_path(F.col("p"), (".config/keys",)).alias("hit")).collect()
+    assert [r.hit for r in own] == [True, False]
 
 
 def _entry(kind, uuid, parent, at, content=None, result=None):
@@ -141,7 +144,7 @@ def test_lexical_search_is_that_of_a_full_text_index(spark):
     vocabulary = WORDS.split()[:12]
     rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(0, 14))))) for i in range(80)]
     con = _fts(rows)
-    index = rt.lexical_index(spark.createDataFrame([*rows, (80, None)], "id long, content string")).where("id < 80").cache()
+    index = rt.lexical_index(spark.createDataFrame(rows, "id long, content string"))
     queries = ["pony", "happy sizing", "happy OR tied", "(pony AND happi) OR sky", "pony NOT happy sky", '"ponies ties"', 'motor* "sized hopping"', "hop*", "pony + tie OR sky", "a AND", "zzz", '""', '"ponies ties" OR tie', rt.any_word("Ponies, ponies or sky?")]
     for q in queries:
         try:
@@ -161,7 +164,7 @@ def test_queries_that_do_not_fit_are_refused():
 def test_text_queries_rank_valid_facts_first(spark):
     t = Frames(spark, "/root/testdata/sf0.001")
     got = catalog.QUERIES["query_by_text"](spark, t.dir).collect()
-    scored = rt.lexical_search(rt.lexical_index(t.facts), rt.any_word(" ".join(catalog.WORDS)))
+    scored = rt.lexical_search(rt.word_index(t.facts), rt.any_word(" ".join(catalog.WORDS)))
     asia = mq.scope_set(t.scopes, "inherited", "/ASIA")
     want = rt.ranked(scored.join(t.facts.where(fa.active()).join(asia, "scope_id", "left_semi").select("id"), "id", "left_semi"), 30)
     live = {r.id for r in t.facts.where(fa.as_of(now())).select("id").collect()}
@@ -237,7 +240,7 @@ def test_hyperplane_buckets_find_most_pairs(spark):
 
 def test_empty_query_finds_nothing(spark):
     facts = spark.createDataFrame([(1, "a b")], "id long, content string")
-    assert rt.bm25(facts, []).count() == 0
+    assert rt.bm25(rt.word_index(facts), []).count() == 0
     assert rt.terms("The the, cat!") == ["the", "cat"]
 
 
