@@ -164,12 +164,18 @@ def resume_tiers(facts: DataFrame, scopes: list[int], now: Column, sizes: tuple[
         ("due", here.where(due(now)), c("t_valid").asc()),
         ("recent", here, c("t_created").desc()),
     ]
-    out = seen = None
-    for (tier, rows, order), k in zip(steps, sizes):
-        if seen is not None:
-            rows = rows.join(F.broadcast(seen), "id", "left_anti")  # as many ids as the tiers before hold
-        got = top(rows, k, order)
-        part = got.withColumn("rank", F.row_number().over(Window.orderBy(order, "id"))).select(F.lit(tier).alias("tier"), c("rank").cast("long").alias("rank"), "id")
-        out = part if out is None else out.unionByName(part)
-        seen = out.select("id")
-    return out
+    # A tier's rows are among its first k and as many as the tiers before hold, so each reads the facts once, and what
+    # is taken is settled among those few rows.
+    few = None
+    for n, ((_, rows, order), k) in enumerate(zip(steps, sizes)):
+        got = top(rows, sum(sizes[: n + 1]), order).withColumn("at", F.row_number().over(Window.orderBy(order, "id"))).select(F.lit(n).alias("n"), "at", "id")
+        few = got if few is None else few.unionByName(got)
+    most = F.array(*map(F.lit, sizes))
+
+    def take(done: Column, x: Column) -> Column:
+        own = F.size(F.filter(done, lambda y: y["n"] == x["n"]))
+        fits = ~F.exists(done, lambda y: y["id"] == x["id"]) & (own < F.get(most, x["n"]))
+        return F.when(fits, F.array_append(done, F.struct(x["n"].alias("n"), (own + 1).cast("long").alias("rank"), x["id"].alias("id")))).otherwise(done)
+
+    taken = few.agg(F.sort_array(F.collect_list(F.struct("n", "at", "id"))).alias("x")).select(F.inline(F.aggregate("x", F.array().cast("array<struct<n: int, rank: bigint, id: bigint>>"), take)))
+    return taken.select(F.get(F.array(*[F.lit(t) for t, _, _ in steps]), c("n")).alias("tier"), "rank", "id")

@@ -150,6 +150,9 @@ query("dormant_sample", f"SELECT id, round(list_cosine_similarity(list_transform
 _tier = lambda name, cond, order, k, seen: f"{name} AS (SELECT '{name}' AS tier, row_number() OVER (ORDER BY {order}, id) AS rank, id FROM (SELECT * FROM facts WHERE {ASOF} AND {cond} {''.join(f' AND id NOT IN (SELECT id FROM {s})' for s in seen)} ORDER BY {order}, id LIMIT {k}))"
 _H = "scope_id IN (1, 3, 12)"
 query("resume_tiers", "WITH " + ", ".join([_tier("pinned", "is_pinned", "importance_score DESC", 50, []), _tier("important", f"{_H} AND importance_score >= 0.7", "importance_score DESC", 20, ["pinned"]), _tier("due", f"{_H} AND t_valid IS NOT NULL", "t_valid", 10, ["pinned", "important"]), _tier("recent", _H, "t_created DESC", 10, ["pinned", "important", "due"])]) + " SELECT * FROM pinned UNION ALL SELECT * FROM important UNION ALL SELECT * FROM due UNION ALL SELECT * FROM recent", lambda t: fa.resume_tiers(t.facts, [1, 3, 12], now()))
+_resumed = lambda t: mq.resume_context(t.facts, t.scopes, "/ASIA", now())
+_H = "scope_id IN (1, 4)"
+query("resume_context", "WITH " + ", ".join([_tier("pinned", "is_pinned", "importance_score DESC", 50, []), _tier("important", f"{_H} AND importance_score >= 0.7", "importance_score DESC", 20, ["pinned"]), _tier("due", f"{_H} AND t_valid IS NOT NULL", "t_valid", 10, ["pinned", "important"]), _tier("recent", _H, "t_created DESC", 10, ["pinned", "important", "due"])]) + " SELECT * FROM pinned UNION ALL SELECT * FROM important UNION ALL SELECT * FROM due UNION ALL SELECT * FROM recent", lambda t: _resumed(t)[0])
 query("retrieval_metrics", "WITH res AS (SELECT doc_id % 5 AS query_id, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY (doc_id * 31) % 97, doc_id) - 1 AS rank FROM documents), rel AS (SELECT doc_id % 5 AS query_id, doc_id AS id, doc_id % 3 AS grade FROM documents WHERE doc_id % 3 > 0), g AS (SELECT rel.query_id, rank, (pow(2, grade) - 1) / log2(rank + 2) AS gain FROM res JOIN rel USING (query_id, id) WHERE rank < 10), h AS (SELECT query_id, count(*) AS hits, min(rank) AS f, sum(gain) AS dcg FROM g GROUP BY query_id), i AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN r < 10 THEN (pow(2, grade) - 1) / log2(r + 2) END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) - 1 AS r FROM rel) GROUP BY query_id) SELECT query_id, round(coalesce(hits / 10, 0), 6) AS precision, round(coalesce(hits / relevant, 0), 6) AS recall, round(coalesce(1.0::DOUBLE / (f + 1), 0), 6) AS rr, round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM i LEFT JOIN h USING (query_id)", lambda t: rt.retrieval_metrics(t.spark.sql("SELECT doc_id % 5 AS query_id, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY (doc_id * 31) % 97, doc_id) - 1 AS rank FROM {d}", d=t.source("documents")), t.source("documents").select((c("doc_id") % 5).alias("query_id"), c("doc_id").alias("id"), (c("doc_id") % 3).alias("grade")), 10))
 _run = lambda t, archived=None, **parts: mq.execute(mq.MemoryQuery(**parts), t.facts, t.scopes, words(t), now(), archived)
 _since = "timestamp '2024-01-20'"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recollect.operators import facts as fa
 from recollect.operators import graph as gr
 from recollect.operators import retrieval as rt
+from recollect.operators import store as st
 
 c = F.col
 OVER = 3  # candidates fetched for each row wanted
@@ -109,3 +110,16 @@ def execute(q: MemoryQuery, facts: DataFrame, scopes: DataFrame, index: DataFram
         old = rt.archive_search(archived, q.text or "", list(q.embedding or []), q.limit).select("id", "score", F.lit("archive").alias("match_type"))
         out = out.unionByName(old)
     return out.orderBy(c("score").desc(), "id").limit(q.limit)
+
+
+def resume_context(facts: DataFrame, scopes: DataFrame, path: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(tiers, facts): resume tiers of the scope of a path and its ancestors, and the facts with what was due stamped.
+
+    NotFound if no scope has the path.
+    """
+    scope = resolve(scopes, path)
+    if scope is None:
+        raise st.NotFound(path)
+    own = [r.id for r in gr.scope_ids(scopes, scope, "ancestors").collect()]  # as many as the path has parts
+    tiers = fa.resume_tiers(facts, own, now)
+    return tiers, st.stamp_surfaced(facts, tiers.where("tier = 'due'").select("id"), now)[0]

@@ -21,10 +21,17 @@ def fold(events: DataFrame, gap_seconds: int = 300) -> DataFrame:
     return out.withColumn("status", F.when(c("occurrence_count") > 1, "deduplicated").otherwise("raw")).drop("run")
 
 
-def stream(events: DataFrame, gap_seconds: int = 300) -> DataFrame:
-    """The same folding in a stream: state per key is the open run; each batch emits the runs it changed (update mode)."""
+def stream(events: DataFrame, gap_seconds: int = 300, late: str | None = None) -> DataFrame:
+    """The same folding in a stream: state per key is the open run; each batch emits the runs it changed (update mode).
+
+    With `late` (such as "1 hour") rows that come later than that behind the newest one are dropped, and a run's state
+    ends once the watermark has passed its gap. Without it nothing is dropped and state stays.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         first, last, n = state.get if state.exists else (None, None, 0)
         out = {}
         rows = pd.concat(list(batches)).sort_values(["ts", "id"])
@@ -36,12 +43,15 @@ def stream(events: DataFrame, gap_seconds: int = 300) -> DataFrame:
                 first, last, n = us, us, 1
             out[first] = (last, n)
         state.update((first, last, n))
+        if late is not None:
+            state.setTimeoutTimestamp(max(last // 1000 + gap_seconds * 1000, state.getCurrentWatermarkMs()) + 1)
         made = [(*key, pd.Timestamp(f, unit="us"), pd.Timestamp(v[0], unit="us"), v[1]) for f, v in out.items()]
         yield pd.DataFrame(made, columns=[*KEY, "first_seen", "last_seen", "occurrence_count"])
 
     kinds = dict(events.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in KEY) + ", first_seen timestamp, last_seen timestamp, occurrence_count long"
-    return events.groupBy(*KEY).applyInPandasWithState(step, schema, "first long, last long, n long", "update", "NoTimeout")
+    timed = events if late is None else events.withWatermark("ts", late)
+    return timed.groupBy(*KEY).applyInPandasWithState(step, schema, "first long, last long, n long", "update", "NoTimeout" if late is None else "EventTimeTimeout")
 
 
 def latest_checkpoints(checkpoints: DataFrame) -> DataFrame:
