@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-_LOCAL: list[str] = []
+from recollect.operators.shared import shared_path, spread
 
 
 def partitions(spark: SparkSession) -> int:
@@ -22,27 +20,36 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a private one of a local master (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="recollect-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return f"file://{_LOCAL[0]}"
+class _Made(list):
+    """Paths of the tables that were written inside a scratch scope."""
 
+    def keep(self, path: str) -> None:
+        """Leaves a table to the scope around this one, or to the caller."""
+        self.remove(path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(path)
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/recollect/{name}-{uuid.uuid4().hex}"
+
+_SCOPES: list[_Made] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[_Made]:
+    """Tables that materialize writes inside are deleted at the end, but for those that are kept."""
+    _SCOPES.append(_Made())
+    try:
+        yield _SCOPES[-1]
+    finally:
+        for path in _SCOPES.pop():
+            release(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -86,7 +93,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession, path: str) -> None:
-    """Delete a table written by materialize that nothing reads any more."""
+    """Delete a table written by materialize that nothing reads any more; once more does no harm."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
@@ -208,5 +215,6 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 50) ->
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over the cores there are, where the input is a scan with fewer splits."""
+    return spread(df).mapInArrow(f, schema)

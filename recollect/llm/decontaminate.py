@@ -194,6 +194,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0
             for batch in batches:
                 yield batch.filter(pa.array([not find(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
 
-        return rows.mapInArrow(run, docs.schema)
+        return map_arrow(rows, run, docs.schema)
 
     return reduce(clean, _slices(benchmark), docs)

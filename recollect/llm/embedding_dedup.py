@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm._runtime import components, groups, local_roots, map_arrow, materialize, pair_blocks, release, salted_join
+from recollect.llm._runtime import components, groups, local_roots, map_arrow, materialize, pair_blocks, salted_join, scratch
 
 COUNTED = 48
 CELL = 10.0  # width of a cell in distances at the threshold
@@ -206,27 +206,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = 1
     label are read, so other columns may have any name; an empty table gives an empty result.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"), F.col("label").cast("long").alias("label"))
-    found, found_at = materialize(classes(rows), "vector-classes")
-    most = found.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    lines, tables, count = calibrate(int(most), threshold, miss)
-    dealt, dealt_at = materialize(cells(found, threshold, lines, tables), "vector-cells")
-    seen, seen_at = materialize(block_links(dealt, threshold, count, block), "vector-links")
-    paths = [found_at, dealt_at, seen_at]
-    roots = components(seen.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector-components")
-    sums = seen.groupBy("rep", "label").agg(F.sum("links").alias("links"))
-    per_class = (
-        found.join(sums, ["rep", "label"], "left")
-        .join(roots, F.col("rep") == F.col("node"), "left")
-        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    )
-    has_id = F.col("vec_id").isNotNull()
-    out, _ = materialize(salted_join(rows, per_class, ["label", "embedding"], F.col("vec_id"), found.select("label", "embedding", F.col("copies").alias("_n"))).select(
-        "vec_id",
-        F.when(has_id, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(has_id, F.coalesce("component_id", "vec_id")).alias("component_id"),
-        F.when(has_id, F.col("vec_id") == F.coalesce("component_id", "vec_id")).otherwise(False).alias("kept"),
-        F.col("label").cast("int").alias("label"),
-    ), "vector-groups")
-    for path in paths:
-        release(vectors.sparkSession, path)
+    with scratch(vectors.sparkSession) as made:
+        found, _ = materialize(classes(rows), "vector-classes")
+        most = found.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        lines, tables, count = calibrate(int(most), threshold, miss)
+        dealt, _ = materialize(cells(found, threshold, lines, tables), "vector-cells")
+        seen, _ = materialize(block_links(dealt, threshold, count, block), "vector-links")
+        roots = components(seen.select(F.col("rep").alias("a"), F.col("root").alias("b")), "vector-components")
+        sums = seen.groupBy("rep", "label").agg(F.sum("links").alias("links"))
+        per_class = (
+            found.join(sums, ["rep", "label"], "left")
+            .join(roots, F.col("rep") == F.col("node"), "left")
+            .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+        )
+        has_id = F.col("vec_id").isNotNull()
+        met = salted_join(rows, per_class, ["label", "embedding"], F.col("vec_id"), found.select("label", "embedding", F.col("copies").alias("_n")))
+        answer = met.select(
+            "vec_id",
+            F.when(has_id, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+            F.when(has_id, F.coalesce("component_id", "vec_id")).alias("component_id"),
+            F.when(has_id, F.col("vec_id") == F.coalesce("component_id", "vec_id")).otherwise(False).alias("kept"),
+            F.col("label").cast("int").alias("label"),
+        )
+        out, path = materialize(answer, "vector-groups")
+        made.keep(path)
     return out

@@ -189,7 +189,7 @@ def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([model.score(passages(t.as_py() or "")) >= threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm import simhash_dedup
-from recollect.llm._runtime import components, groups, map_arrow, materialize, pair_blocks, release
+from recollect.llm._runtime import components, groups, map_arrow, materialize, pair_blocks, scratch
 
 STAR_KEYS = 8  # leading prefix shingles of the first round; the second round takes all
 SAMPLE_SHARE = 0.02  # of the documents, for the order of shingles
@@ -91,23 +91,23 @@ def prefixes(docs: DataFrame, threshold: float, shingle: int) -> DataFrame:
     return map_arrow(_texts(docs), run, "doc_id long, sig long, n int, keys array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, shingle: int) -> tuple[DataFrame, list[str]]:
-    """The pairs (a, b) of signatures whose whole sets have the similarity; and the written tables' paths."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of signatures whose whole sets have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(1).cast(pa.large_binary())]
             yield pa.record_batch([pa.array([signature(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["sig", "s"])
 
-    pairs, at = materialize(pairs, "shingle-pairs")
+    pairs, _ = materialize(pairs, "shingle-pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     ids = nodes.join(need, "sig", "left_semi").select("doc_id").distinct()
     sets = map_arrow(_texts(docs).join(ids, "doc_id", "left_semi"), run, "sig long, s array<long>").dropDuplicates(["sig"])
-    sets, sets_at = materialize(sets, "shingle-sets")
+    sets, _ = materialize(sets, "shingle-sets")
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    links, links_at = materialize(both.where(shared / (F.size("sa") + F.size("sb") - shared) >= threshold).select("a", "b"), "shingle-links")
-    return links, [at, sets_at, links_at]
+    links, _ = materialize(both.where(shared / (F.size("sa") + F.size("sb") - shared) >= threshold).select("a", "b"), "shingle-links")
+    return links
 
 
 def candidates(rows: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -144,29 +144,29 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
     Null, empty and word-less texts are alike. component_id is the smallest doc_id of the group. A repeated doc_id has a
     row for each of its rows, which may be of several groups. Only `doc_id` and `text` are read; no rows give no rows.
     """
-    spark = docs.sparkSession
-    table, table_at = materialize(prefixes(docs, threshold, shingle), "shingle-prefixes")
-    nodes = table.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "keys")).alias("x")).select("sig", "x.*")
-    rows = nodes.select("sig", "n", F.posexplode("keys").alias("pos", "key"))
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    rows, rows_at = materialize(rows.join(several, "key", "left_semi"), "shingle-rows")
-    owners = table.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    lead = rows.where(F.col("pos") < STAR_KEYS)
-    centres = lead.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", "key"), F.col("sig"), F.col("n"))).alias("m")).select("key", F.col("m.sig").alias("c"), F.col("m.n").alias("cn"))
-    close = F.least("n", "cn") >= F.lit(threshold) * F.greatest("n", "cn") - 1e-9
-    stars = lead.join(centres, "key").where((F.col("sig") != F.col("c")) & close).select(F.least("sig", "c").alias("a"), F.greatest("sig", "c").alias("b")).distinct()
-    prints, prints_at = materialize(simhash_dedup.fingerprints(docs.where("doc_id is not null"), shingle).groupBy("fp").agg(F.min("doc_id").alias("rep")), "shingle-prints")
-    owner = table.select("doc_id", "sig").distinct()
-    near = simhash_dedup.links(prints, radius, block).join(owner.toDF("a", "s"), "a").join(owner.toDF("b", "t"), "b").where("s <> t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
-    first, paths = verified(stars.unionByName(near).distinct(), owners, docs, threshold, shingle)
-    roots = components(first, "shingle-components").withColumnRenamed("node", "sig")
-    rooted = rows.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    second, more = verified(candidates(rooted, threshold, block), owners, docs, threshold, shingle)
-    roots = components(first.union(second), "shingle-components").withColumnRenamed("node", "sig")
-    for path in [rows_at, prints_at, *paths, *more]:
-        release(spark, path)
-    member = table.select("doc_id", "sig").join(roots, "sig", "left").select("doc_id", F.coalesce("root", "sig").alias("root"))
-    return member.join(member.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+    with scratch(docs.sparkSession) as made:
+        table, _ = materialize(prefixes(docs, threshold, shingle), "shingle-prefixes")
+        nodes = table.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "keys")).alias("x")).select("sig", "x.*")
+        rows = nodes.select("sig", "n", F.posexplode("keys").alias("pos", "key"))
+        several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+        rows, _ = materialize(rows.join(several, "key", "left_semi"), "shingle-rows")
+        owners = table.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+        lead = rows.where(F.col("pos") < STAR_KEYS)
+        centres = lead.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", "key"), F.col("sig"), F.col("n"))).alias("m")).select("key", F.col("m.sig").alias("c"), F.col("m.n").alias("cn"))
+        close = F.least("n", "cn") >= F.lit(threshold) * F.greatest("n", "cn") - 1e-9
+        stars = lead.join(centres, "key").where((F.col("sig") != F.col("c")) & close).select(F.least("sig", "c").alias("a"), F.greatest("sig", "c").alias("b")).distinct()
+        prints, _ = materialize(simhash_dedup.fingerprints(docs.where("doc_id is not null"), shingle).groupBy("fp").agg(F.min("doc_id").alias("rep")), "shingle-prints")
+        owner = table.select("doc_id", "sig").distinct()
+        near = simhash_dedup.links(prints, radius, block).join(owner.toDF("a", "s"), "a").join(owner.toDF("b", "t"), "b").where("s <> t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+        first = verified(stars.unionByName(near).distinct(), owners, docs, threshold, shingle)
+        roots = components(first, "shingle-components").withColumnRenamed("node", "sig")
+        rooted = rows.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        second = verified(candidates(rooted, threshold, block), owners, docs, threshold, shingle)
+        roots = components(first.union(second), "shingle-components").withColumnRenamed("node", "sig")
+        member = table.select("doc_id", "sig").join(roots, "sig", "left").select("doc_id", F.coalesce("root", "sig").alias("root"))
+        out, path = materialize(member.join(member.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id"), "shingle-groups")
+        made.keep(path)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:

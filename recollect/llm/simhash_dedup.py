@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm._runtime import components, groups, local_roots, map_arrow, materialize, pair_blocks, release, salted_join
+from recollect.llm._runtime import components, groups, local_roots, map_arrow, materialize, pair_blocks, salted_join, scratch
 
 BITS = 64
 LEAF = 512  # fingerprints a leaf should have at most, if they spread evenly
@@ -146,17 +146,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, block: i
     rows; rows with a null doc_id carry a fingerprint and link nothing (component_id null). Only `doc_id` and `text`
     are read, so further columns of any name are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    fps, fps_at = materialize(fingerprints(docs, shingle), "simhash")
-    distinct, distinct_at = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")), "simhash-distinct")
-    roots = components(links(distinct.select("fp", "rep"), radius, block), "simhash-components")
-    by_fp = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    out = salted_join(fps, by_fp, ["fp"], F.col("doc_id"), distinct.select("fp", "_n")).select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
-    )
-    out, _ = materialize(out, "simhash-groups")
-    for path in (fps_at, distinct_at):
-        release(spark, path)
+    with scratch(docs.sparkSession) as made:
+        fps, _ = materialize(fingerprints(docs, shingle), "simhash")
+        distinct, _ = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_n")), "simhash-distinct")
+        roots = components(links(distinct.select("fp", "rep"), radius, block), "simhash-components")
+        by_fp = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+        met = salted_join(fps, by_fp, ["fp"], F.col("doc_id"), distinct.select("fp", "_n"))
+        group = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+        out, path = materialize(met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), group), "simhash-groups")
+        made.keep(path)
     return out

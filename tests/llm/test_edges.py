@@ -194,3 +194,21 @@ def test_hot_keys_are_dealt_over_salts(spark):
     got = salted_join(left, right, ["k"], F.col("id"), left.groupBy("k").agg(F.count("*").alias("_n")))
     assert got.columns == ["id", "k", "v"] or set(got.columns) == {"id", "k", "v"}
     assert got.count() == 5000 and got.where("v is null").count() == 1 and got.where("k = 1 and v = 10").count() == left.where("k = 1").count()
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from recollect.llm._runtime import materialize, scratch
+
+    def there(path):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    with scratch(spark) as outer:
+        with scratch(spark) as made:
+            _, a = materialize(spark.range(2), "a")
+            _, b = materialize(spark.range(2), "b")
+            made.keep(b)
+        assert not there(a) and there(b) and list(outer) == [b]
+        _, c = materialize(spark.range(2), "c")
+        outer.keep(c)
+    assert not there(b) and there(c)
