@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import decontaminate, mixing, quality, shingle_dedup, suffix_dedup
-from recollect.llm._runtime import materialize, release
+from recollect.llm._runtime import materialize, release, scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +71,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written and read again, so a lost executor costs one stage."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs, path = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as made:
+            docs, path = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            made.keep(path)
         if before:
             release(spark, before)
         before = path
