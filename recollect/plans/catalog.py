@@ -214,7 +214,7 @@ query("keyword_episodes", f"WITH x AS (SELECT conv_id, turn, lower(coalesce(CASE
 _reply_calls = lambda: F.array(F.struct(F.lit("Bash").alias("tool"), c("user_text").alias("command"), c("reply").alias("stdout"), F.lit(None).cast("string").alias("stderr"), F.lit(False).alias("interrupted")))
 _mood = "CASE WHEN " + " OR ".join(f"contains(u, '{w}')" for w in tx.POSITIVE) + " THEN 'positive' WHEN " + " OR ".join("contains(u, '" + w.replace("'", "''") + "')" for w in tx.NEGATIVE) + " THEN 'negative' ELSE 'neutral' END"
 query("session_outcome", f"WITH p AS (SELECT conv_id, turn, role, lower(coalesce(text, '')) AS u, lower(first(CASE WHEN role = 'assistant' THEN coalesce(text, '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS r FROM conversations), s AS (SELECT conv_id AS session_id, bool_or(contains(u, 'git commit') OR contains(r, '[main') OR contains(r, '[master') OR regexp_matches(r, '[0-9a-f]{{7}}')) AS g, bool_or(contains(r, 'test result: ok') OR (contains(r, 'passed') AND contains(r, 'test')) OR (contains(r, 'pytest') AND contains(r, ' ok'))) AS k, arg_max({_mood}, turn) AS mood FROM p WHERE role = 'user' AND r IS NOT NULL GROUP BY conv_id) SELECT session_id, mood, CASE WHEN g OR k THEN 'success' WHEN mood = 'negative' THEN 'failure' ELSE 'indeterminate' END AS outcome FROM s", lambda t: ss.session_outcomes(ss.paired_turns(t.source("conversations")).select(c("conv_id").alias("session_id"), F.lit(0).alias("at"), c("turn").alias("position"), "user_text", _reply_calls().alias("calls"))).select("session_id", "mood", "outcome"))
-query("text_chunks", None, lambda t: t.source("documents").select("doc_id", F.posexplode(tx.chunks(c("text"))).alias("at", "chunk")))
+query("text_chunks", "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(0, ((len(w) + 127) // 128)::BIGINT)) AS n FROM w) SELECT doc_id, n::INTEGER AS at, array_to_string(w[n * 128 + 1 : (n + 1) * 128], ' ') AS chunk FROM p", lambda t: t.source("documents").select("doc_id", F.posexplode(tx.chunks(c("text"))).alias("at", "chunk")))
 query("matryoshka", "SELECT vec_id, list_transform(embedding[1:16], lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding[1:16], lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS v FROM embeddings", lambda t: t.source("embeddings").select("vec_id", tx.matryoshka(c("embedding"), 16).alias("v")))
 # Inspection
 _STATE = "CASE WHEN id IN (SELECT fact_id FROM tombstones) THEN 'Forgotten' WHEN t_expired IS NOT NULL THEN 'Expired' WHEN t_invalid <= @now THEN 'Invalidated' WHEN is_pinned THEN 'Pinned' WHEN t_valid <= @now THEN 'Due' ELSE 'Active' END AS state"

@@ -12,6 +12,7 @@ from recollect.operators import facts as fa
 from recollect.operators import graph as gr
 from recollect.operators import retrieval as rt
 from recollect.operators import store as st
+from recollect.operators.ingest import Reranker, rerank
 
 c = F.col
 OVER = 3  # candidates fetched for each row wanted
@@ -123,3 +124,14 @@ def resume_context(facts: DataFrame, scopes: DataFrame, path: str, now: Column)
     own = [r.id for r in gr.scope_ids(scopes, scope, "ancestors").collect()]  # as many as the path has parts
     tiers = fa.resume_tiers(facts, own, now)
     return tiers, st.stamp_surfaced(facts, tiers.where("tier = 'due'").select("id"), now)[0]
+
+
+def execute_reranked(q: MemoryQuery, facts: DataFrame, scopes: DataFrame, index: rt.LexicalIndex, now: Column, reranker: Reranker, depth: int = 30) -> list[tuple[int, float]]:
+    """(id, score) of a query, its `depth` best reordered by a reranker, which may leave some out; cut to the limit.
+
+    Only a query with a text is reranked. A reranker whose answer names a row twice or one that is not there is an error.
+    """
+    found = execute(q, facts, scopes, index, now)
+    if q.text is None:
+        return [(r.id, r.score) for r in found.collect()]  # the limit's rows
+    return rerank(found.join(facts.select("id", "content"), "id"), reranker, q.text, depth)[: q.limit]

@@ -12,6 +12,7 @@ from recollect.operators import facts as fa
 from recollect.operators import filters as fi
 from recollect.operators import graph as gr
 from recollect.operators import ingest as ig
+from recollect.operators import inspect as ins
 from recollect.operators import spaces as sp
 from recollect.operators import store as st
 from recollect.operators.shared import shared_path
@@ -109,6 +110,18 @@ query("lineage_deleted", "SELECT wisdom_fact_id, source_fact_id FROM lineage WHE
 query("insights_in_subtree", f"{_CL} SELECT id, t_created FROM facts WHERE {ACTIVE} AND json_exists(metadata, '$.dream_cycle') AND scope_id IN (SELECT id FROM cl WHERE ancestor = 3) ORDER BY t_created DESC, id LIMIT 10", lambda t: fa.recent_insights(t.facts, gr.scope_ids(t.scopes, 3, "subtree"), 10).select("id", "t_created"))
 query("fact_counts", f"SELECT count(*) FILTER ({ACTIVE}) AS active, count(*) FILTER (len(embedding) > 0) AS vectors, bool_or(id = 42) AS has_42, coalesce(bool_or(id = -1), false) AS has_none FROM facts", lambda t: t.facts.agg(F.count_if(fa.active()).alias("active"), F.count_if(fa.has_vector()).alias("vectors"), F.bool_or(c("id") == 42).alias("has_42"), F.coalesce(F.bool_or(c("id") == -1), F.lit(False)).alias("has_none")))
 
+_STATE = "CASE WHEN f.id IN (SELECT fact_id FROM tombstones) THEN 'Forgotten' WHEN f.t_expired IS NOT NULL THEN 'Expired' WHEN f.t_invalid <= @now THEN 'Invalidated' WHEN f.is_pinned THEN 'Pinned' WHEN f.t_valid <= @now THEN 'Due' ELSE 'Active' END"
+_PATH = "(SELECT '/' || coalesce(string_agg(a.label, '/' ORDER BY cl.d DESC), '') FROM cl JOIN scopes a ON a.id = cl.ancestor WHERE cl.id = f.scope_id AND a.parent_id IS NOT NULL)"
+query("facts_explained", f"{_CL}, {_BOTH}, {_DEG} SELECT f.id, {_STATE} AS state, CASE WHEN f.t_expired IS NOT NULL THEN CASE WHEN f.id % 2 = 0 THEN 'Quarantined' ELSE 'Unknown' END END AS reason, {_PATH} AS path, e.session_id, coalesce(deg.degree, 0) AS degree, list_sort(coalesce((SELECT list(DISTINCT b) FROM bo WHERE bo.a = f.id AND b <> f.id), []::BIGINT[])) AS neighbours, coalesce(sz.n, 0) AS component_size FROM facts f LEFT JOIN deg ON deg.id = f.id LEFT JOIN sz ON sz.id = f.id LEFT JOIN event_log e ON e.id = f.source_event_id", lambda t: ins.explain(st.patch_metadata(t.facts, t.facts.where("id % 2 = 0").select("id", F.lit('{"quarantine":{"reason":"x"}}').alias("patch"))), t.tombstones, t.event_log, t.edges, t.scopes, t.facts.select("id"), now()))
+_ERASED = "er(id) AS (SELECT id FROM facts WHERE scope_id IN (SELECT id FROM cl WHERE ancestor = 3) UNION SELECT l.wisdom_fact_id FROM er JOIN lineage l ON l.source_fact_id = er.id)"
+_erased = lambda t: ins.erase_scope({n: getattr(t, n) for n in ("facts", "edges", "lineage", "fact_vectors", "embed_queue")}, t.scopes, 3)
+query("erased_facts", f"{_CL}, {_ERASED} SELECT id FROM facts WHERE id NOT IN (SELECT id FROM er)", lambda t: _erased(t)["facts"].select("id"))
+query("erased_edges", f"{_CL}, {_ERASED} SELECT id FROM edges WHERE source_fact_id NOT IN (SELECT id FROM er) AND target_fact_id NOT IN (SELECT id FROM er)", lambda t: _erased(t)["edges"].select("id"))
+query("erased_vectors", f"{_CL}, {_ERASED} SELECT fact_id, space_id FROM fact_vectors WHERE fact_id NOT IN (SELECT id FROM er)", lambda t: _erased(t)["fact_vectors"].select("fact_id", "space_id"))
+_project = lambda t: ig.project_context(t.facts, ac.fold(t.activity_events), t.checkpoints, gr.scope_ids(t.scopes, 1, "subtree"))
+query("project_checkpoint", "SELECT session_id, scope_path, checkpoint_at FROM checkpoints ORDER BY checkpoint_at DESC, session_id LIMIT 1", lambda t: _project(t)["checkpoint"].select("session_id", "scope_path", "checkpoint_at"))
+query("project_activities", "WITH g AS (SELECT session_id, tool_name, args_hash, outcome_class, scope_id, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) < 300000000 THEN 0 ELSE 1 END AS nw, id FROM activity_events WINDOW w AS (PARTITION BY session_id, tool_name, args_hash, outcome_class, scope_id ORDER BY ts, id)), r AS (SELECT *, sum(nw) OVER (PARTITION BY session_id, tool_name, args_hash, outcome_class, scope_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT session_id, max(ts) AS last_seen FROM r GROUP BY session_id, tool_name, args_hash, outcome_class, scope_id, run ORDER BY last_seen DESC, session_id LIMIT 10", lambda t: _project(t)["activities"].select("session_id", "last_seen"))
+
 # Consolidation and cycle
 _groups = lambda t: t.facts.where("id % 4 < 3").select("id", F.expr("id div 6").alias("cluster"))
 _G = "g AS (SELECT id, id // 6 AS cluster FROM facts WHERE id % 4 < 3)"

@@ -184,3 +184,24 @@ def test_arbiter_and_classifier(spark):
 def test_reports_of_the_catalogue_have_every_kind(spark):
     kinds = {r.kind for r in writes._report(Frames(spark, DIR)).deltas.select("kind").distinct().collect()}
     assert kinds == {"AdjustScore", "Quarantine", "Promote", "TagOutcome", "Synthesize"}
+
+
+def test_queries_are_reranked(spark):
+    from recollect.plans import memory_query as mq
+    from recollect.plans.tables import words
+
+    t = Frames(spark, DIR)
+    seen = []
+
+    class Reverse:
+        def rerank(self, query, candidates):
+            seen.append((query, len(candidates)))
+            return [(i, float(i)) for i in range(len(candidates) - 1, 0, -1)]
+
+    plain = [(r.id, r.score) for r in mq.execute(mq.MemoryQuery(text="the", limit=6), t.facts, t.scopes, words(t), now()).collect()]
+    got = mq.execute_reranked(mq.MemoryQuery(text="the", limit=6), t.facts, t.scopes, words(t), now(), Reverse())
+    assert seen == [("the", 6)] and [i for i, _ in got] == [i for i, _ in plain][:0:-1]
+    assert len(mq.execute_reranked(mq.MemoryQuery(limit=4), t.facts, t.scopes, words(t), now(), Reverse())) == 4 and len(seen) == 1
+    twice = type("R", (), {"rerank": lambda self, q, x: [(0, 1.0), (0, 2.0)]})()
+    with pytest.raises(ValueError):
+        mq.execute_reranked(mq.MemoryQuery(text="the"), t.facts, t.scopes, words(t), now(), twice)
