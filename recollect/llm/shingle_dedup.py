@@ -4,8 +4,10 @@ Two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of ea
 (prefix filter). The order here puts shingles that a sample of the documents repeats last, so prefixes are of rare ones;
 the sample decides the speed only. Pairs that share prefix shingles are held against bounds on their overlap by lengths,
 positions and the number of shared prefix shingles, and what is left is verified on whole sets. Before all pairs are
-asked, the links of the SimHash trees are verified, and each prefix group against one of its members, so that large
-groups of copies are mostly linked then; pairs of one component are not asked again.
+asked, the links of the SimHash trees are verified, and each prefix group against one of its members. Large prefix groups
+that hold several components then are held against further members in turn, as long as that links anything: a round is
+one pair a text and shingle, and pairs of one component are never asked, so large groups of near copies are one
+component before all pairs that are left are asked.
 
 SimHash alone cannot find these pairs: at similarity 0.8 fingerprints differ in about 10 of 64 bits and often in 15,
 which no tree keeps apart from chance at scale. So its trees give the first links and the prefix filter the rest.
@@ -18,13 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm import simhash_dedup
-from recollect.llm._runtime import components, groups, map_arrow, materialize, pair_blocks, scratch
+from recollect.llm._runtime import components, groups, map_arrow, materialize, pair_blocks, release, scratch
 
-STAR_KEYS = 8  # leading prefix shingles of the first round; the second round takes all
+STAR_KEYS = 8  # prefix shingles by which a text is held against a centre in a round
+BIG = 64  # texts with one prefix shingle, beyond which further rounds of centres come before all pairs
+ROUNDS = 4  # of them, at most
 SAMPLE_SHARE = 0.02  # of the documents, for the order of shingles
 SAMPLE_ROWS = 4000  # at least
 COMMON = 1_000_000  # repeated shingles of the sample that the order knows, at most
@@ -99,45 +103,106 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
             sets = [shingle_set(t.as_py() or b"", shingle) for t in batch.column(1).cast(pa.large_binary())]
             yield pa.record_batch([pa.array([signature(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["sig", "s"])
 
-    pairs, _ = materialize(pairs, "shingle-pairs")
+    spark = docs.sparkSession
+    pairs, pairs_at = materialize(pairs, "shingle-pairs")
     need = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     ids = nodes.join(need, "sig", "left_semi").select("doc_id").distinct()
     sets = map_arrow(_texts(docs).join(ids, "doc_id", "left_semi"), run, "sig long, s array<long>").dropDuplicates(["sig"])
-    sets, _ = materialize(sets, "shingle-sets")
+    sets, sets_at = materialize(sets, "shingle-sets")
     both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     links, _ = materialize(both.where(shared / (F.size("sa") + F.size("sb") - shared) >= threshold).select("a", "b"), "shingle-links")
+    for path in (pairs_at, sets_at):
+        release(spark, path)
     return links
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(block, i, j): rows of different roots that their lengths and the place of the block's shingle leave."""
+    for g in groups(batches, ["key", "blk_a", "blk_b"]):
+        sig, n, pos, root, own = (g.column(x).to_numpy() for x in ("sig", "n", "pos", "root", "blk_own"))
+        first = int(g.column("blk_a")[0].as_py())
+        same = first == int(g.column("blk_b")[0].as_py())
+        left = np.arange(len(sig)) if same else np.flatnonzero(own == first)
+        right = left if same else np.flatnonzero(own != first)
+        for at in range(0, len(left), 256):
+            i, j = left[at : at + 256][:, None], right[None, :]
+            most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+            i, j = np.nonzero((root[i] != root[j]) & (most >= share * (n[i] + n[j]) - 1e-9) & ((sig[i] < sig[j]) if same else True))
+            yield g, left[at : at + 256][i], right[j]
+
+
+_PAIR = "a long, b long, na int, nb int, c long"
+
+
+def _pairs(g: pa.Table, i: np.ndarray, j: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    sig, n = g.column("sig").to_numpy(), g.column("n").to_numpy()
+    swap = sig[i] > sig[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return pa.record_batch([pa.array(x) for x in (sig[i], sig[j], n[i], n[j], c.astype(np.int64))], ["a", "b", "na", "nb", "c"])
+
+
 def candidates(rows: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b): pairs of different roots that the bounds leave; rows (key, pos, sig, n, root) of prefix shingles."""
+    """(a, b): pairs of different roots that the bounds leave; rows (key, pos, sig, n, root) of prefix shingles.
+
+    In small prefix groups each shared shingle gives a row. In large ones a pair is given once, in the block of the
+    smallest shingle that both have, with the number of large groups that it shares.
+    """
     share = threshold / (1 + threshold)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, ["key", "blk_a", "blk_b"]):
-            sig, n, pos, root, own = (g.column(x).to_numpy() for x in ("sig", "n", "pos", "root", "blk_own"))
-            first = int(g.column("blk_a")[0].as_py())
-            same = first == int(g.column("blk_b")[0].as_py())
-            left = np.arange(len(sig)) if same else np.flatnonzero(own == first)
-            right = left if same else np.flatnonzero(own != first)
-            for at in range(0, len(left), 256):
-                i, j = left[at : at + 256][:, None], right[None, :]
-                most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                i, j = np.nonzero((root[i] != root[j]) & (most >= share * (n[i] + n[j]) - 1e-9) & ((sig[i] < sig[j]) if same else True))
-                i, j = left[at : at + 256][i], right[j]
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, i, j in _blocks(batches, share):
+            if len(i):
+                yield _pairs(g, i, j, np.ones(len(i)))
+
+    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = bits = low = None
+        for g, left, right in _blocks(batches, share):
+            if g is not last:
+                last, lists = g, g.column("keys").combine_chunks()
+                known, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+                row = np.repeat(np.arange(g.num_rows), lists.value_lengths().to_numpy())
+                bits = np.zeros((g.num_rows, len(known) // 64 + 1), np.uint64)
+                np.bitwise_or.at(bits, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+                k = int(np.searchsorted(known, int(g.column("key")[0].as_py())))
+                low = bits[:, : k // 64 + 1].copy()
+                low[:, -1] &= np.uint64((1 << (k & 63)) - 1)
+            step = max(1, (4 << 20) // bits.shape[1])
+            for s in range(0, len(left), step):
+                i, j = left[s : s + step], right[s : s + step]
+                here = ~(low[i] & low[j]).any(axis=1)
+                i, j = i[here], j[here]
                 if len(i):
-                    swap = sig[i] > sig[j]
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    yield pa.record_batch([pa.array(x) for x in (sig[i], sig[j], n[i], n[j])], ["a", "b", "na", "nb"])
-
-    asked = rows.join(rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("key"), "key", "left_semi")
-    pairs = map_arrow(pair_blocks(asked, ["key"], F.col("sig"), block), run, "a long, b long, na int, nb int")
+                    yield _pairs(g, i, j, np.bitwise_count(bits[i] & bits[j]).sum(axis=1))
+
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi")
+    asked = rows.join(size.select("key", (F.col("_n") > BIG).alias("_big")), "key")
+    big = asked.where("_big").drop("_big")
+    lists = big.groupBy("sig").agg(F.collect_list("key").alias("keys"))
+    pairs = map_arrow(pair_blocks(asked.where("not _big").drop("_big"), ["key"], F.col("sig"), block), small, _PAIR)
+    pairs = pairs.unionByName(map_arrow(pair_blocks(big, ["key"], F.col("sig"), block, lists, ["sig"]), large, _PAIR))
     rest = lambda n: F.ceil(F.lit(threshold) * F.col(n) - 1e-9) - 1  # noqa: E731  # shingles after the prefix
-    counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    counted = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return counted.where(F.col("c") + F.greatest(rest("na"), rest("nb")) >= F.lit(share) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
 
 
+def _rooted(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
+    """rows with the root of their component under the links, and the written table's path."""
+    roots = components(links, "shingle-components").withColumnRenamed("node", "sig")
+    return materialize(rows.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "shingle-rooted")
+
+
+def centred(rows: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(a, b): texts of large prefix groups with several roots, each with the group's n-th centre if that has another root."""
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+    own = rows.join(size.where((F.col("_n") > BIG) & (F.col("_lo") < F.col("_hi"))).select("key"), "key", "left_semi")
+    turn = F.xxhash64(F.lit(n), "key", "sig")
+    centres = own.groupBy("key").agg(F.min(F.struct(turn, F.col("sig"), F.col("n"), F.col("root"))).alias("m")).select("key", F.col("m.sig").alias("c"), F.col("m.n").alias("cn"), F.col("m.root").alias("cr"))
+    few = own.withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy(turn))).where(F.col("_r") <= STAR_KEYS)
+    close = F.least("n", "cn") >= F.lit(threshold) * F.greatest("n", "cn") - 1e-9
+    return few.join(centres, "key").where((F.col("root") != F.col("cr")) & close).select(F.least("sig", "c").alias("a"), F.greatest("sig", "c").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, radius: int = 4, block: int = 1024) -> DataFrame:
     """(doc_id, component_id): the groups that pairs of at least the similarity connect; rows without a doc_id are left out.
 
@@ -159,10 +224,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
         owner = table.select("doc_id", "sig").distinct()
         near = simhash_dedup.links(prints, radius, block).join(owner.toDF("a", "s"), "a").join(owner.toDF("b", "t"), "b").where("s <> t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
         first = verified(stars.unionByName(near).distinct(), owners, docs, threshold, shingle)
-        roots = components(first, "shingle-components").withColumnRenamed("node", "sig")
-        rooted = rows.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        found, (rooted, rooted_at) = first, _rooted(rows, first)
+        for n in range(ROUNDS):
+            fresh = verified(centred(rooted, threshold, n), owners, docs, threshold, shingle)
+            if fresh.isEmpty():
+                break
+            found = found.union(fresh)
+            release(docs.sparkSession, rooted_at)
+            rooted, rooted_at = _rooted(rows, found)
         second = verified(candidates(rooted, threshold, block), owners, docs, threshold, shingle)
-        roots = components(first.union(second), "shingle-components").withColumnRenamed("node", "sig")
+        roots = components(found.union(second), "shingle-components").withColumnRenamed("node", "sig")
         member = table.select("doc_id", "sig").join(roots, "sig", "left").select("doc_id", F.coalesce("root", "sig").alias("root"))
         out, path = materialize(member.join(member.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id"), "shingle-groups")
         made.keep(path)

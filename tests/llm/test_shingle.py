@@ -30,7 +30,7 @@ def test_stage_matches_all_pairs(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, low in want.items() if i == low}
 
 
-def test_groups_of_copies(spark):
+def test_groups_of_copies(spark, monkeypatch):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     base = [[rng.choice(words) for _ in range(60)] for _ in range(6)]
@@ -44,8 +44,38 @@ def test_groups_of_copies(spark):
     rows = list(enumerate(texts))
     df = spark.createDataFrame([*rows, (None, "one")], "doc_id long, text string")
     want = brute_groups(rows)
-    for block in (1024, 4):
+    for block, big in ((1024, 64), (4, 3)):
+        monkeypatch.setattr(shingle_dedup, "BIG", big)
         got = {r.doc_id: r.component_id for r in shingle_dedup.near_duplicates(df, block=block).collect()}
         assert got == want
     assert shingle_dedup.drop_near_duplicates(df).where(F.col("doc_id").isNull()).count() == 1
     assert shingle_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_large_groups_give_a_pair_once(spark):
+    # Copies of one text with edits of their own: many share most of their prefixes, and some are alike enough.
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for at in rng.sample(range(120), rng.randrange(5)):
+            t[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = []
+    whole = shingle_dedup.candidates
+
+    def counted(*args):
+        out = whole(*args)
+        asked.append(out.count())
+        return out
+
+    shingle_dedup.candidates = counted
+    try:
+        got = {r.doc_id: r.component_id for r in shingle_dedup.near_duplicates(df).collect()}
+    finally:
+        shingle_dedup.candidates = whole
+    assert got == brute_groups(rows)
+    assert asked[0] <= 150 * 149 // 2
