@@ -40,8 +40,8 @@ query(
 )
 query(
     "facts_filtered_by_tables",
-    f"{_CL} SELECT id FROM facts WHERE {ACTIVE} AND scope_id IN (SELECT id FROM cl WHERE ancestor = 3) AND id IN (SELECT vec_id FROM embeddings) AND json_extract_string(metadata, '$.k') = '7'",
-    lambda t: fi.FactFilter(scopes=gr.scope_ids(t.scopes, 3, "subtree"), ids=t.source("embeddings").select(c("vec_id").alias("id")), equals={"k": "7"}).apply(t.facts).select("id"),
+    f"{_CL} SELECT id FROM facts WHERE {ACTIVE} AND scope_id IN (SELECT id FROM cl WHERE ancestor = 4) AND id IN (SELECT vec_id FROM embeddings) AND json_extract_string(metadata, '$.k') = '7'",
+    lambda t: fi.FactFilter(scopes=gr.scope_ids(t.scopes, 4, "subtree"), ids=t.source("embeddings").select(c("vec_id").alias("id")), equals={"k": "7"}).apply(t.facts).select("id"),
 )
 _EVENTS = lambda: fi.EventFilter(event_types=("view", "purchase", "click"), since=_ntz("2024-01-02 00:00:00"), after_id=40, order="timestamp", descending=True, limit=40)
 _EVENTS_SQL = "event_type IN ('view', 'purchase', 'click') AND timestamp >= timestamp '2024-01-02' AND id > 40"
@@ -107,7 +107,7 @@ _LINKED = "a.id AS source_fact_id, b.id AS target_fact_id FROM facts a JOIN even
 query("link_session", f"SELECT id, source_fact_id, target_fact_id, relation_type, weight, scope_id FROM edges UNION ALL SELECT (SELECT max(id) FROM edges) + row_number() OVER (ORDER BY source_fact_id, target_fact_id), source_fact_id, target_fact_id, 'co_session', 0.5, 1 FROM (SELECT {_LINKED})", lambda t: gr.link_session(t.facts, t.event_log, t.edges, "s7", now()).select("id", "source_fact_id", "target_fact_id", "relation_type", "weight", "scope_id"))
 query("lineage_full", "WITH RECURSIVE r(id) AS (SELECT 99::BIGINT UNION SELECT l.source_fact_id FROM r JOIN lineage l ON l.wisdom_fact_id = r.id) SELECT id FROM r", lambda t: gr.lineage_full(t.lineage, 99))
 query("lineage_deleted", "SELECT wisdom_fact_id, source_fact_id FROM lineage WHERE wisdom_fact_id NOT IN (SELECT id FROM facts WHERE id % 3 = 1)", lambda t: gr.lineage_delete(t.lineage, _third(t)).select("wisdom_fact_id", "source_fact_id"))
-query("insights_in_subtree", f"{_CL} SELECT id, t_created FROM facts WHERE {ACTIVE} AND json_exists(metadata, '$.dream_cycle') AND scope_id IN (SELECT id FROM cl WHERE ancestor = 3) ORDER BY t_created DESC, id LIMIT 10", lambda t: fa.recent_insights(t.facts, gr.scope_ids(t.scopes, 3, "subtree"), 10).select("id", "t_created"))
+query("insights_in_subtree", f"{_CL} SELECT id, t_created FROM facts WHERE {ACTIVE} AND json_exists(metadata, '$.dream_cycle') AND scope_id IN (SELECT id FROM cl WHERE ancestor = 2) ORDER BY t_created DESC, id LIMIT 10", lambda t: fa.recent_insights(t.facts, gr.scope_ids(t.scopes, 2, "subtree"), 10).select("id", "t_created"))
 query("fact_counts", f"SELECT count(*) FILTER ({ACTIVE}) AS active, count(*) FILTER (len(embedding) > 0) AS vectors, bool_or(id = 42) AS has_42, coalesce(bool_or(id = -1), false) AS has_none FROM facts", lambda t: t.facts.agg(F.count_if(fa.active()).alias("active"), F.count_if(fa.has_vector()).alias("vectors"), F.bool_or(c("id") == 42).alias("has_42"), F.coalesce(F.bool_or(c("id") == -1), F.lit(False)).alias("has_none")))
 
 _STATE = "CASE WHEN f.id IN (SELECT fact_id FROM tombstones) THEN 'Forgotten' WHEN f.t_expired IS NOT NULL THEN 'Expired' WHEN f.t_invalid <= @now THEN 'Invalidated' WHEN f.is_pinned THEN 'Pinned' WHEN f.t_valid <= @now THEN 'Due' ELSE 'Active' END"
