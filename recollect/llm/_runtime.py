@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 from recollect.operators.shared import shared_path, spread
 
+FILE_ROWS = 20_000  # a file, at least, of tables whose rows are about known
+
 
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session; the operators size their own deals by it, so set it to the data's size."""
@@ -44,9 +46,15 @@ def scratch(spark: SparkSession) -> Iterator[_Made]:
             release(spark, path)
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With `rows`, about the number that the table grows with, there are no more files than that needs: on a local file
+    system Hadoop starts a process for each file that it creates.
+    """
     path = shared_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     if _SCOPES:
         _SCOPES[-1].append(path)
@@ -118,23 +126,26 @@ def salted_join(left: DataFrame, right: DataFrame, key: list[str], spread: Colum
     return dealt.join(copies, [*key, "_salt"], "left").drop("_salt")
 
 
-def pair_blocks(df: DataFrame, key: list[str], spread: Column, block: int, carried: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+def pair_blocks(df: DataFrame, key: list[str], spread: Column, block: int, carried: DataFrame | None = None, on: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """Deal rows so that any two rows of a key meet in exactly one block, in blocks of about 2 x block rows at most.
 
     Keys with one row are dropped, as they have no pairs. A key with more than `block` rows is cut into chunks by the
     hash of `spread`, and each pair of chunks becomes a block of its own, so no key is gathered into one task. Adds
     `blk_a` <= `blk_b` (the block's chunks) and `blk_own` (the row's chunk); rows come sorted by key and block. Wide
-    columns can stay in `carried`, joined by `on` to the rows that are left.
+    columns can stay in `carried`, joined by `on` to the rows that are left. Rows of more than `weight` 1 make chunks of
+    fewer rows.
     """
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    n = F.count(F.lit(1))
+    size = n if weight is None else F.least(F.lit(block) * n, F.greatest(n, F.sum(weight)))
+    counts = df.groupBy(*key).agg(n.alias("_n"), size.alias("_size")).where("_n > 1")
     dealt = (
         df.join(counts, key)
-        .withColumn("_chunks", F.ceil(F.col("_n") / F.lit(block)).cast("int"))
+        .withColumn("_chunks", F.ceil(F.col("_size") / F.lit(block)).cast("int"))
         .withColumn("blk_own", F.pmod(F.xxhash64(spread), F.col("_chunks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
         .withColumn("blk_a", F.least("blk_own", "_other"))
         .withColumn("blk_b", F.greatest("blk_own", "_other"))
-        .drop("_n", "_chunks", "_other")
+        .drop("_n", "_size", "_chunks", "_other")
     )
     if carried is not None:
         dealt = dealt.join(carried, on)
@@ -193,7 +204,10 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 50) ->
     """
     spark = edges.sparkSession
     start = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # Settled when a round changes nothing.
+    shape = ["count(1) n", "bit_xor(xxhash64(a, b)) x"]
     now, path = materialize(start, name)
+    was = now.selectExpr(*shape).first()
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -204,13 +218,11 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 50) ->
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )
         small = small.select("e.*").where("a <> b").distinct()
-        nxt, nxt_path = materialize(small, name)
-        # Settled when a round changes nothing.
-        shape = ["count(1) n", "bit_xor(xxhash64(a, b)) x"]
-        done = nxt.selectExpr(*shape).first() == now.selectExpr(*shape).first()
+        nxt, nxt_path = materialize(small, name, was.n)
         release(spark, path)
-        now, path = nxt, nxt_path
-        if done:
+        now, path, last = nxt, nxt_path, was
+        was = now.selectExpr(*shape).first()
+        if was == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 

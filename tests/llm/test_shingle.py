@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recollect.llm import shingle_dedup
@@ -79,3 +81,40 @@ def test_large_groups_give_a_pair_once(spark):
         shingle_dedup.candidates = whole
     assert got == brute_groups(rows)
     assert asked[0] <= 150 * 149 // 2
+
+
+def test_overlaps_count_common_values(monkeypatch):
+    rng = np.random.default_rng(3)
+    lists = [rng.choice(40, rng.integers(0, 30), replace=False).tolist() for _ in range(25)]
+    left, right = np.arange(10), np.arange(7, 25)
+    want = [[len({*lists[i]} & {*lists[j]}) for j in right] for i in left]
+    for product in (0, 30, 10**6):
+        monkeypatch.setattr(shingle_dedup, "PRODUCT", product)
+        assert shingle_dedup.overlaps(pa.array(lists, pa.list_(pa.int64())), left, right).tolist() == want
+
+
+def test_large_groups_give_links_not_pairs(spark, monkeypatch):
+    # 200 copies whose own edits leave most pairs at about 0.65: pairs that no prefix bound can leave out.
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(160)]
+    texts = []
+    for k in range(200):
+        t = list(base)
+        for at in rng.sample(range(160), 4 if k % 4 else 1):
+            t[at] = f"own{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    made, whole = [], shingle_dedup.map_arrow
+
+    def counted(df, f, schema):
+        out = whole(df, f, schema)
+        if schema.startswith("a long, b long"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingle_dedup, "map_arrow", counted)
+    for block in (1024, 64):
+        got = {r.doc_id: r.component_id for r in shingle_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+        assert got == brute_groups(rows)
+    assert len(set(got.values())) > 100
+    assert max(made) < 5000  # of 19900 pairs
