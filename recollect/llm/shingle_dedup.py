@@ -6,8 +6,8 @@ the sample decides the speed only. Pairs that share prefix shingles are held aga
 positions and the number of shared prefix shingles, and what is left is verified on whole sets. Before that, the links of
 the SimHash trees are verified, and each prefix group against one of its members. Groups of more texts than a block that
 hold several components then are held against further members in turn, as long as that links half of what it asks: a
-round is one pair a text and shingle, and pairs of one component are never asked. Prefix groups of over 64 texts do not
-give out their pairs: blocks hold the whole sets, decide every pair in place and give only the links that join components.
+round is one pair a text and shingle, and pairs of one component are never asked. Prefix groups whose pairs would take more
+than their texts do not give them out: blocks hold the whole sets, decide every pair in place and give only the links that join components.
 So what is sent grows with the texts times the blocks of their group; the comparisons inside still grow with the square of
 a group whose texts share much and are not similar.
 
@@ -29,7 +29,7 @@ from recollect.llm import simhash_dedup
 from recollect.llm._runtime import components, groups, local_roots, map_arrow, materialize, pair_blocks, release, salted_join, scratch
 
 STAR_KEYS = 8  # prefix shingles by which a text is held against a centre in a round
-BIG = 64  # texts with one prefix shingle, beyond which blocks decide pairs in place
+BIG = 64  # texts with one prefix shingle, beyond which blocks may decide pairs in place
 ROUNDS = 4  # of further centres, at most
 SHINGLES = 256  # a text, on average, that a chunk of a block holds; fewer texts if they have more
 PRODUCT = 4096  # pairs that have a shingle, beyond which a block counts it by a matrix product
@@ -200,9 +200,13 @@ def _pairs(g: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
 
 
 def _asked(rows: DataFrame, large: bool) -> DataFrame:
-    """The rows (key, pos, sig, n, root) of prefix groups with several roots, the large or the small ones."""
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
-    return rows.join(size.where((F.col("_lo") < F.col("_hi")) & ((F.col("_n") > BIG) == F.lit(large))).select("key"), "key", "left_semi")
+    """The rows (key, pos, sig, n, root) of prefix groups with several roots, the large or the small ones.
+
+    A group is large if it has over BIG texts and its pairs, at 24 bytes, take more than its whole sets, at 8 a shingle.
+    """
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.avg("n").alias("_mean"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+    is_large = (F.col("_n") > BIG) & (1.5 * F.col("_n") > F.col("_mean"))
+    return rows.join(size.where((F.col("_lo") < F.col("_hi")) & (is_large == F.lit(large))).select("key"), "key", "left_semi")
 
 
 def candidates(rows: DataFrame, threshold: float, block: int) -> DataFrame:
